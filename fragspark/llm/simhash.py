@@ -54,7 +54,7 @@ def fingerprint(text: str | None) -> int:
     total = np.zeros(BITS, dtype=np.int64)
     for at in range(0, n, _BLOCK):
         hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + _BLOCK], stops[at : at + _BLOCK])])
-        total += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0)
+        total += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
 
 
