@@ -14,6 +14,12 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import Mix
+
+    return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -33,5 +39,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op5_bpe, op7_token_files, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op5_bpe, op7_token_files, op8_simhash)}
 ORACLES: dict[str, str] = {}
