@@ -20,6 +20,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Mix(table(spark, sf_dir, "documents")).taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import repeats
+
+    return repeats(table(spark, sf_dir, "documents"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode
 
@@ -39,5 +51,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op5_bpe, op7_token_files, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op7_token_files, op8_simhash)}
 ORACLES: dict[str, str] = {}
