@@ -38,6 +38,14 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .rules import judge
+
+    judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    base = [F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return judged.select(F.col("doc_id").cast("long").alias("doc_id"), *base, "base_failed", "kept")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfiles import round_trip
 
@@ -51,5 +59,5 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op7_token_files, op8_simhash)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash)}
 ORACLES: dict[str, str] = {}
