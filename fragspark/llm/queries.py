@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -59,5 +59,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import FOLDS, HELD_FOLD, THRESHOLD, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held = fold(F.col("doc_id"), FOLDS) == HELD_FOLD
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op10_toxicity)}
 ORACLES: dict[str, str] = {}
