@@ -59,6 +59,12 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import neighbour_fingerprints
+
+    return neighbour_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import FOLDS, HELD_FOLD, THRESHOLD, fit, score
 
@@ -68,5 +74,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity)}
 ORACLES: dict[str, str] = {}
