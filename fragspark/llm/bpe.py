@@ -227,7 +227,7 @@ def encode(docs: DataFrame, vocabulary_path: str, digests: bool = False) -> Data
                     back = c.decode(ids)
                     rows["n"].append(len(ids))
                     rows["same"].append(back == text)
-                    rows["x"].append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest() if digests else ids)
+                    rows["x"].append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest() if digests else found.astype(np.int32))
                     rows["y"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() if digests else back)
                 kinds = (pa.int64(), pa.bool_(), pa.string() if digests else pa.list_(pa.int32()), pa.string())
                 yield pa.RecordBatch.from_arrays([ids_column.slice(a, b - a), *map(pa.array, rows.values(), kinds)], names=names)

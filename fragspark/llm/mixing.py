@@ -165,3 +165,12 @@ class Mix:
         own = self.sized.alias("d")
         joined = own.join(got.alias("g"), (F.col("d.rank") == F.col("g.rank")) & (F.col("d.at") == F.col("g.at")) & (F.col("d.size") > 0), "left")
         return joined.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).cast("int").alias("copies"))
+
+    def documents(self, docs: DataFrame) -> DataFrame:
+        """docs as the mix takes them, whole: a row for each pass that takes a document's first word.
+
+        doc_id must tell docs apart; documents without words take no part.
+        """
+        chosen = self.taken().where("copies > 0").select(F.col("doc_id").alias("_taken"), "copies")
+        met = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_taken")))
+        return met.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_taken", "copies", "_pass")

@@ -26,6 +26,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bytecnn import FOLDS, HELD_FOLD, THRESHOLD, fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    scored = score(docs, fit(docs, table(spark, sf_dir, "labels")))
+    held = fold(F.col("doc_id"), FOLDS) == HELD_FOLD
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .linededup import repeats
 
@@ -74,5 +83,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_byte_cnn, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity)}
 ORACLES: dict[str, str] = {}

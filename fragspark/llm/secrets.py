@@ -135,3 +135,23 @@ def scan(docs: DataFrame, redacted: bool = False) -> DataFrame:
     names = ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", *["redacted"] * redacted]
     schema = ", ".join(f"{n} {'long' if i < 5 else 'string'}" for i, n in enumerate(names))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+    """docs with every secret in ``text`` replaced by a mark; rows and other columns stay, null texts too."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        novelty = Novelty()
+        for batch in batches:
+            texts = []
+            for value in batch.column(at):
+                text = value.as_py()
+                if text:
+                    base = base_spans(text)
+                    spans = base + novel_spans(text, base, novelty)
+                    text = redact(text, spans, mark) if spans else text
+                texts.append(text)
+            yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, docs.schema)

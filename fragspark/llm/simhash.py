@@ -14,7 +14,7 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -121,3 +121,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = cut(joined.join(rooted, "root").select("fp", "all_least"))
     classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id"))
     return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component of near duplicates, the one of its smallest doc_id, with all columns.
+
+    Rows that share a doc_id count as one document, of which the row with the first text stays. Rows without
+    an id stay, one for each text, unless they are near a row that has one.
+    """
+    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = found.select(F.col("doc_id").alias("_kept")).distinct()
+    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    return met.withColumn("_row", F.row_number().over(own)).where("_row = 1").drop("_row")

@@ -239,3 +239,16 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _ in told], pa.float64()), pa.array([e for _, e in told], pa.string())], names=["doc_id", "score", "evidence"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double, evidence string")
+
+
+def accept(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs whose text scores below the threshold, with all their columns."""
+    shipped = docs.sparkSession.sparkContext.broadcast(index)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        own = shipped.value
+        for batch in batches:
+            yield batch.filter(pa.array([own.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
