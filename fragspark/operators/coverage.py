@@ -55,14 +55,14 @@ def sums(covered: DataFrame, windows: DataFrame, keys: list[str], mask: DataFram
     covered = covered.select("chrom", "start_pos", "end_pos", "value")
     if mask is not None:
         covered = intervals.subtract(covered, mask, ["value"])
-    met = intervals.with_overlap(intervals.overlap_join(covered, intervals.renamed(windows.select("chrom", "start_pos", "end_pos", *keys))))
+    met = intervals.with_overlap(intervals.overlap_join(covered, intervals.renamed(windows.select("chrom", "start_pos", "end_pos", *[k for k in keys if k != "chrom"]))))
     size = F.col("overlap").cast("double")
     got = met.groupBy(*keys).agg(
         F.sum(F.col("value") * size).alias("total"), F.sum(F.col("value") * F.col("value") * size).alias("total_squared"), F.sum(F.when(F.col("value") > 0, F.col("overlap")).otherwise(0)).alias("nonzero")
     )
     span = windows.groupBy(*keys).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("span"))
     if mask is not None:
-        hit = intervals.with_overlap(intervals.overlap_join(windows.select("chrom", "start_pos", "end_pos", *keys), intervals.renamed(intervals.merge(mask))))
+        hit = intervals.with_overlap(intervals.overlap_join(windows.select("chrom", "start_pos", "end_pos", *[k for k in keys if k != "chrom"]), intervals.renamed(intervals.merge(mask))))
         span = span.join(hit.groupBy(*keys).agg(F.sum("overlap").alias("blacklisted")), keys, "left")
     else:
         span = span.withColumn("blacklisted", F.lit(0).cast("long"))

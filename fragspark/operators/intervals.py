@@ -51,7 +51,11 @@ def _bins(start: str, end: str, width: int) -> Column:
     return F.sequence(int_div(start, width), int_div(F.col(end) - 1, width))
 
 
-def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = BIN, levels: int = LEVELS) -> DataFrame:
+def _placed(bins: Column, level: int) -> Column:
+    return F.transform(bins, lambda x: F.struct(F.lit(level).alias("_level"), x.alias("_bin")))
+
+
+def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, levels: int = LEVELS) -> DataFrame:
     """Pairs of rows of a(chrom, start_pos, end_pos, ...) and b(chrom, b_start, b_end, ...) that share a base.
 
     Other column names must not clash. Each row of b is placed in bins of the level that suits its width, so wide
@@ -64,11 +68,9 @@ def overlap_join(a: DataFrame, b: DataFrame, how: str = "inner", width: int = BI
     for k in range(levels):
         w = width * SPAN**k
         b_sequence = F.when(F.col("_level") == k, _bins("b_start", "b_end", w)).otherwise(b_sequence)
-        a_places.append(F.transform(_bins("start_pos", "end_pos", w), lambda x, k=k: F.struct(F.lit(k).alias("_level"), x.alias("_bin"))))
+        a_places.append(_placed(_bins("start_pos", "end_pos", w), k))
     right = b_level.withColumn("_bin", F.explode(b_sequence)).withColumnRenamed("chrom", "_b_chrom").withColumnRenamed("_level", "_b_level").withColumnRenamed("_bin", "_b_bin")
     left = a.withColumn("_place", F.explode(F.concat(*a_places))).withColumn("_level", F.col("_place._level")).withColumn("_bin", F.col("_place._bin")).drop("_place")
-    if how == "left_anti" or how == "left_semi":
-        raise ValueError("use any_overlap for semi and anti joins")
     first = F.greatest("start_pos", "b_start")
     at = F.lit(None)
     for k in range(levels):
