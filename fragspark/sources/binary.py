@@ -167,27 +167,24 @@ class BamReader(DataSourceReader):
             start = block_at if partition.start <= block_at else first_block(f, partition.start, partition.stop)
             if start is None or start >= partition.stop:
                 return
-            data, at = b"", place if start == block_at else None
+            data, at, owned = b"", place if start == block_at else None, 0  # records that begin before ``owned`` are this task's
             for offset, block in blocks(f, start):
-                if offset >= partition.stop and at is not None and at >= len(data):
-                    return  # all records that begin in this stretch are out
-                owned = len(data) if offset < partition.stop else None
+                mine = offset < partition.stop
                 data += block
+                if mine:
+                    owned = len(data)
                 if at is None:
                     at = self._first(data, contigs)
                     if at is None:
                         continue
-                limit = len(data) if owned is not None else self.limit
-                if owned is not None:
-                    self.limit = len(data)
-                while at < limit and at + 4 <= len(data) and at + 4 + struct.unpack_from("<i", data, at)[0] <= len(data):
+                while at < owned and at + 4 <= len(data) and at + 4 + struct.unpack_from("<i", data, at)[0] <= len(data):
                     row = record(data, at, contigs)
                     at += 4 + struct.unpack_from("<i", data, at)[0]
                     if row[0] is not None:
                         yield row
-                if owned is None and at >= limit:
+                if not mine and at >= owned:
                     return
-                data, at, self.limit = data[at:], 0, self.limit - at
+                data, owned, at = data[at:], owned - at, 0
 
     def _first(self, data: bytes, contigs) -> int | None:
         """The first place from which records follow one another to the end of the data at hand."""
