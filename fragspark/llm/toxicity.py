@@ -3,8 +3,8 @@
 The vocabulary holds the terms whose presence goes with the label in a bounded sample of labelled rows; their
 document frequencies are counted over all documents. Equal example vectors form one group. Groups are sorted
 so that alike ones are neighbours and cut into blocks; for each term and block the index knows the largest
-weight. A query adds up these bounds, visits blocks from the largest bound on and stops where no block can
-beat the k-th best cosine found: the neighbours are exact. Their votes, weighted by cosine, give a score that is
+weight. A query adds up these bounds, visits the blocks of the largest bounds, and then scores together those whose
+bound reaches the k-th best cosine found; no other block can hold a neighbour: they are exact. Their votes, weighted by cosine, give a score that is
 then calibrated on the examples themselves, each scored without itself.
 """
 
@@ -28,6 +28,8 @@ FOLDS, HELD_FOLD = 4, 2
 #: Terms of the vocabulary: at most so many, in at least so many examples, with at least this chi-square.
 TERMS, LEAST_DOCS, LEAST_CHI2 = 2048, 4, 25.0
 NEIGHBOURS, BLOCK = 25, 64
+#: Blocks of the largest bounds that are visited first; all others that still may count are scored together.
+FIRST_BLOCKS = 4
 #: Score from which a text is called toxic.
 THRESHOLD = 0.3
 _MARKS = string.punctuation
@@ -106,27 +108,55 @@ class Index:
         bound = np.zeros(self.blocks)
         for (_, _, block, most, _), w in found:
             bound[block] += w * most
+        order = np.argsort(-bound, kind="stable")
+        falling = -bound[order]
         cos, groups = np.zeros(0), np.zeros(0, int)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(cos) == k and bound[b] < cos[-1] - 1e-12:
+        done, visit = 0, FIRST_BLOCKS
+        while True:
+            floor = cos[-1] - 1e-12 if len(cos) == k else 0.0
+            left = int(np.searchsorted(falling, -floor, side="right" if floor > 0 else "left"))  # blocks that may hold a better one
+            chosen = order[done : min(left, done + visit)]
+            if not len(chosen):
                 break
-            score = np.zeros(BLOCK)
-            for (at, own, _, _, ranges), w in found:
-                if b in ranges:
-                    lo, hi = ranges[b]
-                    score[at[lo:hi] - b * BLOCK] += w * own[lo:hi]
-            hit = np.flatnonzero(score)
-            cos, groups = np.concatenate([cos, score[hit]]), np.concatenate([groups, hit + b * BLOCK])
-            order = np.lexsort((groups, -np.round(cos, 12)))[:k]
-            cos, groups = cos[order], groups[order]
+            hit, score = self._scored(found, chosen)
+            cos, groups = np.concatenate([cos, score]), np.concatenate([groups, hit])
+            if len(cos) > 4 * k:  # a rough cut first: what is below the k-th best can't come back
+                near = cos >= np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-11
+                cos, groups = cos[near], groups[near]
+            best = np.lexsort((groups, -np.round(cos, 12)))[:k]
+            cos, groups = cos[best], groups[best]
+            done, visit = done + len(chosen), self.blocks  # with a floor known, the rest that passes it goes at once
         return list(zip(cos.tolist(), groups.tolist()))
 
-    def vote(self, counts: dict[int, int], leave_one: int | None = None) -> tuple[float, list]:
-        """(share of votes for label 1, evidence). ``leave_one``: this label is of a member that doesn't vote."""
+    def _scored(self, found: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(groups, cosines) of the groups of these blocks that share a term with the query."""
+        if len(chosen) <= FIRST_BLOCKS:
+            hits, scores = [], []
+            for b in chosen.tolist():
+                score = np.zeros(BLOCK)
+                for (at, own, _, _, ranges), w in found:
+                    if b in ranges:
+                        lo, hi = ranges[b]
+                        score[at[lo:hi] - b * BLOCK] += w * own[lo:hi]
+                hit = np.flatnonzero(score)
+                hits.append(hit + b * BLOCK)
+                scores.append(score[hit])
+            return np.concatenate(hits), np.concatenate(scores)
+        score = np.zeros(self.blocks * BLOCK)
+        for (at, own, _, _, _), w in found:
+            score[at] += w * own
+        wanted = np.zeros(self.blocks, bool)
+        wanted[chosen] = True
+        hit = np.flatnonzero((score.reshape(-1, BLOCK) * wanted[:, None]).ravel())
+        return hit, score[hit]
+
+    def vote(self, counts: dict[int, int], leave_one: int | None = None, near: list | None = None) -> tuple[float, list]:
+        """(share of votes for label 1, evidence). ``leave_one``: this label is of a member that doesn't vote.
+        ``near``: the neighbours, if known."""
         if not counts:
             n, pos = self.none_n - (leave_one is not None), self.none_pos - (leave_one or 0)
             return (pos + self.prior) / (n + 1), []
-        near = self.nearest(counts)
+        near = self.nearest(counts) if near is None else near
         total, toxic = 1.0, self.prior
         for cos, g in near:
             n, pos = self.n[g], self.pos[g]
@@ -142,9 +172,10 @@ class Index:
         """Fit P(label 1) = sigmoid(slope * logit(vote) + offset) on the examples, each without its own vote."""
         x, y, w = [], [], []
         for counts, n, pos in [*zip(self.vectors, self.n, self.pos), *([({}, self.none_n, self.none_pos)] if self.none_n else [])]:
+            near = self.nearest(counts) if counts else []
             for label, many in ((1, pos), (0, n - pos)):
                 if many:
-                    x.append(_logit(self.vote(counts, leave_one=label)[0]))
+                    x.append(_logit(self.vote(counts, label, near)[0]))
                     y.append(label)
                     w.append(many)
         if len(set(y)) < 2:
