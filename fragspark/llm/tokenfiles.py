@@ -30,6 +30,8 @@ from .vocabulary import PartCache, byte_letters
 END_ID = 0
 #: Different parts that a worker keeps encoded, in each of two generations.
 KEPT = 500_000
+#: Partitions of a token folder that a task reads back at most, one after another.
+PARTS_A_TASK = 64
 
 
 def _open_store(uri: str):
@@ -151,7 +153,10 @@ def read(manifest: DataFrame, folder: str, with_ids: bool = True) -> DataFrame:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return manifest.repartition(F.col("part")).mapInArrow(run, schema)
+    # by a number of its own: adaptive execution would put the few rows of the manifest into one task
+    parts = manifest.count()
+    tasks = max(1, min(parts, manifest.sparkSession.sparkContext.defaultParallelism), -(-parts // PARTS_A_TASK))
+    return manifest.repartitionByRange(tasks, "part").mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str) -> DataFrame:
