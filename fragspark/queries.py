@@ -550,3 +550,24 @@ for _name, (_run, _oracle) in list(_GIVEN.items()):
         add(f"{_name}_whole", lambda v, r=_run: r(lambda view: v(WHOLE.get(view, view))), _oracle.replace("{seq}", "{seq_whole}").replace("{seqfrag}", "{seqfrag_whole}"))
 # at sf0.001 one value is exactly 138.14375: floats in another order round it down, so the test takes one unit of the last place
 LOOSE = {"corr_inside_whole": ORACLES.pop("corr_inside_whole")}
+
+# --- the whole views of windows and sites, which the plain names sieve by window_idx or site_idx as their SQL does
+for _name, _touch, _op in (("interval_merge_touching", True, ">"), ("interval_merge_keep_touching", False, ">=")):
+    add(f"{_name}_whole", lambda v, t=_touch: intervals.merge(v("win"), touching=t), MERGE_SQL.replace(" where window_idx % 3 = 0", "").replace("{op}", _op))
+add(
+    "cov_runs_indexed_whole",
+    lambda v: coverage.in_windows(coverage.runs(coverage.segments(v("frag"), F.col("gc_weight")), 2), _win(v), ["chrom", "window_idx"]),
+    _GIVEN["cov_runs_indexed"][1].replace(" where window_idx % 5 = 0", ""),
+)
+add("prep_merge_across_whole", lambda v: prepare.merge_across(v("win"), 20), _GIVEN["prep_merge_across"][1].replace(" where window_idx % 9 = 0", ""))
+_all_targets = lambda v: v("site").select("chrom", F.col("start_pos").alias("pos"))
+add(
+    "prep_nearest_whole",
+    lambda v: prepare.annotate_nearest(_w5(v), _all_targets(v)).select("window_idx", "distance", "near_pos", "tied"),
+    _GIVEN["prep_nearest"][1].replace(" and s.site_idx % 10 = 0", ""),
+)
+add(
+    "prep_distance_bins_whole",
+    lambda v: prepare.annotate_nearest(_w5(v), _all_targets(v), RULES).groupBy("distance_label").agg(F.count("*").alias("n")),
+    _GIVEN["prep_distance_bins"][1].replace(" and s.site_idx % 10 = 0", ""),
+)

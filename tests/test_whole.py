@@ -53,3 +53,42 @@ def test_rounding_edge(spark, name):
     df = QUERIES[name](spark, SF)
     got = {r[:at] + r[at + 1 :]: r[at] for r in rows_of(df.columns, [tuple(r) for r in df.collect()])}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.5e-4 for k in want)
+
+
+def test_windows_whole(spark, tmp_path):
+    """Windows and sites whose index no modulo filter lets through still count."""
+    parts = [(k, 1 + k * 7 % 50, f"Brand#{k % 4}", 1000.0 + k) for k in range(1, 241)]
+    custs = [(k, f"M{k % 3}") for k in range(1, 260)]  # beyond the last window
+    items = [(k, 1, k % 240 + 1, k % 10 + 1, 5.0, 0.05, "N") for k in range(300)]
+    for name, rows, schema in (
+        ("part", parts, "p_partkey long, p_size int, p_brand string, p_retailprice double"),
+        ("customer", custs, "c_custkey long, c_mktsegment string"),
+        ("lineitem", items, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    wins = sorted((f"chr{1 + k % 5}", k * 40, k * 40 + 50 + size * 20, k, brand) for k, size, brand, _ in parts)
+
+    def islands(gap):
+        out = []
+        for c, a, z, _, brand in wins:
+            if out and out[-1][0] == c and a - out[-1][2] <= gap:
+                out[-1][2] = max(out[-1][2], z)
+                out[-1][3].add(brand)
+            else:
+                out.append([c, a, z, {brand}])
+        return out
+
+    for name, gap in (("interval_merge_touching_whole", 0), ("interval_merge_keep_touching_whole", -1)):
+        assert {(r.chrom, r.start_pos, r.end_pos) for r in run(name)} == {tuple(x[:3]) for x in islands(gap)}
+    assert {(r.chrom, r.start_pos, r.end_pos) for r in run("prep_merge_across_whole")} == {tuple(x[:3]) for x in islands(20)}
+    sites = [(f"chr{1 + k % 5}", k * 53) for k, _ in custs]
+    near = {r.window_idx: r.distance for r in run("prep_nearest_whole")}
+    for c, a, z, k, _ in wins:
+        left = [a - p for d, p in sites if d == c and p <= a]
+        right = [max(0, p - z + 1) for d, p in sites if d == c and p >= a]
+        assert abs(near[k]) == min(left + right)
+    assert sum(r.n for r in run("prep_distance_bins_whole")) == len(wins)
+    frags = {k: (p * 40 + (k * 13 + 7) % 40, p * 40 + (k * 13 + 7) % 40 + 30 + (k * 31 + 17 + 95) % 371, f"chr{1 + s % 5}") for k, _, p, s, *_ in items}
+    met = {k for c, a, z, k, _ in wins if any(d == c and s < z and a < e for s, e, d in frags.values())}
+    assert {r.window_idx for r in run("cov_runs_indexed_whole")} == met
