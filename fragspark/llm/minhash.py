@@ -13,14 +13,17 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pieces
+from .components import components
 
 SHINGLE_WORDS, PERMUTATIONS, SEED = 5, 128, 20_240_601
 #: Bands of the similarity search, and the least Jaccard likeness of a pair.
 BANDS, LIKENESS = 32, 0.8
+#: A bucket of more classes is linked through leaders first; signatures of a pair that agree in a smaller share are not verified.
+BUSY_BUCKET, LEADERS, LEAST_ESTIMATE = 16, 4, 0.6
 #: Range parts of documents for each shuffle partition when neighbours are looked up.
 PARTS = 4
 _U64 = np.uint64
@@ -240,3 +243,100 @@ def similar(queries: DataFrame, docs: DataFrame, least: float = LIKENESS) -> Dat
     verified = met.join(a.alias("p"), F.col("x") == F.col("p.class")).join(b.alias("q"), F.col("y") == F.col("q.class")).select("x", "y", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
     out = verified.join(asked.select(F.col("doc_id").alias("query_id"), F.col("class").alias("x")), "x").join(held.select("doc_id", F.col("class").alias("y")), "y")
     return out.where("query_id <> doc_id").select("query_id", "doc_id", "jaccard")
+
+
+def _classed(docs: DataFrame, with_signature: bool) -> DataFrame:
+    """(doc_id, key, class) and the signature or the sorted shingle hashes, as binary, of each row of docs."""
+
+    def run(batches):
+        for batch in batches:
+            texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") for t in batch.column(2)]
+            sets = [np.unique(shingle_hashes(word_hashes(t))) for t in texts]
+            if with_signature:
+                held = [x.tobytes() if len(s) else None for s, x in zip(sets, signatures(sets))]
+            else:
+                held = [s.tobytes() for s in sets]
+            names = [hashlib.blake2b(s.tobytes(), digest_size=16).hexdigest() for s in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(held, pa.binary())], names=["doc_id", "key", "class", "held"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key("text").alias("key"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, key long, class string, held binary")
+
+
+def _key(text: str):
+    return F.xxhash64(F.col(text).cast("string"))
+
+
+def _kept_pairs(pairs: DataFrame, held: DataFrame, good) -> DataFrame:
+    """The pairs (u, v) of classes for which good(held of u, held of v) holds."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = batch.column(2), batch.column(3)
+            keep = [good(np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)) for x, y in zip(a, b)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda u, h: held.select(F.col("class").alias(u), F.col("held").alias(h))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u string, v string")
+
+
+def _verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """The pairs of classes whose exact Jaccard likeness is at least that; only their texts are shingled again."""
+
+    def alike(a, b):
+        if min(len(a), len(b)) < least * max(len(a), len(b)):
+            return False
+        shared = len(np.intersect1d(a, b, assume_unique=True))
+        return shared >= least * (len(a) + len(b) - shared)
+
+    likely = cut(_kept_pairs(pairs.distinct(), signed, lambda a, b: (a == b).mean() >= LEAST_ESTIMATE))
+    named = likely.select(F.col("u").alias("class")).union(likely.select(F.col("v").alias("class"))).distinct()
+    shingled = _classed(docs, False).join(named, "class", "left_semi").groupBy("class").agg(F.first("held").alias("held"))
+    return cut(_kept_pairs(likely, shingled, alike))
+
+
+def _classes_linked(signed: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+    """(node, root) of the classes that links of at least that Jaccard likeness connect.
+
+    All pairs of a usual bucket are verified. In a busy one each class is first verified against a few leaders; then
+    all pairs that these links leave in different components are verified too, so no pair that shares a bucket is lost.
+    """
+    rows = 4 * PERMUTATIONS // BANDS
+    bands = F.array(*[F.xxhash64(F.lit(b), F.substring("held", 1 + rows * b, rows)) for b in range(BANDS)])
+    placed = signed.select("class", F.explode(bands).alias("k"))
+    leads = [F.min(F.struct(F.xxhash64("class", F.lit(r)), "class"))["class"] for r in range(LEADERS)]
+    sizes = placed.groupBy("k").agg(F.count("*").alias("n"), F.array(*leads).alias("leaders")).where("n > 1")
+    met = cut(placed.join(sizes, "k"))
+    few = met.where(F.col("n") <= BUSY_BUCKET).select("k", "class")
+    many = met.where(F.col("n") > BUSY_BUCKET)
+    ordered = lambda a, b: (F.least(a, b).alias("u"), F.greatest(a, b).alias("v"))
+    usual = few.select("k", F.col("class").alias("u")).join(few.select("k", F.col("class").alias("v")), "k").where("u < v").select("u", "v")
+    led = many.select("class", F.explode("leaders").alias("leader")).where("class <> leader").select(*ordered("class", "leader"))
+    links = _verified(usual.union(led), signed, docs, least)
+    found = cut(components(links))
+    labelled = many.select("k", "class").join(found.withColumnRenamed("node", "class"), "class", "left").select("k", "class", F.coalesce("root", "class").alias("root"))
+    mixed = labelled.groupBy("k").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("k")
+    open_ = cut(labelled.join(mixed, "k", "left_semi"))
+    if open_.isEmpty():
+        return found
+    x, y = (open_.select("k", F.col("class").alias(c), F.col("root").alias(r)) for c, r in (("u", "ru"), ("v", "rv")))
+    more = _verified(x.join(y, "k").where("u < v and ru <> rv").select("u", "v"), signed, docs, least)
+    return components(links.union(more))
+
+
+def keep_one(docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """One row of docs for each component of near copies, with all columns: the one of its smallest doc_id, null ids last.
+
+    Texts are linked when their sets of five-word shingles have at least that Jaccard likeness; candidates share
+    a band, see ``similar``. Null texts and texts without words are copies of each other. A row is known by its id and
+    its text, so different texts of one id or without id are judged each for itself.
+    """
+    own = cut(_classed(docs, True))
+    signed = cut(own.where("held is not null").groupBy("class").agg(F.first("held").alias("held")))
+    linked = _classes_linked(signed, docs, least).withColumnRenamed("node", "class")
+    rows = own.select("doc_id", "key", "class").join(linked, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("r"))
+    kept = first.select(F.col("r.doc_id").alias("_id"), F.col("r.key").alias("_key"))
+    met = docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_key("text") == F.col("_key")), "left_semi")
+    same = Window.partitionBy("doc_id", _key("text")).orderBy(F.lit(0))
+    return met.withColumn("_row", F.row_number().over(same)).where("_row = 1").drop("_row")
