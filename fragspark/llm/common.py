@@ -45,6 +45,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh_name(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores behind it as keep it apart from the columns of docs."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers of this application import the package from where the driver has it.
 

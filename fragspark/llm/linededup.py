@@ -1,87 +1,216 @@
-"""Substring dedup by line hashing: units are normalised, their digests grouped, the earliest kept.
+"""Substring dedup by paragraph hashing: paragraphs are normalised, their digests grouped, the earliest kept.
 
-A unit is a sentence or a line: texts are cut at line feeds and behind '.', '!' or '?' before white space. A unit
-is normalised by lower-casing A-Z and joining its words with single spaces; units of fewer than LEAST_WORDS
-words are never removed, as they agree by chance. Of all occurrences of a normalised unit, in all
-documents, the first in rank (doc_id, then place) stays and the rest go.
+A text is cut into clauses: at line feeds, and behind words that end in one of ``.!?,;:``. A paragraph is the
+shortest run of whole clauses, from any clause on and across lines, that has LEAST_WORDS words. It is normalised
+by lower-casing A-Z and joining its words with single spaces. Of all occurrences of a normalised paragraph, in
+all documents, the first in rank (doc_id, null last; text's hash; place) stays, and the others are removed. A removed
+paragraph's words stand unremoved somewhere of lesser rank: each removal points to an earlier place, and such
+a chain ends at a place that none covers. Repeats of fewer words than LEAST_WORDS stay, as they agree by chance.
+
+Words are runs of characters other than space and the controls 9 to 13. Rows equal in doc_id and text count as
+one document and are changed alike. Null texts stay null, empty ones empty. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAST_WORDS = 5
-_END = re.compile(r"[.!?]+(?=[ \t\r\x0b\x0c])")
-
-
-def units(text: str, least: int = LEAST_WORDS) -> list[tuple[int, int, bytes]]:
-    """(start, end, digest) of the units with enough words; offsets in code points, without outer spaces."""
-    out, at = [], 0
-    for line in text.split("\n"):
-        begin = 0
-        while begin < len(line):
-            stop = _END.search(line, begin)
-            end = stop.end() if stop else len(line)
-            words = line[begin:end].encode("utf-8", "surrogatepass").lower().split()
-            if len(words) >= least:
-                piece = line[begin:end]
-                a = begin + len(piece) - len(piece.lstrip(" \t\r\x0b\x0c"))
-                b = end - (len(piece) - len(piece.rstrip(" \t\r\x0b\x0c")))
-                out.append((at + a, at + b, hashlib.blake2b(b" ".join(words), digest_size=16).digest()))
-            begin = end
-        at += len(line) + 1
-    return out
-
-
-def hashed_units(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, at, stop, digest): a row for each unit of docs(doc_id, text)."""
+from .common import cut, fresh_name
+
+#: Least words of a paragraph.
+LEAST_WORDS = 30
+#: The digests of the most occurrences, at most so many, are spread over SALTS tasks each; any other digest
+#: has less than a HOT-th of all occurrences.
+HOT, SALTS = 10_000, 64
+_FLUSH = 100_000
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b".!?,;:")] = True
+_DIGEST = np.dtype([("d", "<i8"), ("c", "<i4")])
+_FIELDS = ("at", "stop", "first", "past")
+
+
+def paragraphs(data: bytes, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(places, digests) of a text in UTF-8: rows (at, stop, first clause, past clause), at and stop in code points."""
+    raw = np.frombuffer(data, np.uint8)
+    edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]]).view(np.int8)))
+    starts, ends = edges[::2], edges[1::2]
+    if len(starts) < least:
+        return np.zeros((0, 4), np.int32), np.zeros(0, _DIGEST)
+    feeds = np.flatnonzero(raw == 10)
+    closes = _MARK[raw[ends - 1]]
+    closes[:-1] |= np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1])
+    closes[-1] = True
+    bounds = np.concatenate([[0], np.flatnonzero(closes) + 1])
+    past = np.searchsorted(bounds, bounds[:-1] + least)
+    first = np.flatnonzero(past < len(bounds))
+    past = past[first]
+    a, z = bounds[first], bounds[past]
+    later = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no code point
+    at, stop = (x - np.searchsorted(later, x) for x in (starts[a], ends[z - 1]))
+    plain = b" ".join(data.lower().split())
+    begins = np.concatenate([[0], np.cumsum(ends - starts + 1)])
+    found = b"".join([hashlib.blake2b(plain[p:q], digest_size=12).digest() for p, q in zip(begins[a].tolist(), (begins[z] - 1).tolist())])
+    return np.stack([at, stop, first, past], axis=1).astype(np.int32), np.frombuffer(found, _DIGEST)
+
+
+def _keyed(docs: DataFrame) -> list:
+    """Columns id and key, which name a row of docs by its id and its text."""
+    return [F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key")]
+
+
+def hashed(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(id, key, at, stop, first, past, d, c): a row for each paragraph of docs(doc_id, text); (d, c) is its digest."""
 
     def run(batches):
+        held: list = []
+
+        def packed():
+            ids, keys, places, digests = zip(*held)
+            counts = [len(p) for p in places]
+            owner = pa.array(np.repeat(np.arange(len(held)), counts))
+            at, found = np.concatenate(places), np.concatenate(digests)
+            columns = [pa.array(ids, pa.int64()).take(owner), pa.array(keys, pa.int64()).take(owner)]
+            columns += [pa.array(np.ascontiguousarray(at[:, k])) for k in range(4)]
+            columns += [pa.array(np.ascontiguousarray(found["d"])), pa.array(np.ascontiguousarray(found["c"]))]
+            return pa.RecordBatch.from_arrays(columns, names=["id", "key", *_FIELDS, "d", "c"])
+
+        size = 0
         for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0), batch.column(1)):
-                doc_id, text = doc_id.as_py(), text.as_py()
-                rows += [(doc_id, *u) for u in units(text or "", least)]
-                if len(rows) > 50_000:
-                    yield packed(rows)
-                    rows = []
-            if rows:
-                yield packed(rows)
+            for i, k, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+                places, digests = paragraphs(text.as_py() or b"", least)
+                if len(places):
+                    held.append((i.as_py(), k.as_py(), places, digests))
+                    size += len(places)
+                if size > _FLUSH:
+                    yield packed()
+                    held, size = [], 0
+        if held:
+            yield packed()
 
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-    packed = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "at", "stop", "digest"])
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, at int, stop int, digest binary")
+    rows = docs.select(*_keyed(docs), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "id long, key long, at int, stop int, first int, past int, d long, c int")
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Every removed occurrence: doc_id, at, stop (code points, end exclusive), digest, kept_doc_id, kept_at.
+    """Every occurrence that isn't its paragraph's first: id, key (of the row), at, stop, first, past, kept_id, kept_at.
 
-    The first occurrence is the least (doc_id, at), null ids last. Null and empty texts have no units.
-    Of repeated rows with one doc_id the occurrences fall together at one place: the first stays in all of them.
+    Occurrences meet by digest. Digests are grouped with partial aggregation; the ones of most occurrences are
+    salted in the join back, so that a passage in a third of all documents lands in many tasks.
     """
-    found = hashed_units(docs, least).withColumn("rank", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "at"))
-    first = found.groupBy("digest").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
-    met = found.join(first, "digest").where(~F.col("rank").eqNullSafe(F.col("first")))
-    return met.select("doc_id", "at", "stop", F.lower(F.hex("digest")).alias("digest"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.at").alias("kept_at"))
-
-
-def deduplicate(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """docs with their repeated units cut out of ``text``; ``removed`` lists what went, with original offsets.
-
-    Rows and other columns stay as they are; a text may end up empty. A null text stays null.
+    found = hashed(docs, least)
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "key", "at")
+    earliest = found.groupBy("d", "c").agg(F.min(rank).alias("rank"), F.count("*").alias("n")).where("n > 1")
+    earliest = cut(earliest)
+    hot = earliest.orderBy(F.desc("n"), "d", "c").limit(HOT).select("d", "c", F.lit(True).alias("hot"))
+    flagged = earliest.join(F.broadcast(hot), ["d", "c"], "left")  # HOT rows at most
+    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    earliest = flagged.select("d", "c", "rank", F.explode(salts).alias("salt"))
+    spread = found.join(F.broadcast(hot), ["d", "c"], "left")
+    spread = spread.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "key", "at"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
+    met = spread.join(earliest, ["d", "c", "salt"]).where(~rank.eqNullSafe(F.col("rank")))
+    return met.select("id", "key", *_FIELDS, F.col("rank.id").alias("kept_id"), F.col("rank.at").alias("kept_at"))
+
+
+def _runs(batches):
+    """For each row of docs one list of runs (at, stop) of overlapping or adjoining paragraphs, and their earliest ids."""
+    for batch in batches:
+        spans, kept = [], []
+        for found in batch.column(2):
+            runs: list[list[int]] = []
+            reach = -1
+            told = found.as_py()
+            for x in sorted(told, key=lambda x: x["first"]):
+                if x["first"] <= reach:
+                    runs[-1][1] = max(runs[-1][1], x["stop"])
+                else:
+                    runs.append([x["at"], x["stop"]])
+                reach = max(reach, x["past"])
+            spans.append([{"at": a, "stop": b} for a, b in runs])
+            ids = {x["kept_id"] for x in told}
+            kept.append([*sorted(ids - {None}), *[None] * (None in ids)])
+        columns = [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "removed", "kept_ids"])
+
+
+def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """(id, key, removed, kept_ids) for each row of docs that loses something: runs (at, stop) in code points, by place."""
+    told = F.struct(*_FIELDS, "kept_id")
+    grouped = repeats(docs, least).groupBy("id", "key").agg(F.collect_set(told).alias("found"))  # within one text
+    return grouped.mapInArrow(_runs, "id long, key long, removed array<struct<at:int,stop:int>>, kept_ids array<long>")
+
+
+def deduplicate(docs: DataFrame, least: int = LEAST_WORDS, changed_only: bool = False) -> DataFrame:
+    """docs with their repeated paragraphs cut out of ``text``, and two more columns.
+
+    ``removed`` lists what went, (at, stop) in code points of the text as it was; ``kept_ids`` the documents that hold
+    the earliest occurrences. Columns of docs by these names stay, and the new ones get underscores. Rows, their
+    number and other columns stay as they are (only rows that lose something with ``changed_only``).
     """
-    gone = (
-        repeats(docs, least).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("at", "stop"))).alias("removed"))
-    )
-    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("removed").alias("_removed"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")), "left")
-    # what lies between one removed unit and the next
-    starts = "concat(array(0), transform(_removed, x -> x.stop))"
-    stops = "concat(transform(_removed, x -> x.at), array(length(text)))"
-    cut_text = F.expr(f"if(_removed is null or text is null, text, array_join(zip_with({starts}, {stops}, (a, b) -> substring(text, a + 1, b - a)), ''))")
-    return joined.withColumn("text", cut_text).withColumn("removed", F.coalesce("_removed", F.expr("cast(array() as array<struct<at:int,stop:int>>)"))).drop("_gone_id", "_removed")
+    i, k, removed, kept = fresh_name(docs, "_id", "_key", "removed", "kept_ids")
+    gone = removals(docs, least).toDF(i, k, removed, kept)
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(k))
+    met = docs.join(gone, same, "inner" if changed_only else "left")
+    starts = f"concat(array(0), transform(`{removed}`, x -> x.stop))"
+    stops = f"concat(transform(`{removed}`, x -> x.at), array(length(text)))"
+    left = F.expr(f"if(`{removed}` is null, text, array_join(zip_with({starts}, {stops}, (a, b) -> substring(text, a + 1, b - a)), ''))")
+    nothing = {removed: "cast(array() as array<struct<at:int,stop:int>>)", kept: "cast(array() as array<bigint>)"}
+    return met.select(*[left.alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns], *[F.coalesce(F.col(c), F.expr(e)).alias(c) for c, e in nothing.items()])
+
+
+#: The same in SQL over ``documents``, rank by (doc_id, at).
+SQL = f"""
+with tokens as (
+  select doc_id, text, length(regexp_extract(text, '^[\\x20\\x09-\\x0D]*')) as lead,
+    regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+[\\x20\\x09-\\x0D]*') as toks
+  from documents where text is not null),
+unrolled as (
+  select doc_id, lead, unnest(toks) as tok, unnest(range(1, len(toks) + 1)) as k, len(toks) as n from tokens),
+words as (
+  select *, regexp_extract(tok, '^[^\\x20\\x09-\\x0D]+') as word,
+    lead + sum(length(tok)) over w - length(tok) as lo
+  from unrolled window w as (partition by doc_id order by k)),
+closed as (
+  select *, k = n or contains(tok, chr(10)) or right(word, 1) in ('.', '!', '?', ',', ';', ':') as closes,
+    sum(length(word) + 1) over (partition by doc_id order by k) - length(word) - 1 as plain_lo
+  from words),
+placed as (
+  select *, sum(closes::int) over (partition by doc_id order by k) - closes::int as clause from closed),
+plain as (
+  select doc_id, string_agg(translate(word, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ' ' order by k) as line
+  from words group by doc_id),
+clauses as (
+  select doc_id, clause, min(k) as a, max(k) as z, min(lo) as lo, max(lo + length(word)) as hi,
+    min(plain_lo) as plain_lo, max(plain_lo + length(word)) as plain_hi
+  from placed group by doc_id, clause),
+windows as (
+  select s.doc_id, s.clause as first, e.clause as past, s.lo, substring(line, s.plain_lo::int + 1, (e.plain_hi - s.plain_lo)::int) as paragraph
+  from clauses s asof join clauses e on s.doc_id = e.doc_id and s.a + {LEAST_WORDS} - 1 <= e.z
+  join plain on plain.doc_id = s.doc_id),
+ranked as (
+  select *, row_number() over w as r, first_value(doc_id) over w as kept_id
+  from windows window w as (partition by paragraph order by doc_id, lo)),
+gone as (
+  select distinct r.doc_id, c.clause, c.lo, c.hi
+  from ranked r join clauses c on r.doc_id = c.doc_id and c.clause between r.first and r.past where r.r > 1),
+islands as (
+  select *, clause - row_number() over (partition by doc_id order by clause) as island from gone),
+runs as (
+  select doc_id, min(lo) as lo, max(hi) as hi from islands group by doc_id, island),
+pieces as (
+  select *, lag(hi, 1, 0) over (partition by doc_id order by lo) as before from runs),
+kept as (
+  select doc_id, string_agg(kept_id::varchar, ',' order by kept_id) as kept_ids
+  from (select distinct doc_id, kept_id from ranked where r > 1) group by doc_id)
+select p.doc_id, count(*) as n_runs, sum(p.hi - p.lo)::bigint as n_chars_removed,
+  string_agg(p.lo::bigint || ':' || p.hi::bigint, ',' order by p.lo) as removed, any_value(kept_ids) as kept_ids,
+  string_agg(substring(d.text, p.before::int + 1, (p.lo - p.before)::int), '' order by p.lo) || any_value(d.text)[max(p.hi)::int + 1:] as text
+from pieces p join tokens d on d.doc_id = p.doc_id join kept k on k.doc_id = p.doc_id
+group by p.doc_id
+"""

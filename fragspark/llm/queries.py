@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, table
+from .linededup import SQL as LINE_DEDUP_SQL
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -36,9 +37,15 @@ def op3_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .linededup import repeats
+    """A row for each document that loses a passage: the runs removed, whose earlier copies stay where, and the text left."""
+    from .linededup import deduplicate
 
-    return repeats(table(spark, sf_dir, "documents"))
+    found = deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"), changed_only=True)
+    runs = F.transform("removed", lambda x: F.concat_ws(":", x["at"], x["stop"]))
+    chars = F.aggregate("removed", F.lit(0).cast("long"), lambda n, x: n + x["stop"] - x["at"])
+    return found.select(
+        "doc_id", F.size("removed").cast("long").alias("n_runs"), chars.alias("n_chars_removed"), F.array_join(runs, ",").alias("removed"), F.array_join("kept_ids", ",").alias("kept_ids"), "text"
+    )
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,4 +91,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_byte_cnn, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}

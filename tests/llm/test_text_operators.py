@@ -221,20 +221,65 @@ def test_toxicity(spark, odd, none):
 # --- 4
 
 
+def brute_paragraphs(text, least):
+    """(at, stop, first, past, normalised) by regular expressions, a clause at a time."""
+    words = [(m.start(), m.end()) for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+    ends = [k + 1 for k, (_, b) in enumerate(words) if text[b - 1] in ".!?,;:" or k + 1 == len(words) or "\n" in text[b : words[k + 1][0]]]
+    begins = [0, *ends][: len(ends)]
+    out = []
+    for first, a in enumerate(begins):
+        past = next((k for k, z in enumerate(ends) if z - a >= least), None)
+        if past is not None:
+            run = words[a : ends[past]]
+            plain = " ".join(re.sub("[A-Z]", lambda m: m[0].lower(), text[x:y]) for x, y in run)
+            out.append((run[0][0], run[-1][1], first, past + 1, plain))
+    return out
+
+
 def test_line_dedup(spark, odd, none):
-    passage = "This passage of many words comes back again. It has a second sentence of some length too."
-    rows = [(3, "Intro of its own with words.\n" + passage), (1, passage.upper() + " Tail that is not seen elsewhere at all."), (2, "short line\nshort line\n" + passage), (7, None), (8, "")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = linededup.repeats(docs).collect()
-    assert Counter((r.doc_id, r.kept_doc_id) for r in got) == {(3, 1): 2, (2, 1): 2}
-    text = dict(rows)
-    for r in got:
-        a, b = text[r.doc_id][r.at : r.stop], text[1][r.kept_at :][: r.stop - r.at]
-        assert a.lower() == b.lower()
-    clean = {r.doc_id: r for r in linededup.deduplicate(docs).collect()}
-    assert clean[3].text == "Intro of its own with words.\n " and clean[2].text == "short line\nshort line\n " and clean[1].text == rows[1][1]
-    assert clean[7].text is None and clean[8].text == "" and len(clean[3].removed) == 2
-    assert linededup.repeats(none).count() == 0 and linededup.deduplicate(odd).count() == len(odd_rows())
+    rng = random.Random(13)
+    passage = "Ünder one passage of many words, it comes back; again and again.\nIt has a second line: of some length too, and a third clause to end."
+    rows = [(3, "Intro of its own with words.\n" + passage + " Own tail."), (1, passage.upper() + " Tail that is not seen elsewhere at all."), (2, "glued to" + passage + passage), (7, None), (8, "")]
+    rows += [(None, "An entirely different text that no one else has, of course."), (None, "Another row without id, " + passage), (None, "Another row without id, " + passage), (5, passage + " five"), (5, "another five " + passage), (5, "no more of it"), (9, "a. " * 200), (10, "the " * 300)]
+    rows += [(20 + k, prose(rng, 30) + ". " + rng.choice([passage, prose(random.Random(k % 3), 25)]) + " " + prose(rng, 10)) for k in range(30)]
+    docs = spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, removed string, _id string")
+    for least in (10, 20):
+        first = {}
+        key = {r.text: r.key for r in docs.selectExpr("text", "xxhash64(text) as key").collect()}
+        order = sorted({r for r in rows if r[1]}, key=lambda r: (r[0] is None, r[0] or 0, key[r[1]]))
+        want = {}
+        for i, text in order:
+            gone = []
+            for at, stop, a, z, plain in brute_paragraphs(text, least):
+                if first.setdefault(plain, (i, text, at)) != (i, text, at):
+                    gone.append((at, stop, a, z))
+            covered = {k for _, _, a, z in gone for k in range(a, z)}
+            runs = []
+            for at, stop, a, z in gone:
+                if runs and a <= runs[-1][2]:
+                    runs[-1] = (runs[-1][0], max(stop, runs[-1][1]), max(z, runs[-1][2]))
+                else:
+                    runs.append((at, stop, z))
+            assert len(runs) <= len(covered)
+            want[i, text] = [(a, b) for a, b, _ in runs]
+        got = linededup.deduplicate(docs, least).collect()
+        assert len(got) == len(rows) and got[0].removed == "x" and got[0]._id == "y"
+        left = Counter()
+        for i, text in rows:
+            new, at = "", 0
+            for a, b in want.get((i, text), []):
+                new, at = new + text[at:a], b
+            runs = tuple(want.get((i, text), []))
+            left[i, None if text is None else new + text[at:], runs] += 1
+        assert Counter((r.doc_id, r.text, tuple((x.at, x.stop) for x in r.removed_)) for r in got) == left
+        assert sum(bool(w) for w in want.values()) > 10
+        changed = linededup.deduplicate(docs, least, changed_only=True)
+        assert changed.count() == sum(n for (_, _, runs), n in left.items() if runs)
+        if least == 10:  # two rows of one id: each loses its own places
+            assert "five" in {r.text for r in got if r.doc_id == 5 and r.removed_}.pop()
+            assert {r.kept_ids[0] for r in got if r.doc_id == 5 and r.removed_} == {1}
+    assert linededup.deduplicate(none).count() == 0 and linededup.deduplicate(odd).count() == len(odd_rows())
+    assert [r.text for r in linededup.deduplicate(odd).where("doc_id = 9").collect()] == [LONG]
 
 
 # --- 5 and 7
