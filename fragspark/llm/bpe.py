@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import spans_of
 from .vocabulary import KEPT, LONGEST_KEPT, PATTERN, Vocabulary, parts_of
 
 #: Verdicts on pairs of tokens that are kept at most; beyond that the table starts anew.
@@ -205,12 +205,13 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary_path: str, digests: bool = False) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, digests: bool = False, decoded: bool = True) -> DataFrame:
     """Encode docs(doc_id, text) and decode again.
 
     Returns for each row doc_id, n_tokens and round_trip (the decoded text equals the text); with
-    ``digests`` ids_sha256 and decoded_sha256 beside them, else ids (array of int) and decoded. A null
-    text counts as empty and gives no ids. Repeated rows give repeated results.
+    ``digests`` ids_sha256 and decoded_sha256 beside them, else ids (array of int) and, if wanted, decoded. A null
+    text counts as empty and gives no ids. Repeated rows give repeated results, an empty table none. Other columns
+    are not looked at. Texts leave Arrow, and results enter it, piece by piece.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
@@ -218,22 +219,24 @@ def encode(docs: DataFrame, vocabulary_path: str, digests: bool = False) -> Data
         c = codec(shipped.value)
         decimal = c.decimal.__getitem__
         for batch in batches:
-            ids_column = batch.column(0)
-            texts = [x.as_py() or "" for x in batch.column(1)]
-            for a, b in pieces(texts):
-                rows: dict[str, list] = {"n": [], "same": [], "x": [], "y": []}
-                for text, found in zip(texts[a:b], c.encode(texts[a:b])):
+            for a, b in spans_of(batch.column(1)):
+                texts = [x.as_py() or "" for x in batch.column(1).slice(a, b - a)]
+                columns: list[list] = [[], [], [], []]
+                for text, found in zip(texts, c.encode(texts)):
                     ids = found.tolist()
                     back = c.decode(ids)
-                    rows["n"].append(len(ids))
-                    rows["same"].append(back == text)
-                    rows["x"].append(hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest() if digests else found.astype(np.int32))
-                    rows["y"].append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() if digests else back)
-                kinds = (pa.int64(), pa.bool_(), pa.string() if digests else pa.list_(pa.int32()), pa.string())
-                yield pa.RecordBatch.from_arrays([ids_column.slice(a, b - a), *map(pa.array, rows.values(), kinds)], names=names)
-
-    names = ["doc_id", "n_tokens", "round_trip", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded"))]
-    kind = "string" if digests else "array<int>"
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, f"doc_id long, n_tokens long, round_trip boolean, {names[3]} {kind}, {names[4]} string"
-    )
+                    row = [len(ids), back == text]
+                    if digests:
+                        row += [hashlib.sha256(",".join(map(decimal, ids)).encode()).hexdigest(), hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest()]
+                    else:
+                        row += [found.astype(np.int32), back]
+                    for column, x in zip(columns, row):
+                        column.append(x)
+                arrays = [batch.column(0).slice(a, b - a), *(pa.array(x, k) for x, k in zip(columns[: len(names) - 1], kinds))]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    kinds = (pa.int64(), pa.bool_(), pa.string() if digests else pa.list_(pa.int32()), pa.string())
+    names = ["doc_id", "n_tokens", "round_trip", *(("ids_sha256", "decoded_sha256") if digests else ("ids", "decoded")[: 1 + decoded])]
+    told = ["long", "long", "boolean", "string" if digests else "array<int>", "string"]
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in zip(names, told)))

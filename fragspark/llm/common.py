@@ -7,6 +7,8 @@ import tempfile
 import uuid
 import zlib
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +58,24 @@ def fresh_name(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Keys of the most rows that a spread join salts, and the tasks that each of them goes to.
+HOT, SALTS = 10_000, 64
+
+
+def join_spread(rows: DataFrame, told: DataFrame, keys: list[str]) -> DataFrame:
+    """rows joined with told on keys, where told has one row for each key and, in ``n``, how many of rows it meets.
+
+    The HOT keys of the largest n are salted, so that their rows go to SALTS tasks each; any other key has less
+    than a HOT-th of the rows. ``told`` is used three times: give a checkpoint. ``n`` isn't returned.
+    """
+    hot = told.where("n > 1").orderBy(F.desc("n"), *keys).limit(HOT).select(*keys, F.lit(True).alias("_hot"))
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = told.drop("n").join(F.broadcast(hot), keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")  # HOT rows at most
+    spread = rows.join(F.broadcast(hot), keys, "left")
+    spread = spread.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    return spread.join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def ship_package(spark: SparkSession) -> None:
     """Let Python workers of this application import the package from where the driver has it.
 
@@ -100,3 +120,14 @@ def pieces(texts, chars: int = PIECE_CHARS):
             at, size = i + 1, 0
     if at < len(texts):
         yield at, len(texts)
+
+
+def spans_of(texts, size: int = PIECE_CHARS // 2):
+    """Split an Arrow column of texts into runs of about so many bytes, without taking them out; yields (from, to)."""
+    told = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(told, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to

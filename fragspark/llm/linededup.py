@@ -3,7 +3,7 @@
 A text is cut into clauses: at line feeds, and behind words that end in one of ``.!?,;:``. A paragraph is the
 shortest run of whole clauses, from any clause on and across lines, that has LEAST_WORDS words. It is normalised
 by lower-casing A-Z and joining its words with single spaces. Of all occurrences of a normalised paragraph, in
-all documents, the first in rank (doc_id, null last; text's hash; place) stays, and the others are removed. A removed
+all documents, the first in rank (doc_id, null last; the text's hash; place) stays, and the others are removed. A removed
 paragraph's words stand unremoved somewhere of lesser rank: each removal points to an earlier place, and such
 a chain ends at a place that none covers. Repeats of fewer words than LEAST_WORDS stay, as they agree by chance.
 
@@ -19,30 +19,28 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, fresh_name
+from .common import cut, fresh_name, join_spread
 
 #: Least words of a paragraph.
 LEAST_WORDS = 30
-#: The digests of the most occurrences, at most so many, are spread over SALTS tasks each; any other digest
-#: has less than a HOT-th of all occurrences.
-HOT, SALTS = 10_000, 64
 _FLUSH = 100_000
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _MARK = np.zeros(256, bool)
 _MARK[list(b".!?,;:")] = True
 _DIGEST = np.dtype([("d", "<i8"), ("c", "<i4")])
-_FIELDS = ("at", "stop", "first", "past")
+_ROW = ("last", "id", "key")
 
 
-def paragraphs(data: bytes, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(places, digests) of a text in UTF-8: rows (at, stop, first clause, past clause), at and stop in code points."""
-    raw = np.frombuffer(data, np.uint8)
+def _clauses(raw: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of a text in UTF-8: byte places where words start and end, and for each paragraph its first and past clause
+    and its first and past word."""
     edges = np.flatnonzero(np.diff(np.concatenate([[True], _BLANK[raw], [True]]).view(np.int8)))
     starts, ends = edges[::2], edges[1::2]
     if len(starts) < least:
-        return np.zeros((0, 4), np.int32), np.zeros(0, _DIGEST)
+        return (starts, ends, *[np.zeros(0, np.int64)] * 4)
     feeds = np.flatnonzero(raw == 10)
     closes = _MARK[raw[ends - 1]]
     closes[:-1] |= np.searchsorted(feeds, starts[1:]) > np.searchsorted(feeds, ends[:-1])
@@ -51,42 +49,64 @@ def paragraphs(data: bytes, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.nd
     past = np.searchsorted(bounds, bounds[:-1] + least)
     first = np.flatnonzero(past < len(bounds))
     past = past[first]
-    a, z = bounds[first], bounds[past]
-    later = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no code point
-    at, stop = (x - np.searchsorted(later, x) for x in (starts[a], ends[z - 1]))
+    return starts, ends, first, past, bounds[first], bounds[past]
+
+
+def paragraphs(data: bytes, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """(first clauses, digests) of the paragraphs of a text in UTF-8."""
+    starts, ends, first, _, a, z = _clauses(np.frombuffer(data, np.uint8), least)
+    if not len(first):
+        return np.zeros(0, np.int32), np.zeros(0, _DIGEST)
     plain = b" ".join(data.lower().split())
     begins = np.concatenate([[0], np.cumsum(ends - starts + 1)])
     found = b"".join([hashlib.blake2b(plain[p:q], digest_size=12).digest() for p, q in zip(begins[a].tolist(), (begins[z] - 1).tolist())])
-    return np.stack([at, stop, first, past], axis=1).astype(np.int32), np.frombuffer(found, _DIGEST)
+    return first.astype(np.int32), np.frombuffer(found, _DIGEST)
 
 
-def _keyed(docs: DataFrame) -> list:
-    """Columns id and key, which name a row of docs by its id and its text."""
-    return [F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.col("text").cast("string")).alias("key")]
+def runs(data: bytes, gone: list[int], least: int = LEAST_WORDS) -> list[tuple[int, int]]:
+    """(at, stop) in code points of the runs that these paragraphs, by first clause, cover together."""
+    raw = np.frombuffer(data, np.uint8)
+    starts, ends, first, past, a, z = _clauses(raw, least)
+    later = np.flatnonzero((raw & 0xC0) == 0x80)  # bytes that begin no code point
+    out: list[list[int]] = []
+    reach = -1
+    for k in np.searchsorted(first, sorted(gone)).tolist():
+        if first[k] <= reach:
+            out[-1][1] = ends[z[k] - 1]
+        else:
+            out.append([starts[a[k]], ends[z[k] - 1]])
+        reach = past[k]
+    places = np.array(out, np.int64).ravel()
+    chars = (places - np.searchsorted(later, places)).tolist()
+    return list(zip(chars[::2], chars[1::2]))
+
+
+def _row() -> list:
+    """Columns last, id and key, never null, which name a row of docs by its id, or none, and its text."""
+    told, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return [told.isNull().alias("last"), F.coalesce(told, F.xxhash64(text)).alias("id"), F.hash(text).alias("key")]
 
 
 def hashed(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(id, key, at, stop, first, past, d, c): a row for each paragraph of docs(doc_id, text); (d, c) is its digest."""
+    """(last, id, key, first, d, c): a row for each paragraph of docs(doc_id, text); (d, c) is its digest."""
 
     def run(batches):
         held: list = []
 
         def packed():
-            ids, keys, places, digests = zip(*held)
-            counts = [len(p) for p in places]
-            owner = pa.array(np.repeat(np.arange(len(held)), counts))
-            at, found = np.concatenate(places), np.concatenate(digests)
-            columns = [pa.array(ids, pa.int64()).take(owner), pa.array(keys, pa.int64()).take(owner)]
-            columns += [pa.array(np.ascontiguousarray(at[:, k])) for k in range(4)]
-            columns += [pa.array(np.ascontiguousarray(found["d"])), pa.array(np.ascontiguousarray(found["c"]))]
-            return pa.RecordBatch.from_arrays(columns, names=["id", "key", *_FIELDS, "d", "c"])
+            rows, places, digests = zip(*held)
+            owner = pa.array(np.repeat(np.arange(len(held)), list(map(len, places))))
+            found = np.concatenate(digests)
+            columns = [pa.array(x, t).take(owner) for x, t in zip(zip(*rows), (pa.bool_(), pa.int64(), pa.int32()))]
+            columns += [pa.array(np.ascontiguousarray(x)) for x in (np.concatenate(places), found["d"], found["c"])]
+            return pa.RecordBatch.from_arrays(columns, names=[*_ROW, "first", "d", "c"])
 
         size = 0
         for batch in batches:
-            for i, k, text in zip(batch.column(0), batch.column(1), batch.column(2)):
+            for *row, text in zip(*(batch.column(k) for k in range(4))):
                 places, digests = paragraphs(text.as_py() or b"", least)
                 if len(places):
-                    held.append((i.as_py(), k.as_py(), places, digests))
+                    held.append(([x.as_py() for x in row], places, digests))
                     size += len(places)
                 if size > _FLUSH:
                     yield packed()
@@ -94,74 +114,64 @@ def hashed(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
         if held:
             yield packed()
 
-    rows = docs.select(*_keyed(docs), F.col("text").cast("string").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "id long, key long, at int, stop int, first int, past int, d long, c int")
+    rows = docs.select(*_row(), F.col("text").cast("string").cast("binary").alias("text"))
+    return rows.mapInArrow(run, "last boolean, id long, key int, first int, d long, c int")
 
 
 def repeats(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """Every occurrence that isn't its paragraph's first: id, key (of the row), at, stop, first, past, kept_id, kept_at.
+    """Every occurrence that isn't its paragraph's first: last, id and key (of the row), first clause, kept_id.
 
     Occurrences meet by digest. Digests are grouped with partial aggregation; the ones of most occurrences are
     salted in the join back, so that a passage in a third of all documents lands in many tasks.
     """
     found = hashed(docs, least)
-    rank = F.struct(F.col("id").isNull().alias("last"), "id", "key", "at")
+    rank = F.struct(*_ROW, "first")
     earliest = found.groupBy("d", "c").agg(F.min(rank).alias("rank"), F.count("*").alias("n")).where("n > 1")
-    earliest = cut(earliest)
-    hot = earliest.orderBy(F.desc("n"), "d", "c").limit(HOT).select("d", "c", F.lit(True).alias("hot"))
-    flagged = earliest.join(F.broadcast(hot), ["d", "c"], "left")  # HOT rows at most
-    salts = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    earliest = flagged.select("d", "c", "rank", F.explode(salts).alias("salt"))
-    spread = found.join(F.broadcast(hot), ["d", "c"], "left")
-    spread = spread.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("id", "key", "at"), F.lit(SALTS)).cast("int")).otherwise(0)).drop("hot")
-    met = spread.join(earliest, ["d", "c", "salt"]).where(~rank.eqNullSafe(F.col("rank")))
-    return met.select("id", "key", *_FIELDS, F.col("rank.id").alias("kept_id"), F.col("rank.at").alias("kept_at"))
-
-
-def _runs(batches):
-    """For each row of docs one list of runs (at, stop) of overlapping or adjoining paragraphs, and their earliest ids."""
-    for batch in batches:
-        spans, kept = [], []
-        for found in batch.column(2):
-            runs: list[list[int]] = []
-            reach = -1
-            told = found.as_py()
-            for x in sorted(told, key=lambda x: x["first"]):
-                if x["first"] <= reach:
-                    runs[-1][1] = max(runs[-1][1], x["stop"])
-                else:
-                    runs.append([x["at"], x["stop"]])
-                reach = max(reach, x["past"])
-            spans.append([{"at": a, "stop": b} for a, b in runs])
-            ids = {x["kept_id"] for x in told}
-            kept.append([*sorted(ids - {None}), *[None] * (None in ids)])
-        columns = [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32())]))), pa.array(kept, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, names=["id", "key", "removed", "kept_ids"])
+    met = join_spread(found, cut(earliest), ["d", "c"]).where(rank != F.col("rank"))
+    return met.select(*_ROW, "first", F.when(~F.col("rank.last"), F.col("rank.id")).alias("kept_id"))
 
 
 def removals(docs: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
-    """(id, key, removed, kept_ids) for each row of docs that loses something: runs (at, stop) in code points, by place."""
-    told = F.struct(*_FIELDS, "kept_id")
-    grouped = repeats(docs, least).groupBy("id", "key").agg(F.collect_set(told).alias("found"))  # within one text
-    return grouped.mapInArrow(_runs, "id long, key long, removed array<struct<at:int,stop:int>>, kept_ids array<long>")
+    """(last, id, key, gone, kept_ids) for each row of docs that loses something; gone has first clauses."""
+    kept = F.array_sort(F.collect_set("kept_id"))
+    return repeats(docs, least).groupBy(*_ROW).agg(F.collect_set("first").alias("gone"), kept.alias("kept_ids"))  # within one text
 
 
 def deduplicate(docs: DataFrame, least: int = LEAST_WORDS, changed_only: bool = False) -> DataFrame:
     """docs with their repeated paragraphs cut out of ``text``, and two more columns.
 
     ``removed`` lists what went, (at, stop) in code points of the text as it was; ``kept_ids`` the documents that hold
-    the earliest occurrences. Columns of docs by these names stay, and the new ones get underscores. Rows, their
-    number and other columns stay as they are (only rows that lose something with ``changed_only``).
+    the earliest occurrences, by id, those without one left out. Columns of docs by these names stay, and the new
+    ones get underscores. Rows, their number and other columns stay as they are (only rows that lose something
+    with ``changed_only``).
     """
-    i, k, removed, kept = fresh_name(docs, "_id", "_key", "removed", "kept_ids")
-    gone = removals(docs, least).toDF(i, k, removed, kept)
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col("text").cast("string")) == F.col(k))
-    met = docs.join(gone, same, "inner" if changed_only else "left")
-    starts = f"concat(array(0), transform(`{removed}`, x -> x.stop))"
-    stops = f"concat(transform(`{removed}`, x -> x.at), array(length(text)))"
-    left = F.expr(f"if(`{removed}` is null, text, array_join(zip_with({starts}, {stops}, (a, b) -> substring(text, a + 1, b - a)), ''))")
-    nothing = {removed: "cast(array() as array<struct<at:int,stop:int>>)", kept: "cast(array() as array<bigint>)"}
-    return met.select(*[left.alias("text") if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns], *[F.coalesce(F.col(c), F.expr(e)).alias(c) for c, e in nothing.items()])
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
+
+    def run(batches):
+        for batch in batches:
+            texts, spans = [], []
+            for text, gone in zip(batch.column(at), batch.column(batch.num_columns - 2)):
+                text, found = text.as_py(), []
+                if gone.is_valid:
+                    found = runs(text.encode(), gone.as_py(), least)
+                    edges = [0, *[x for run in found for x in run], len(text)]
+                    text = "".join(text[a:b] for a, b in zip(edges[::2], edges[1::2]))
+                texts.append(text)
+                spans.append([{"at": a, "stop": b} for a, b in found])
+            columns = [batch.column(k) for k in range(batch.num_columns)]
+            columns[at] = pa.array(texts, columns[at].type)
+            columns[-2] = pa.array(spans, pa.list_(pa.struct([("at", pa.int32()), ("stop", pa.int32())])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    last, i, k, gone, kept, removed = fresh_name(docs, "_last", "_id", "_key", "_gone", "kept_ids", "removed")
+    own = [F.col(f"`{c}`").cast("string").alias(c) if c.lower() == "text" else F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(*own, *[x.alias(n) for x, n in zip(_row(), (last, i, k))])
+    met = keyed.join(removals(docs, least).toDF(last, i, k, gone, kept), [last, i, k], "inner" if changed_only else "left")
+    kept_ids = F.coalesce(kept, F.expr("cast(array() as array<bigint>)")).alias(kept)
+    told = met.select(*[F.col(f"`{c}`") for c in docs.columns], gone, kept_ids)
+    schema = T.StructType([*told.schema.fields[:-2], T.StructField(removed, T._parse_datatype_string("array<struct<at:int,stop:int>>")), told.schema.fields[-1]])
+    names = schema.names
+    return told.mapInArrow(run, schema)
 
 
 #: The same in SQL over ``documents``, rank by (doc_id, at).

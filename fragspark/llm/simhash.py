@@ -1,61 +1,79 @@
 """SimHash near-duplicates, linked by covering locality-sensitive hashing.
 
-Every bit position i of a fingerprint gets a code m(i) out of the 7 non-zero vectors of three bits.
-Table v (again one of the 7) keeps the bits with an odd inner product <m(i), v>. Two fingerprints that
-differ in at most two places i, j leave a v that is orthogonal to m(i) and m(j): in table v neither
-place is kept, so the pair surely meets there. No pair within the radius is lost, and each table still
-keeps some 36 of the 64 bits.
+The bits of a fingerprint are dealt into equal parts. Two fingerprints that differ in at most ``radius`` bits
+differ in at most radius // parts = q bits of some part. Within a part every bit position i has a code m(i), a
+non-zero vector of q + 1 bits, and table v, for each non-zero vector v, keeps the bits with an odd inner
+product <m(i), v>. For any q positions some v is orthogonal to all their codes: in table v none of them is
+kept, so the pair surely meets there. No pair within the radius is lost, and a table keeps about half of a part.
+
+``near_duplicates`` links fingerprints of three-word shingles within two bits. ``keep_one`` links texts whose sets of
+five-word shingles have a Jaccard likeness of 0.8 or more: a wider radius gives the candidates, and their
+likeness is verified exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh_name, join_spread
 from .components import components
 
 RADIUS = 2
 BITS = 64
-#: A bucket with more different fingerprints is linked through neighbour keys, not through pairs.
+#: A bucket with more different fingerprints is linked through neighbour keys or leaders first, not through pairs.
 BUSY_BUCKET = 32
 SHINGLE_WORDS = 3
 SEED = 42
+#: For texts of a Jaccard likeness of LIKENESS on WIDE_SHINGLE words: candidates within WIDE_RADIUS bits surely
+#: meet; pairs up to LOOSE bits that meet as well are verified too. Members of a busy bucket are verified against LEADERS first.
+LIKENESS, WIDE_SHINGLE, WIDE_RADIUS, PARTS, LOOSE, LEADERS = 0.8, 5, 11, 2, 16, 3
 _BLOCK = 1 << 15
 
 
-def covering_masks() -> list[int]:
-    """The seven masks as unsigned integers; m(i) runs through 1..7 over the bit positions."""
-    odd = lambda a: a.bit_count() & 1
-    return [sum(1 << i for i in range(BITS) if odd((1 + i % 7) & v)) for v in range(1, 8)]
+def covering_masks(radius: int = RADIUS, parts: int = 1) -> list[int]:
+    """The masks of all tables, as unsigned integers: parts * (2 ** (radius // parts + 1) - 1) of them."""
+    width, dims = BITS // parts, radius // parts + 1
+    codes = [2 * i + 1 for i in range(width)] if width <= 1 << (dims - 1) else [1 + i % ((1 << dims) - 1) for i in range(width)]
+    return [sum(1 << (p * width + i) for i, m in enumerate(codes) if (m & v).bit_count() & 1) for p in range(parts) for v in range(1, 1 << dims)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit SimHash of a text, unsigned; 0 without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+def shingle_hashes(data: bytes, k: int = SHINGLE_WORDS) -> np.ndarray:
+    """XXH64 of the k-word shingles of a text in UTF-8, repeats included; fewer words are one shingle, none none."""
+    words = data.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, ">u8")
     joined = b" ".join(words)
-    ends = list(accumulate((len(w) + 1 for w in words)))
-    if len(words) < SHINGLE_WORDS:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    starts = [0, *ends[: -SHINGLE_WORDS]]
-    stops = ends[SHINGLE_WORDS - 1 :]
-    digest, n = xxhash.xxh64_digest, len(starts)
+    ends = list(accumulate(len(w) + 1 for w in words))
+    if len(words) < k:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], ">u8")
+    starts, stops = [0, *ends[:-k]], ends[k - 1 :]
+    digest = xxhash.xxh64_digest
+    return np.frombuffer(b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts, stops)]), ">u8")
+
+
+def folded(hashes: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, unsigned: a bit is 1 if it is set in over half of them; 0 without any."""
     total = np.zeros(BITS, dtype=np.int64)
-    for at in range(0, n, _BLOCK):
-        hashes = b"".join([digest(joined[a : b - 1], SEED) for a, b in zip(starts[at : at + _BLOCK], stops[at : at + _BLOCK])])
-        total += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(total * 2 > n).tobytes(), "big")
+    raw = hashes.view(np.uint8).reshape(-1, 8)
+    for at in range(0, len(raw), _BLOCK):
+        total += np.unpackbits(raw[at : at + _BLOCK], axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(total * 2 > len(raw)).tobytes(), "big")
+
+
+def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of a text, unsigned; 0 without words."""
+    return folded(shingle_hashes((text or "").encode("utf-8", "surrogatepass"), k))
 
 
 def _fingerprints(batches):
@@ -111,26 +129,141 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the smallest doc_id that links of at most two differing bits can reach. Null texts
     count as empty; documents without words share fingerprint 0. Rows with a null id take part, and a
-    component of null ids only has a null component_id. Repeated rows give repeated result rows.
+    component of null ids only has a null component_id. Repeated rows give repeated result rows. An empty
+    table gives no rows.
     """
     own = cut(fingerprints(docs))
-    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    distinct = cut(own.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     linked = components(links(distinct.select("fp")))
     joined = linked.join(distinct, linked.node == distinct.fp).select("fp", "root", "least")
     rooted = joined.groupBy("root").agg(F.min("least").alias("all_least"))
     named = cut(joined.join(rooted, "root").select("fp", "all_least"))
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id"))
-    return own.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("all_least", "least").alias("component_id"), "n")
+    return join_spread(own, cut(classes), ["fp"]).select("doc_id", "fp", "component_id")
+
+
+def _row_key() -> list:
+    """Columns i and k, never null, which name a row by its id and its text."""
+    told = F.col("doc_id").cast("long")
+    return [F.coalesce(told, F.lit(0)).cast("long").alias("i"), F.xxhash64(told, F.col("text").cast("string")).alias("k")]
+
+
+def _text_rows(docs: DataFrame) -> DataFrame:
+    return docs.select(*_row_key(), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text"))
+
+
+def _sets(batch, k: int) -> list[np.ndarray]:
+    return [np.unique(shingle_hashes(t.as_py() or b"", k)) for t in batch.column(batch.schema.get_field_index("text"))]
+
+
+def _classed(docs: DataFrame, k: int) -> DataFrame:
+    """(i, k, doc_id, class, fp, n) of each row: rows of equal shingle sets are one class; n counts the set."""
+
+    def run(batches):
+        for batch in batches:
+            sets = _sets(batch, k)
+            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            prints = np.fromiter(map(folded, sets), np.uint64, len(sets)).view(np.int64)
+            columns = [*(batch.column(c) for c in range(3)), pa.array(names, pa.binary()), pa.array(prints), pa.array([len(s) for s in sets], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["i", "k", "doc_id", "class", "fp", "n"])
+
+    return _text_rows(docs).mapInArrow(run, "i long, k long, doc_id long, class binary, fp long, n int")
+
+
+def _shingled(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(class, held): the sorted shingle hashes of the texts of rows(i, k, class), as binary."""
+
+    def run(batches):
+        for batch in batches:
+            held = pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["class", "held"])
+
+    met = _text_rows(docs).join(rows, ["i", "k"]).select("class", "text").dropDuplicates(["class"])
+    return met.mapInArrow(run, "class binary, held binary")
+
+
+def _alike(pairs: DataFrame, shingled: DataFrame, least: float) -> DataFrame:
+    """The pairs (u, v) of classes whose Jaccard likeness, exactly, is at least that."""
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                a, b = np.frombuffer(x.as_py(), ">u8"), np.frombuffer(y.as_py(), ">u8")
+                shared = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(shared >= least * (len(a) + len(b) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda u, h: shingled.select(F.col("class").alias(u), F.col("held").alias(h))
+    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
+
+
+def _verified(docs: DataFrame, classes: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs of classes of that likeness whose fingerprints are a pair (u, v) of prints."""
+    side = lambda c: classes.select(F.col("fp").alias(c), F.col("class").alias(f"c{c}"), F.col("n").alias(f"n{c}"))
+    sizes = F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv")
+    pairs = cut(prints.join(side("u"), "u").join(side("v"), "v").where(sizes).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    named = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
+    shingled = cut(_shingled(docs, classes.join(named, "class", "left_semi").select("i", "k", "class"), k))
+    return cut(_alike(pairs, shingled, least))
+
+
+def _wide_links(docs: DataFrame, classes: DataFrame, k: int, least: float, radius: int, parts: int) -> DataFrame:
+    """Links (u, v) that connect all classes(class, fp, n, i, k) of that likeness within the radius.
+
+    Classes of one fingerprint are linked among themselves as well. In a busy bucket each fingerprint is verified
+    against a few leaders first. What then is in the component of most of a bucket needs no pairs among itself;
+    all other pairs of the bucket are verified, so no pair that shares a bucket is lost.
+    """
+    distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n")))
+    total, several = distinct.agg(F.count("*"), F.count(F.when(F.col("n") > 1, 1))).first()
+    busy = BUSY_BUCKET + 8 * total // (1 << BITS // (2 * parts))  # a bucket's expected size, eight times
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("b")) for t, m in enumerate(covering_masks(radius, parts))])
+    placed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", F.xxhash64("x.t", "x.b").alias("b"))
+    crowded = cut(placed.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > busy).select("b"))
+    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LOOSE
+    few = placed.join(crowded, "b", "left_anti")
+    side = lambda c, df: df.select("b", F.col("fp").alias(c))
+    pairs = side("u", few).join(side("v", few), "b").where((F.col("u") < F.col("v")) & near).select("u", "v")
+    if several:  # classes of one fingerprint
+        pairs = pairs.union(distinct.where("n > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    pairs = cut(pairs.distinct())
+    if crowded.isEmpty():
+        return _verified(docs, classes, pairs, k, least)
+    many = cut(placed.join(crowded, "b"))
+    leads = [F.min(F.struct(F.xxhash64("fp", F.lit(r)).alias("h"), "fp"))["fp"] for r in range(LEADERS)]
+    led = many.groupBy("b").agg(F.array(*leads).alias("leaders")).select("b", F.explode(F.array_distinct("leaders")).alias("v"))
+    led = many.select("b", F.col("fp").alias("u")).join(led, "b").where((F.col("u") != F.col("v")) & near)
+    links = _verified(docs, classes, pairs.union(led.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), k, least)
+    root = components(links).withColumnRenamed("node", "class")
+    # a fingerprint of several classes counts for its first one's component, unless they are in different ones
+    of = classes.join(root, "class", "left").select("fp", F.coalesce("root", "class").alias("root")).groupBy("fp").agg(F.min("root").alias("root"), F.max("root").alias("other"))
+    of = cut(of.select("fp", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root")))
+    held = cut(many.join(of, "fp"))
+    counts = held.where("root is not null").groupBy("b", "root").agg(F.count("*").alias("m")).groupBy("b").agg(F.max(F.struct("m", "root"))["root"].alias("most"))
+    held = held.join(counts, "b", "left")
+    apart = F.coalesce(F.col("root") != F.col("most"), F.lit(True))
+    x, y = held.where(apart).select("b", F.col("fp").alias("u"), F.col("root").alias("ru")), held.select("b", F.col("fp").alias("v"), F.col("root").alias("rv"))
+    open_ = x.join(y, "b").where((F.col("u") != F.col("v")) & near & F.coalesce(F.col("ru") != F.col("rv"), F.lit(True)))
+    open_ = cut(open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    return links if open_.isEmpty() else links.union(_verified(docs, classes, open_, k, least))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component of near duplicates, the one of its smallest doc_id, with all columns.
+def keep_one(docs: DataFrame, least: float = LIKENESS, shingle_words: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, parts: int = PARTS) -> DataFrame:
+    """One row of docs for each component of near copies, with all columns: the one of its smallest doc_id, null ids last.
 
-    Rows that share a doc_id count as one document, of which the row with the first text stays. Rows without
-    an id stay, one for each text, unless they are near a row that has one.
+    Texts are linked when their sets of shingles have at least that Jaccard likeness, verified exactly, and their
+    fingerprints differ in at most ``radius`` bits (pairs of up to LOOSE bits are linked too where they meet in a
+    table). Null texts and texts without words are copies of each other. A row is known by its id and its text, so
+    different texts of one id or without id are judged each for itself; of equal rows one stays. An empty table
+    gives no rows. Candidates grow with the square of the classes over 2**(32 / parts) in each table.
     """
-    found = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = found.select(F.col("doc_id").alias("_kept")).distinct()
-    met = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    own = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return met.withColumn("_row", F.row_number().over(own)).where("_row = 1").drop("_row")
+    own = cut(_classed(docs, shingle_words))
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "i", "k")
+    classes = cut(own.groupBy("class", "fp", "n").agg(F.min(rank).alias("r")).select("class", "fp", "n", "r", "r.i", "r.k"))
+    linked = components(_wide_links(docs, classes.where("n > 0"), shingle_words, least, radius, parts)).withColumnRenamed("node", "class")
+    rooted = classes.join(linked, "class", "left").select(F.coalesce("root", "class").alias("root"), "r")
+    i, k = fresh_name(docs, "_i", "_k")
+    kept = cut(rooted.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.i").alias(i), F.col("r.k").alias(k)))
+    keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(_row_key(), (i, k))])
+    return keyed.join(kept, [i, k], "left_semi").dropDuplicates([i, k]).select(*[F.col(f"`{c}`") for c in docs.columns])

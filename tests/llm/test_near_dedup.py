@@ -4,14 +4,14 @@ import random
 
 import pytest
 
-from fragspark.llm import minhash, simhash
+from fragspark.llm import simhash
 
 
-@pytest.mark.parametrize("busy", [2, 16])
+@pytest.mark.parametrize("busy", [2, 32])
 def test_near_dedup(spark, monkeypatch, busy):
     import corpus_pipeline
 
-    monkeypatch.setattr(minhash, "BUSY_BUCKET", busy)
+    monkeypatch.setattr(simhash, "BUSY_BUCKET", busy)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
     rows = []
@@ -31,18 +31,46 @@ def test_near_dedup(spark, monkeypatch, busy):
             x = root[x]
         return x
 
-    wide = 0
+    masks = simhash.covering_masks(simhash.WIDE_RADIUS, simhash.PARTS)
+    wide, prints = 0, [simhash.fingerprint(t, 5) for _, t in rows]
     for i, a in enumerate(sets):
         for k in range(i):
             if len(a & sets[k]) >= 0.8 * len(a | sets[k]):
-                wide += (simhash.fingerprint(rows[i][1]) ^ simhash.fingerprint(rows[k][1])).bit_count() > 2
+                apart = prints[i] ^ prints[k]
+                meets = any(not apart & m for m in masks)
+                assert meets or apart.bit_count() > simhash.WIDE_RADIUS
+                if not meets or apart.bit_count() > simhash.LOOSE:
+                    continue
+                wide += apart.bit_count() > 2
                 x, y = top(i), top(k)
                 root[max(x, y)] = min(x, y)
     assert wide > 10
+    rows += rows[:3]  # of equal rows one stays
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
     want = []
-    for r in {top(i) for i in range(len(rows))}:
-        ids = [rows[i] for i in range(len(rows)) if top(i) == r]
+    for r in set(map(top, range(len(sets)))):
+        ids = [rows[i] for i in range(len(sets)) if top(i) == r]
         want.append(min(ids, key=lambda x: (x[0] is None, x[0] or 0)))
     assert got == sorted(want, key=repr)
+
+
+def test_wide_masks():
+    """Any two fingerprints within the radius agree on all bits of some mask."""
+    rng = random.Random(7)
+    for radius, parts, tables in ((2, 1, 7), (3, 1, 15), (5, 2, 14), (11, 2, 126), (9, 2, 62)):
+        masks = simhash.covering_masks(radius, parts)
+        assert len(masks) == tables
+        for _ in range(300):
+            apart = sum(1 << b for b in rng.sample(range(64), rng.randrange(1, radius + 1)))
+            assert any(not apart & m for m in masks)
+
+
+def test_near_dedup_odd(spark):
+    schema = "doc_id long, text string, i long, K string, fp long, n int, class string, r string, _i string"
+    assert simhash.keep_one(spark.createDataFrame([], schema)).count() == 0
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(k, t, 0, "x", 1, 2, "c", "r", "z") for k, t in enumerate([None, "", " \n", long, long + " end", "one", "two", "one"])]
+    out = simhash.keep_one(spark.createDataFrame(rows, schema))
+    assert out.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(r.doc_id for r in out.collect()) == [0, 3, 5, 6]

@@ -392,7 +392,7 @@ def test_simhash(spark, odd, none):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and set(ids) == set(comp.values())
+    assert len(ids) == len(set(ids)) and set(ids) == set(comp.values()) - {11}  # 11 is like 3 on five words
 
 
 @pytest.mark.parametrize("busy", [2, 32])
