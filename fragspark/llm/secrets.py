@@ -1,15 +1,20 @@
 """Secret scan: pattern spans, and incompressible strings in a sensitive context.
 
-Patterns give the base spans. The method adds others: behind a sensitive word on the same line, each run of
-key-like characters is a candidate; its novelty is the number of bytes that zstandard needs for it on top of
-the surrounding text, primed with a dictionary of common identifiers. A candidate that repeats its
-surroundings or is made of known names costs little; a random key costs nearly its length.
+Patterns give the base spans. The method adds others. Each run of key-like characters that begins within REACH
+characters behind a sensitive word, also on later lines, or that only white space parts from a run already found,
+is a candidate. Its novelty is measured by a zstandard compressor whose dictionary holds code words, built-in ones
+and those that identifiers of all documents are made of: the bytes that the surrounding text takes with the candidate
+behind it less the bytes that it takes alone, other occurrences of the candidate blanked out of it. Names and paths are made
+of known words and cost little; a random key costs nearly its length. All copies of a value that is found in a
+text become spans. Candidates that overlap a base span are measured too, but add no span.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
+from collections import Counter
 
 import pyarrow as pa
 import zstandard
@@ -25,38 +30,70 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 LEAST_ASSIGN, LEAST_ACCESS = 12, 18
 _HINTS = ("passw", "secret", "token", "api")
 
-#: Words that make what follows them on a line sensitive.
-SENSITIVE = re.compile(r"(?:secret|token|passw|pwd|api_?key|access_?key|private|credential|bearer|authorization|signature)", re.I | re.A)
-_SENSITIVE_HINTS = ("secret", "token", "passw", "pwd", "key", "private", "credential", "bearer", "authorization", "signature")
+#: Words that make what follows them sensitive.
+SENSITIVE = re.compile(
+    r"secret|token|passw|passphrase|pwd|api_?key|access_?key|private|credential|bearer|authoriz|auth_|signature|signing|hmac|salt|session_?id|(?<![a-z])key(?![a-z])", re.I | re.A
+)
+_SENSITIVE_HINTS = ("secret", "token", "passw", "passph", "pwd", "key", "private", "credential", "bearer", "auth", "sign", "hmac", "salt", "session")
 #: Characters behind a sensitive word in which a candidate must begin, and text on each side that counts as surroundings.
-REACH, AROUND = 48, 400
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: Least marginal compressed bytes for each character of a candidate.
-NOVELTY = 0.7
-#: Identifiers that prime the compressor.
-IDENTIFIERS = (
-    "password passwd secret token api_key apikey access_key_id secret_access_key client_secret client_id private_key public_key "
-    "authorization bearer credential credentials signature session_token refresh_token access_token username user_name database "
-    "connection_string application configuration environment development production localhost example function return import "
-    "self.password = os.environ.get( config.get( getenv( process.env. public static final String const let var def class "
-    "https://www.example.com/ http:// Content-Type: application/json ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 "
+REACH, AROUND = 160, 400
+_RUN = r"[A-Za-z0-9+/_=-]"
+CANDIDATE, REST = re.compile(_RUN + "{16}"), re.compile(_RUN + "+")
+#: Least novelty for each character of a candidate: with a sixth of digits, with fewer, with letters of both cases only.
+NOVELTY, NOVELTY_FEW, NOVELTY_LETTERS = 0.70, 0.76, 0.82
+#: Code words that any dictionary has; it also gets the CODE_WORDS most frequent ones of the corpus.
+CODE_WORDS = 1_500
+BUILT_IN = (
+    "password secret token api key access client private public authorization bearer credential signature session refresh user name database "
+    "connection string application configuration environment development production localhost example function return import self config get "
+    "static final class public void const process system server service provider factory manager handler request response error message value "
+    "default path file data index test type object number count list map set max min retry time date version module package property option "
+    "https://www.example.com/ http:// Content-Type: application/json ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 1234567890"
 )
+_IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+){2,}|[A-Za-z_]+(?=\x20*[=(])", re.A)
+_WORD = re.compile(r"[A-Z]?[a-z]{2,14}|[A-Z]{3,14}")
+
+
+def code_words(text: str) -> set[str]:
+    """The words, in lower case, that the identifiers in a text are made of."""
+    return {w.lower() for m in _IDENTIFIER.finditer(text) for w in _WORD.findall(m[0])}
+
+
+def corpus_words(docs: DataFrame, most: int = CODE_WORDS) -> list[str]:
+    """The code words that most of docs(text) have, the most frequent last; ties by word. At most ``most`` reach the driver."""
+
+    def run(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0):
+                seen.update(code_words(text.as_py() or ""))
+            if len(seen) > 200_000:
+                yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
+                seen.clear()
+        if seen:
+            yield pa.RecordBatch.from_pydict({"word": list(seen), "n": pa.array(seen.values(), pa.int64())})
+
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    told = counted.where("n > 1").orderBy(F.desc("n"), "word").limit(most).collect()
+    return [r.word for r in reversed(told)]
 
 
 class Novelty:
-    """Marginal compressed bytes of a string, given its surroundings and a dictionary."""
+    """Marginal compressed bytes of a string behind its surroundings, the compressor primed with code words."""
 
-    def __init__(self, identifiers: str = IDENTIFIERS, level: int = 3) -> None:
-        self.primer = identifiers.encode()
-        self.level = level
+    def __init__(self, words: list[str] = (), level: int = 3) -> None:
+        primer = " ".join([*words, *(w.capitalize() for w in words), *(w.upper() for w in words)])
+        own = BUILT_IN.split()
+        primer += " " + " ".join([*(w.capitalize() for w in own), *(w.upper() for w in own)]) + " " + BUILT_IN
+        known = zstandard.ZstdCompressionDict(primer.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         params = zstandard.ZstdCompressionParameters.from_level(level, write_content_size=False, write_checksum=False, write_dict_id=False)
-        self.params = params
+        self.tool = zstandard.ZstdCompressor(dict_data=known, compression_params=params)
 
     def __call__(self, before: str, candidate: str, after: str) -> int:
-        around = (before + "\n" + after).encode("utf-8", "surrogatepass")
-        known = zstandard.ZstdCompressionDict(self.primer + around, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        tool = zstandard.ZstdCompressor(dict_data=known, compression_params=self.params)
-        return len(tool.compress(candidate.encode())) - len(tool.compress(b""))
+        # the reversed words match nothing in the dictionary: by their letters the compressor gets a code for letters of names
+        around = (BUILT_IN[::-1] + "\n" + before.replace(candidate, " ") + "\n" + after.replace(candidate, " ") + "\n").encode("utf-8", "surrogatepass")
+        size = lambda b: len(self.tool.compress(b))
+        return size(around + candidate.encode()) - size(around)
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -70,30 +107,65 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return out
 
 
-def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, str]]:
-    """Spans that the method adds: they overlap no base span and no earlier one of their kind."""
+def _least(value: str) -> float | None:
+    """Novelty for each character from which a run counts as a key; None for runs that are none."""
+    lower, upper, digits = any(map(str.islower, value)), any(map(str.isupper, value)), sum(map(str.isdigit, value))
+    if digits and (lower or upper):
+        return NOVELTY if 6 * digits >= len(value) else NOVELTY_FEW
+    return NOVELTY_LETTERS if lower and upper else None
+
+
+def _candidates(text: str):
+    """(start, end, whether only white space parts it from the one before) of the runs in a sensitive context, by place."""
+    at, last = 0, -1
+    for word in SENSITIVE.finditer(text):
+        stop = word.end() + REACH
+        at = max(at, word.end())
+        while (m := CANDIDATE.search(text, at, stop + 16)) and m.start() <= stop:
+            at = REST.match(text, m.start()).end()
+            a, b = m.start(), at
+            while a < b and text[a] in "=-_/+":
+                a += 1
+            while b > a and text[b - 1] in "-_/+":
+                b -= 1
+            if b - a >= 16:
+                chained = last >= 0 and not text[last:a].strip(" \t\r\n\"'\\")
+                yield a, b, chained
+                last = at
+                stop = max(stop, at + 4)  # lines of one key
+
+
+def novel_spans(text: str, base: list[tuple[int, int, str]], novelty: Novelty) -> tuple[int, list[tuple[int, int, str]]]:
+    """(candidates measured, spans that the method adds): spans overlap no base span and no other one of their kind."""
     low = text.lower()
     if not any(h in low for h in _SENSITIVE_HINTS):
-        return []
-    taken = sorted((a, b) for a, b, _ in base)
+        return 0, []
+    found: set[str] = set()
+    measured = 0
+    for a, b, _ in _candidates(text):
+        value = text[a:b]
+        least = _least(value)
+        if least is None or value in found:
+            continue
+        measured += 1
+        if novelty(text[max(0, a - AROUND) : a], value, text[b : b + AROUND]) >= least * len(value):
+            found.add(value)
+    if not found:
+        return measured, []
+    taken: list[list[int]] = []  # merged base spans, then the new ones
+    for a, b, _ in sorted(base):
+        if taken and a <= taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], b)
+        else:
+            taken.append([a, b])
+    starts, stops = [a for a, _ in taken], [b for _, b in taken]
     out: list[tuple[int, int, str]] = []
-    reached = 0
-    for word in SENSITIVE.finditer(text):
-        line_end = text.find("\n", word.end())
-        line_end = len(text) if line_end < 0 else line_end
-        for m in CANDIDATE.finditer(text, max(word.end(), reached), line_end):
-            if m.start() > word.end() + REACH:
-                break
-            a, b = m.span()
-            reached = b
-            value = m[0]
-            if sum(map(any, (map(str.isdigit, value), map(str.islower, value), map(str.isupper, value)))) < 2:
-                continue
-            if any(x < b and a < y for x, y in taken):
-                continue
-            if novelty(text[max(0, a - AROUND) : a], value, text[b : b + AROUND]) >= least * len(value):
-                out.append((a, b, "novel"))
-    return out
+    for m in re.finditer("|".join(map(re.escape, sorted(found, key=lambda v: (-len(v), v)))), text):
+        a, b = m.span()
+        k = bisect_left(stops, a + 1)  # the first base span that ends behind the start
+        if k == len(starts) or starts[k] >= b:
+            out.append((a, b, "novel"))
+    return measured, out
 
 
 def render(spans: list[tuple[int, int, str]]) -> str:
@@ -110,46 +182,49 @@ def redact(text: str, spans: list[tuple[int, int, str]], mark: str = "<SECRET>")
     return "".join([*out, text[at:]])
 
 
-def scan(docs: DataFrame, redacted: bool = False) -> DataFrame:
-    """Spans of each row of docs(doc_id, text); a null text counts as empty, repeated rows repeat.
+def scan(docs: DataFrame, redacted: bool = False, words: list[str] | None = None) -> DataFrame:
+    """Spans of each row of docs(doc_id, text); a null text counts as empty, repeated rows repeat, an empty table has none.
 
-    Returns doc_id, n_assign, n_access, n_hex, n_novel, base_sha256 and spans (kind:start:end in code points by
-    start, then kind, comma-joined) and, if wanted, redacted: the text without its secrets (null stays null).
+    Returns doc_id, n_assign, n_access, n_hex, n_novel, n_measured (candidates whose novelty was taken), base_sha256
+    and spans (kind:start:end in code points by start, then kind, comma-joined) and, if wanted, redacted: the text
+    without its secrets (null stays null). ``words`` prime the compressor; by default they are counted in docs.
     """
+    words = corpus_words(docs) if words is None else words
 
     def run(batches):
-        novelty = Novelty()
+        novelty = Novelty(words)
         for batch in batches:
-            rows: list[list] = [[] for _ in range(6 + redacted)]
+            rows: list[list] = [[] for _ in range(7 + redacted)]
             for value in batch.column(1):
                 text = value.as_py()
                 base = base_spans(text or "")
-                added = novel_spans(text or "", base, novelty)
+                measured, added = novel_spans(text or "", base, novelty)
                 kinds = [k for _, _, k in base]
-                row = [*(kinds.count(k) for k in KINDS[:3]), len(added), hashlib.sha256(render(base).encode()).hexdigest(), render(base + added)]
+                row = [*(kinds.count(k) for k in KINDS[:3]), len(added), measured, hashlib.sha256(render(base).encode()).hexdigest(), render(base + added)]
                 for column, x in zip(rows, row + [redact(text, base + added) if text else text] * redacted):
                     column.append(x)
-            kinds = [pa.int64()] * 4 + [pa.string()] * (2 + redacted)
+            kinds = [pa.int64()] * 5 + [pa.string()] * (2 + redacted)
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, rows, kinds)], names=names)
 
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "base_sha256", "spans", *["redacted"] * redacted]
-    schema = ", ".join(f"{n} {'long' if i < 5 else 'string'}" for i, n in enumerate(names))
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_novel", "n_measured", "base_sha256", "spans", *["redacted"] * redacted]
+    schema = ", ".join(f"{n} {'long' if i < 6 else 'string'}" for i, n in enumerate(names))
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def clean(docs: DataFrame, mark: str = "<SECRET>") -> DataFrame:
+def clean(docs: DataFrame, mark: str = "<SECRET>", words: list[str] | None = None) -> DataFrame:
     """docs with every secret in ``text`` replaced by a mark; rows and other columns stay, null texts too."""
-    at = docs.columns.index("text")
+    words = corpus_words(docs) if words is None else words
+    at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches):
-        novelty = Novelty()
+        novelty = Novelty(words)
         for batch in batches:
             texts = []
             for value in batch.column(at):
                 text = value.as_py()
                 if text:
                     base = base_spans(text)
-                    spans = base + novel_spans(text, base, novelty)
+                    spans = base + novel_spans(text, base, novelty)[1]
                     text = redact(text, spans, mark) if spans else text
                 texts.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))

@@ -1,17 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The vocabulary holds the terms whose presence goes with the label in a bounded sample of labelled rows; their
-document frequencies are counted over all documents. Equal example vectors form one group. Groups are sorted
-so that alike ones are neighbours and cut into blocks; for each term and block the index knows the largest
-weight. A query adds up these bounds, visits the blocks of the largest bounds, and then scores together those whose
-bound reaches the k-th best cosine found; no other block can hold a neighbour: they are exact. Their votes, weighted by cosine, give a score that is
-then calibrated on the examples themselves, each scored without itself.
+The vocabulary holds every term that at least two examples share; no label picks terms. A term weighs
+(1 + log count) * idf * (FLOOR + phi2): idf over all documents, phi2 the squared correlation of the term's presence with the
+label over the examples, which doesn't depend on their number. Equal example vectors form one group. Groups are
+sorted so that alike ones are neighbours and cut into blocks; postings are sorted by group, and for each term
+and block the index knows the largest weight.
+
+A query adds up postings, terms of the largest possible contribution first. The block maxima of the terms left bound
+what each block may still gain; a block whose best sum and bound stay below the k-th best sum found falls out, and
+postings are read in the ranges of the other blocks only. The cosines of the best are taken from their whole vectors. So
+the k nearest groups are exact. Their votes, weighted by cosine, give a score that is calibrated on examples,
+each scored without itself.
 """
 
 from __future__ import annotations
 
 import math
 import string
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -21,134 +27,164 @@ from pyspark.sql import functions as F
 
 from .common import cut, fold, one_label
 
-#: At most this many labelled rows, those of the least hashed ids, serve as examples.
-FIT_ROWS = 20_000
+#: At most this many labelled rows, those of the least hashed ids, serve as examples; so many of them calibrate.
+FIT_ROWS, CALIBRATE_ROWS = 4_000, 1_500
 #: Rows of this fold (crc32 of the id modulo FOLDS) are never learned from.
 FOLDS, HELD_FOLD = 4, 2
-#: Terms of the vocabulary: at most so many, in at least so many examples, with at least this chi-square.
-TERMS, LEAST_DOCS, LEAST_CHI2 = 2048, 4, 25.0
+#: Least weight of a term beside its squared correlation with the label.
+FLOOR = 0.0005
 NEIGHBOURS, BLOCK = 25, 64
-#: Blocks of the largest bounds that are visited first; all others that still may count are scored together.
-FIRST_BLOCKS = 4
+#: Terms that are added up before the first look at the bounds.
+FIRST_TERMS = 8
+#: The blocks' bounds are looked at once what is left could add at most this many times the k-th best sum.
+LOOK = 1.5
 #: Score from which a text is called toxic.
 THRESHOLD = 0.3
+#: Postings are 32-bit floats; sums of them are compared with this slack.
+_SLACK = 1e-5
 _MARKS = string.punctuation
 
 
-def term_counts(text: str, vocabulary: dict[str, int]) -> dict[int, int]:
-    """Term number -> count, for words of the text without outer punctuation, in lower case."""
-    words = text.lower().split()
-    out: dict[int, int] = {}
-    for word in set(words):
-        t = vocabulary.get(word)
-        if t is None:
-            if word[-1:].isalnum() and word[:1].isalnum():
-                continue
-            t = vocabulary.get(word.strip(_MARKS))
-            if t is None:
-                continue
-        out[t] = out.get(t, 0) + words.count(word)
-    return out
-
-
-def _term_labels(batches):
-    """Rows (term, n, pos): in how many documents of the batch a term is, and in how many of label 1."""
-    for batch in batches:
-        n, pos = Counter(), Counter()
-        for text, y in zip(batch.column(0), batch.column(1)):
-            terms = {w.strip(_MARKS) for w in set((text.as_py() or "").lower().split())}
-            n.update(terms)
-            if y.as_py():
-                pos.update(terms)
-        n.pop("", None)
-        terms = list(n)
-        yield pa.RecordBatch.from_pydict({"term": terms, "n": [n[t] for t in terms], "pos": [pos[t] for t in terms]})
+def words_of(text: str) -> Counter:
+    """Counts of the lower-cased words without outer punctuation."""
+    counts = Counter(w.strip(_MARKS) for w in text.lower().split())
+    counts.pop("", None)
+    return counts
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of all ranges, one after another."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
 
 
 class Index:
-    """Example groups with unit vectors, their members and labels, and the block-max postings."""
+    """Example groups with unit vectors, their members and labels, and the block-max postings.
 
-    def __init__(self, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> None:
-        self.vocabulary, self.idf = vocabulary, idf
+    ``examples`` are (doc_id, label, {term number: count}); ``scale`` has the weight of each term.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], scale: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> None:
+        self.vocabulary, self.scale = vocabulary, scale
         self.examples, self.prior = len(examples), (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
-        groups: dict[tuple, list] = {}
+        groups: dict[bytes, list] = {}
         for doc_id, y, counts in examples:
-            g = groups.setdefault(tuple(sorted(counts.items())), [0, 0, doc_id])
+            t, c = self._sorted(counts)
+            key = t.tobytes() + c.tobytes()
+            g = groups.setdefault(key, [0, 0, doc_id, t, c, key])
             g[0], g[1], g[2] = g[0] + 1, g[1] + y, min(g[2], doc_id)
-        none = groups.pop((), [0, 0, None])
+        none = groups.pop(b"", [0, 0, None])
         self.none_n, self.none_pos = none[0], none[1]
-        # alike vectors side by side: by their heaviest terms
-        keyed = sorted(groups.items(), key=lambda x: [t for _, t in sorted(((-idf[t] * (1 + math.log(c)), t) for t, c in x[0]))])
-        self.n = np.array([g[0] for _, g in keyed], float)
-        self.pos = np.array([g[1] for _, g in keyed], float)
-        self.ids = [g[2] for _, g in keyed]
-        self.vectors = [dict(k) for k, _ in keyed]
-        self.blocks = -(-len(keyed) // BLOCK)
-        posted: dict[int, list[tuple[int, float]]] = {}
-        for i, vector in enumerate(self.vectors):
-            for t, w in zip(*self.unit(vector)):
-                posted.setdefault(int(t), []).append((i, float(w)))
-        self.postings: dict[int, tuple] = {}
-        for t, pairs in posted.items():
-            at, w = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            self.postings[t] = (at, w, block, np.maximum.reduceat(w, first), dict(zip(block.tolist(), zip(first.tolist(), [*first[1:].tolist(), len(at)]))))
+        units = {key: self._weighed(g[3], g[4]) for key, g in groups.items()}
+        # alike vectors side by side: by a term of over half the length, else by the commonest term, which tells the
+        # language; then by size, as short vectors have large weights
+        spread = np.bincount(np.concatenate([np.zeros(0, np.int32), *(g[3] for g in groups.values())]), minlength=len(vocabulary))
+
+        def place(g):
+            t, unit = g[3], units[g[5]]
+            heavy = int(unit.argmax())
+            return (0, int(t[heavy]), len(t), g[5]) if unit[heavy] > 0.5 else (1, int(t[spread[t].argmax()]), len(t), g[5])
+
+        held = sorted(groups.values(), key=place)
+        self.n = np.array([g[0] for g in held], float)
+        self.pos = np.array([g[1] for g in held], float)
+        self.ids = [g[2] for g in held]
+        self.group_of = {g[5]: i for i, g in enumerate(held)}
+        self.blocks = -(-len(held) // BLOCK)
+        # whole vectors, one after another
+        self.sizes = np.array([len(g[3]) for g in held], np.int64)
+        self.begins = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.terms = np.concatenate([np.zeros(0, np.int32), *(g[3] for g in held)])
+        self.weights = np.concatenate([np.zeros(0), *(units[g[5]] for g in held)])
+        # postings by term, then group; the largest weight of each term and block
+        owner = np.repeat(np.arange(len(held)), self.sizes)
+        order = np.argsort(self.terms, kind="stable")
+        self.at, self.own = owner[order], self.weights[order].astype(np.float32)
+        edges = np.arange(len(vocabulary) + 1)
+        self.posted = np.searchsorted(self.terms[order], edges)
+        self.top = np.zeros(len(vocabulary))
+        np.maximum.at(self.top, self.terms, self.weights)
+        pair = self.terms[order].astype(np.int64) * max(self.blocks, 1) + self.at // BLOCK
+        pair, first = np.unique(pair, return_index=True)
+        self.first = np.concatenate([first, [len(order)]])
+        self.block, self.most = (pair % max(self.blocks, 1)).astype(np.int32), np.maximum.reduceat(self.own, first) if len(first) else self.own
+        self.blocked = np.searchsorted(pair // max(self.blocks, 1), edges)
         self.slope, self.offset = 1.0, 0.0
-        self.kept: dict[tuple, tuple] = {}
+        self.kept: dict[str, tuple] = {}
+        #: Postings that queries added up, and all postings of their terms.
+        self.visited = self.listed = 0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"kept": {}}
+
+    def counts(self, text: str) -> dict[int, int]:
+        """Term number -> count of a text's known terms."""
+        known = self.vocabulary.get
+        return {t: c for w, c in words_of(text).items() if (t := known(w)) is not None}
+
+    @staticmethod
+    def _sorted(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+        t = np.fromiter(counts.keys(), np.int32, len(counts))
+        order = np.argsort(t)
+        return t[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+
+    def _weighed(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
+        w = (1 + np.log(c)) * self.scale[t]
+        return w / max(math.sqrt(float(w @ w)), 1e-300)
 
     def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(sorted(counts), int, len(counts))
-        w = np.array([(1 + math.log(counts[x])) for x in t.tolist()]) * self.idf[t]
-        return t, w / max(np.sqrt((w * w).sum()), 1e-12)
+        t, c = self._sorted(counts)
+        return t, self._weighed(t, c)
 
     def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, group) of the k best groups with a positive cosine, exact; ties go to the lower group."""
         terms, weights = self.unit(counts)
-        found = [(self.postings[t], w) for t, w in zip(terms.tolist(), weights.tolist()) if t in self.postings]
-        bound = np.zeros(self.blocks)
-        for (_, _, block, most, _), w in found:
-            bound[block] += w * most
-        order = np.argsort(-bound, kind="stable")
-        falling = -bound[order]
-        cos, groups = np.zeros(0), np.zeros(0, int)
-        done, visit = 0, FIRST_BLOCKS
+        size = len(self.ids)
+        if not len(terms) or not size:
+            return []
+        gain = weights * self.top[terms]
+        order = np.argsort(-gain, kind="stable")
+        t, w = terms[order], weights[order]
+        left = np.concatenate([np.cumsum(gain[order][::-1])[::-1], [0.0]])  # what terms from j on can add at most
+        self.listed += int((self.posted[t + 1] - self.posted[t]).sum())
+        sums, done, step, live = np.zeros(size), 0, FIRST_TERMS, None
         while True:
-            floor = cos[-1] - 1e-12 if len(cos) == k else 0.0
-            left = int(np.searchsorted(falling, -floor, side="right" if floor > 0 else "left"))  # blocks that may hold a better one
-            chosen = order[done : min(left, done + visit)]
-            if not len(chosen):
+            part = slice(done, done + step)
+            at, own, many = self._postings(t[part], live)
+            sums += np.bincount(at, own * np.repeat(w[part].astype(np.float32), many), size)
+            self.visited += len(at)
+            done, step = min(done + step, len(t)), step * 2
+            floor = np.partition(sums, size - k)[size - k] - _SLACK if size > k else -1.0
+            if done == len(t):
                 break
-            hit, score = self._scored(found, chosen)
-            cos, groups = np.concatenate([cos, score]), np.concatenate([groups, hit])
-            if len(cos) > 4 * k:  # a rough cut first: what is below the k-th best can't come back
-                near = cos >= np.partition(cos, len(cos) - k)[len(cos) - k] - 1e-11
-                cos, groups = cos[near], groups[near]
-            best = np.lexsort((groups, -np.round(cos, 12)))[:k]
-            cos, groups = cos[best], groups[best]
-            done, visit = done + len(chosen), self.blocks  # with a floor known, the rest that passes it goes at once
-        return list(zip(cos.tolist(), groups.tolist()))
-
-    def _scored(self, found: list, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(groups, cosines) of the groups of these blocks that share a term with the query."""
-        if len(chosen) <= FIRST_BLOCKS:
-            hits, scores = [], []
-            for b in chosen.tolist():
-                score = np.zeros(BLOCK)
-                for (at, own, _, _, ranges), w in found:
-                    if b in ranges:
-                        lo, hi = ranges[b]
-                        score[at[lo:hi] - b * BLOCK] += w * own[lo:hi]
-                hit = np.flatnonzero(score)
-                hits.append(hit + b * BLOCK)
-                scores.append(score[hit])
-            return np.concatenate(hits), np.concatenate(scores)
-        score = np.zeros(self.blocks * BLOCK)
-        for (at, own, _, _, _), w in found:
-            score[at] += w * own
-        wanted = np.zeros(self.blocks, bool)
-        wanted[chosen] = True
-        hit = np.flatnonzero((score.reshape(-1, BLOCK) * wanted[:, None]).ravel())
-        return hit, score[hit]
+            if left[done] <= LOOK * floor:
+                rest = slice(done, None)
+                many = self.blocked[t[rest] + 1] - self.blocked[t[rest]]
+                at = _ranges(self.blocked[t[rest]], many)
+                bound = np.bincount(self.block[at], self.most[at] * np.repeat(w[rest], many), self.blocks)
+                most = np.maximum.reduceat(sums, np.arange(0, size, BLOCK)) + bound
+                live = most >= floor if live is None else live & (most >= floor)
+        chosen = np.flatnonzero(sums >= max(floor, 1e-30))  # sums outside of live blocks are too low even with their bounds
+        spread = np.zeros(len(self.vocabulary))
+        spread[terms] = weights
+        at = _ranges(self.begins[chosen], self.sizes[chosen])
+        cos = np.add.reduceat(spread[self.terms[at]] * self.weights[at], np.concatenate([[0], np.cumsum(self.sizes[chosen])[:-1]])) if len(chosen) else np.zeros(0)
+        best = np.lexsort((chosen, -np.round(cos, 12)))[:k]
+        return [(c, g) for c, g in zip(cos[best].tolist(), chosen[best].tolist()) if c > 0]
+
+    def _postings(self, t: np.ndarray, live: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Groups and weights of the postings of these terms in live blocks (all, if None), and how many each term has."""
+        if live is None:
+            starts, stops = self.posted[t].tolist(), self.posted[t + 1].tolist()
+            at, own = (np.concatenate([x[a:b] for a, b in zip(starts, stops)]) for x in (self.at, self.own))
+            return at, own, self.posted[t + 1] - self.posted[t]
+        blocks = self.blocked[t + 1] - self.blocked[t]
+        entry = _ranges(self.blocked[t], blocks)
+        held = live[self.block[entry]]
+        sizes = np.where(held, self.first[entry + 1] - self.first[entry], 0)
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(blocks)]
+        at = _ranges(self.first[entry[held]], sizes[held])
+        return self.at[at], self.own[at], np.diff(ends, prepend=0)
 
     def vote(self, counts: dict[int, int], leave_one: int | None = None, near: list | None = None) -> tuple[float, list]:
         """(share of votes for label 1, evidence). ``leave_one``: this label is of a member that doesn't vote.
@@ -157,35 +193,32 @@ class Index:
             n, pos = self.none_n - (leave_one is not None), self.none_pos - (leave_one or 0)
             return (pos + self.prior) / (n + 1), []
         near = self.nearest(counts) if near is None else near
-        total, toxic = 1.0, self.prior
+        own = None
+        if leave_one is not None:
+            t, c = self._sorted(counts)
+            own = self.group_of.get(t.tobytes() + c.tobytes())
+        total, toxic = 0.1, 0.1 * self.prior
         for cos, g in near:
             n, pos = self.n[g], self.pos[g]
-            if leave_one is not None and self.vectors[g] == counts:
+            if g == own:
                 n, pos = n - 1, pos - leave_one
             if n > 0:
-                w = cos**4 * math.sqrt(n)  # a large group speaks louder, not in proportion
+                w = cos * cos * math.sqrt(n)  # a large group speaks louder, not in proportion
                 total += w
                 toxic += w * pos / n
         return toxic / total, [(self.ids[g], cos, self.pos[g] / self.n[g]) for cos, g in near[:3]]
 
-    def calibrate(self) -> None:
-        """Fit P(label 1) = sigmoid(slope * logit(vote) + offset) on the examples, each without its own vote."""
-        x, y, w = [], [], []
-        for counts, n, pos in [*zip(self.vectors, self.n, self.pos), *([({}, self.none_n, self.none_pos)] if self.none_n else [])]:
-            near = self.nearest(counts) if counts else []
-            for label, many in ((1, pos), (0, n - pos)):
-                if many:
-                    x.append(_logit(self.vote(counts, label, near)[0]))
-                    y.append(label)
-                    w.append(many)
-        if len(set(y)) < 2:
+    def calibrate(self, examples: list[tuple[int, int, dict[int, int]]]) -> None:
+        """Fit P(label 1) = sigmoid(slope * logit(vote) + offset) on examples, each without its own vote."""
+        x = np.array([_logit(self.vote(counts, y)[0]) for _, y, counts in examples])
+        y = np.array([y for _, y, _ in examples], float)
+        if len(set(y.tolist())) < 2:
             return
-        x, y, w = np.array(x), np.array(y, float), np.array(w, float)
         a, b = 1.0, 0.0
         for _ in range(50):  # Newton steps with a little shrinkage towards (1, 0)
             p = 1 / (1 + np.exp(-(a * x + b)))
-            g = np.array([(w * (p - y) * x).sum() + (a - 1), (w * (p - y)).sum() + 0.01 * b])
-            q = w * p * (1 - p)
+            g = np.array([((p - y) * x).sum() + (a - 1), (p - y).sum() + 0.01 * b])
+            q = p * (1 - p)
             h = np.array([[(q * x * x).sum() + 1, (q * x).sum()], [(q * x).sum(), q.sum() + 0.01]])
             step = np.linalg.solve(h, g)
             a, b = a - np.clip(step[0], -1, 1), b - np.clip(step[1], -1, 1)
@@ -198,15 +231,15 @@ class Index:
         """(calibrated probability of label 1, evidence as id:cosine:share joined by commas)."""
         if not self.examples:
             return 0.0, ""
-        counts = term_counts(text or "", self.vocabulary)
-        key = tuple(sorted(counts.items()))
-        told = self.kept.get(key)
+        text = text or ""
+        told = self.kept.get(text)
         if told is None:
-            vote, evidence = self.vote(counts)
+            vote, evidence = self.vote(self.counts(text))
             told = 1 / (1 + math.exp(-(self.slope * _logit(vote) + self.offset))), ",".join(f"{i}:{c:.4f}:{s:.3f}" for i, c, s in evidence)
-            if len(self.kept) > 50_000:
+            if len(self.kept) > 2_000:
                 self.kept.clear()
-            self.kept[key] = told
+            if len(text) < 5_000:
+                self.kept[text] = told
         return told
 
 
@@ -217,49 +250,70 @@ def _logit(p: float) -> float:
 
 def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, most: int = FIT_ROWS) -> Index:
     """The index from labelled rows of docs(doc_id, text); document frequencies come from all of ``corpus``
-    (docs, if not given)."""
+    (docs, if not given).
+
+    An id's label is the mean of its labels, ties going to 1; of several texts of an id the least counts. Null ids
+    and labels are left out, null texts count as empty; other columns aren't looked at. Without any example
+    all scores are 0.
+    """
     corpus = docs if corpus is None else corpus
     named = one_label(labels, "toxic").where(fold(F.col("doc_id"), FOLDS) != HELD_FOLD)
-    named = named.select(F.col("doc_id").alias("_id"), "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    met = docs.join(F.broadcast(named), docs.doc_id == F.col("_id")).select(F.col("_id").cast("long"), "y", F.col("text").cast("string").alias("text"))  # `most` rows of 12 bytes
-    met = cut(met)
-    n, pos = met.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    counted = met.select("text", "y").mapInArrow(_term_labels, "term string, n long, pos long").groupBy("term").agg(F.sum("n").cast("double").alias("n"), F.sum("pos").cast("double").alias("pos"))
-    a, b = F.col("pos"), F.col("n") - F.col("pos")
-    c, d = F.lit(float(pos)) - a, F.lit(float(n - pos)) - b
-    below = F.col("n") * (F.lit(float(n)) - F.col("n")) * float(pos) * float(n - pos)
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / F.nullif(below, F.lit(0.0))
-    picked = counted.where(F.col("n") >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS)
-    vocabulary = {r.term: i for i, r in enumerate(picked.collect())}
+    named = named.select(F.col("doc_id").cast("long").alias("id"), "y").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(named), "id").groupBy("id", "y").agg(F.min("text").alias("text"))  # `most` rows of 12 bytes
+
+    def words(batches):
+        for batch in batches:
+            for i, y, text in zip(*(batch.column(k) for k in range(3))):
+                counts = words_of(text.as_py())
+                n = len(counts) or 1
+                yield pa.RecordBatch.from_pydict(
+                    {"id": pa.array([i.as_py()] * n, pa.int64()), "y": pa.array([y.as_py()] * n, pa.int32()), "term": pa.array(list(counts) or [None], pa.string()), "c": pa.array(list(counts.values()) or [0], pa.int32())}
+                )
+
+    said = cut(met.mapInArrow(words, "id long, y int, term string, c int"))
+    shared = said.where("term is not null").groupBy("term").agg(F.count("*").alias("n"), F.sum("y").alias("pos")).where("n > 1").orderBy("term").toArrow()
+    vocabulary = {t: k for k, t in enumerate(shared.column("term").to_pylist())}
 
     def frequencies(batches):
-        seen, rows = Counter(), 0
+        seen, rows = np.zeros(len(vocabulary), np.int64), 0
+        known = vocabulary.get
         for batch in batches:
             rows += batch.num_rows
             for text in batch.column(0):
-                seen.update(term_counts(text.as_py() or "", vocabulary).keys())
-        yield pa.RecordBatch.from_pydict({"t": pa.array([-1, *seen], pa.int32()), "n": pa.array([rows, *seen.values()], pa.int64())})
-
-    counts = dict(corpus.select(F.col("text").cast("string")).mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n")).collect())
-    idf = np.array([math.log((1 + counts.get(-1, 0)) / (1 + counts.get(i, 0))) + 1 for i in range(len(vocabulary))])
+                found = [t for w in {w.strip(_MARKS) for w in set((text.as_py() or "").lower().split())} if (t := known(w)) is not None]
+                seen[found] += 1
+        found = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_pydict({"t": pa.array([-1, *found.tolist()], pa.int32()), "n": pa.array([rows, *seen[found].tolist()], pa.int64())})
+
+    counted = corpus.select(F.col("text").cast("string")).mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
+    everywhere = dict(zip(counted.column("t").to_pylist(), counted.column("n").to_pylist()))
+    in_docs = np.array([everywhere.get(i, 0) for i in range(len(vocabulary))], float)
+    rows = said.toArrow()
+    examples: dict[int, tuple] = {}
+    for i, y, term, c in zip(*(rows.column(k).to_pylist() for k in ("id", "y", "term", "c"))):
+        held = examples.setdefault(i, (i, y, {}))
+        if (t := vocabulary.get(term)) is not None:
+            held[2][t] = c
+    told = [examples[i] for i in sorted(examples)]
+    scale = (np.log((1 + everywhere.get(-1, 0)) / (1 + in_docs)) + 1) * (FLOOR + _phi2(shared, len(told), sum(y for _, y, _ in told)))
+    index = Index(vocabulary, scale, told)
+    index.calibrate(sorted(told, key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0]))[:CALIBRATE_ROWS])
+    return index
 
-    def vectors(batches):
-        for batch in batches:
-            found = [term_counts(t.as_py() or "", vocabulary) for t in batch.column(2)]
-            columns = [batch.column(0), batch.column(1), pa.array([list(f) for f in found], pa.list_(pa.int32())), pa.array([list(f.values()) for f in found], pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["_id", "y", "t", "c"])
 
-    rows = met.mapInArrow(vectors, "_id long, y int, t array<int>, c array<int>").collect()
-    index = Index(vocabulary, idf, [(r._id, r.y, dict(zip(r.t, r.c))) for r in rows])
-    index.calibrate()
-    return index
+def _phi2(shared: pa.Table, rows: int, positive: int) -> np.ndarray:
+    """Squared correlation of each term's presence with the label."""
+    n, a = (np.array(shared.column(k).to_pylist(), float) for k in ("n", "pos"))
+    off = a * rows - n * positive
+    return off * off / np.maximum(n * (rows - n) * positive * (rows - positive), 1.0)
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """(doc_id, score, evidence) for each row of docs(doc_id, text): 0 to 1, higher if label 1 is likelier.
 
-    A null text counts as empty; texts without a term of the vocabulary get the share of label 1 among such
-    examples. Without any example all scores are 0. Equal texts have equal scores.
+    A null text counts as empty; texts without a known term get the share of label 1 among such examples.
+    Without any example all scores are 0. Equal texts have equal scores; repeated rows repeat, an empty table has none.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(index)
 
@@ -273,7 +327,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def accept(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs whose text scores below the threshold, with all their columns."""
+    """The rows of docs whose text scores below the threshold, with all their columns; null texts count as empty."""
     shipped = docs.sparkSession.sparkContext.broadcast(index)
     at = docs.columns.index("text")
 
