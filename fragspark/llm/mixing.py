@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut
+from .common import SPACES, cut, fresh_name
 
 #: Words of a block, nearly: each source's blocks are equal, so that they fill its share exactly.
 BLOCK_WORDS = 256
@@ -25,7 +25,7 @@ MOST_PASSES = 3
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (1, 2, 3)
 #: Rows of a chunk in running sums, on average.
-CHUNK_ROWS = 4096
+CHUNK_ROWS = 1024
 #: floor(2**48 / golden ratio), made odd, in two halves of 24 bits.
 _STEP = 173961102589771
 _HIGH, _LOW = _STEP >> 24, _STEP & 0xFFFFFF
@@ -71,21 +71,26 @@ def targets(sizes: DataFrame, most: float = MOST_PASSES, weights: tuple[float, .
     )
 
 
+def _key() -> Column:
+    return F.xxhash64(F.col("source").cast("string"), F.lit(0), F.col("text").cast("string"))
+
+
 class Mix:
     """The schedule of a table. ``sized`` has a row for each document, ``segments`` what each slot takes.
 
     docs(doc_id, source, text); ``size`` may name a column of sizes to use in place of words. Null texts have
-    size 0. Rows that share a doc_id are documents of their own; those that also share a source and size
-    can stand for one another. Ties in the shuffle go by doc_id, then size, null ids first. An
-    empty table, or one without words, gives an empty schedule.
+    size 0. A row is known by its doc_id and a hash of its source and text, so rows of one id or without id are
+    documents of their own; rows equal in all three can stand for one another. Ties in the shuffle go by
+    doc_id, null ids first, then that hash. An empty table, or one without words, gives an empty schedule.
+    Other columns aren't looked at.
     """
 
     def __init__(self, docs: DataFrame, size: Column | None = None, block: int = BLOCK_WORDS, most: float = MOST_PASSES, seed: int = 17, weights: tuple[float, ...] = WEIGHTS) -> None:
         spark = docs.sparkSession
         size = word_count(F.col("text").cast("string")) if size is None else F.coalesce(size.cast("long"), F.lit(0))
-        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
+        named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), _key().alias("key"))
         # the upper half of the hash, 0 .. 2**31 - 1, orders the shuffle
-        slim = cut(named.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 33)))
+        slim = cut(named.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id", "key"), 33)))
         summed = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
         self.sources = cut(targets(summed, most, weights))
         total, n_sources, most_rows = self.sources.agg(F.sum("quota"), F.count("*"), F.max("rows")).first()
@@ -99,14 +104,14 @@ class Mix:
         """Each document's place on its source's line: ``at`` is the words before it."""
         chunks = max(1, most_rows // CHUNK_ROWS)
         placed = slim.withColumn("chunk", F.floor(F.col("h") * float(chunks) / float(1 << 31)).cast("long"))
-        order = [F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("size")]
+        order = [F.col("h"), F.col("doc_id").asc_nulls_first(), F.col("key"), F.col("size")]
         inside = Window.partitionBy("source", "chunk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         over = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
         sums = placed.groupBy("source", "chunk").agg(F.sum("size").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(over), F.lit(0)))
         bases = sums.join(self.sources, sums.source.eqNullSafe(self.sources.source)).select("rank", "source_size", "target", "quota", sums.source.alias("s"), F.col("chunk").alias("c"), "base")
         within = placed.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
         joined = within.join(bases, within.source.eqNullSafe(F.col("s")) & (within.chunk == F.col("c")))
-        return joined.select("doc_id", "source", "size", "rank", "source_size", "target", "quota", (F.col("base") + F.col("inside")).alias("at"))
+        return joined.select("doc_id", "key", "source", "size", "rank", "source_size", "target", "quota", (F.col("base") + F.col("inside")).alias("at"))
 
     def _schedule(self, spark, n_sources: int) -> DataFrame:
         """(slot, rank, k): slots in order, their source and their rank among its slots.
@@ -158,19 +163,25 @@ class Mix:
         )
 
     def taken(self) -> DataFrame:
-        """doc_id, source, size, source_size, target, taken and copies (passes that take its first word)."""
+        """doc_id, key, source, size, source_size, target, taken and copies (passes that take its first word)."""
         got = self.segments.groupBy("rank", "at").agg(
             F.sum(F.col("to_word") - F.col("from_word")).alias("got"), F.sum(F.when(F.col("from_word") == 0, 1).otherwise(0)).alias("copies")
         )
         own = self.sized.alias("d")
         joined = own.join(got.alias("g"), (F.col("d.rank") == F.col("g.rank")) & (F.col("d.at") == F.col("g.at")) & (F.col("d.size") > 0), "left")
-        return joined.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).cast("int").alias("copies"))
+        told = [F.col(f"d.{c}") for c in ("doc_id", "key", "source", "size", "source_size", "target")]
+        return joined.select(*told, F.coalesce("got", F.lit(0)).cast("long").alias("taken"), F.coalesce("copies", F.lit(0)).cast("int").alias("copies"))
 
     def documents(self, docs: DataFrame) -> DataFrame:
         """docs as the mix takes them, whole: a row for each pass that takes a document's first word.
 
-        doc_id must tell docs apart; documents without words take no part.
+        Rows equal in doc_id, source and text are given out as one of them, as often as all of them are taken.
+        Documents without words take no part.
         """
-        chosen = self.taken().where("copies > 0").select(F.col("doc_id").alias("_taken"), "copies")
-        met = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_taken")))
-        return met.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("_taken", "copies", "_pass")
+        i, none, k, copies, n = fresh_name(docs, "_id", "_none", "_key", "_copies", "_n")
+        named = lambda x: [F.coalesce(x, F.lit(0)).alias(i), x.isNull().alias(none)]
+        chosen = self.taken().where("copies > 0").select(*named(F.col("doc_id")), F.col("key").alias(k), "copies").groupBy(i, none, k).agg(F.sum("copies").alias(copies))
+        columns = [F.col(f"`{c}`") for c in docs.columns]
+        keyed = docs.select(*columns, *named(F.col("doc_id").cast("long")), _key().alias(k))
+        met = keyed.join(chosen, [i, none, k]).dropDuplicates([i, none, k])
+        return met.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copies)))).select(*columns)

@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, fold, one_label
+from .common import SPACES, fold, fresh_name, one_label
 
 #: At most this many labelled rows, those of the least hashed ids, are used to learn the list.
 FIT_ROWS = 20_000
@@ -69,8 +69,9 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     return F.when(F.size(words) < window + 1, 0).otherwise(_let(windows(words), of_hashes)).cast("long")
 
 
-def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with a struct column ``stats``. Null and empty texts have no words and zero everywhere."""
+def statistics(docs: DataFrame, text: str = "text", stats: str = "stats") -> DataFrame:
+    """docs with one more struct column of that name. Null and empty texts have no words and zero everywhere."""
+    counted_name, lines_name = fresh_name(docs, "_w", "_l")
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     size = lambda c: F.length(c).cast("long")
     lost = lambda letters: (F.length(t) - F.length(_without(t, letters))).cast("long")
@@ -81,18 +82,20 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         lambda w: F.struct(F.size(w).cast("long").alias("n"), repeated_words(w).alias("r"), F.size(F.array_distinct(w)).cast("long").alias("d")),
     )
     of_lines = _let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("r")))
-    raw = docs.withColumn("_w", counted).withColumn("_l", of_lines)
+    raw = docs.select("*", counted.alias(counted_name), of_lines.alias(lines_name))
+    told = lambda c: F.col(f"{counted_name}.{c}")
+    line = lambda c: F.col(f"{lines_name}.{c}")
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    chars, n = size(_without(t, SPACES)), F.col("_w.n")
+    chars, n = size(_without(t, SPACES)), told("n")
     return raw.withColumn(
-        "stats",
+        stats,
         F.struct(
-            n.alias("n_words"), chars.alias("word_chars"), lost(SYMBOLS).alias("n_symbols"), F.col("_l.r").alias("n_dup_lines"), F.col("_w.r").alias("n_repeat_words"),
-            share(chars, n).alias("mean_word"), share(lost(SYMBOLS), chars).alias("symbol_share"), share(F.col("_l.r"), F.col("_l.n")).alias("dup_line_share"),
-            share(F.col("_w.r"), n).alias("repeat_share"), share(F.col("_w.d"), n).alias("distinct_share"), share(lost(upper), chars).alias("upper_share"),
-            share(lost(marks), chars).alias("mark_share"), share(lost(digits), chars).alias("digit_share"), share(n, F.col("_l.n")).alias("words_a_line"),
+            n.alias("n_words"), chars.alias("word_chars"), lost(SYMBOLS).alias("n_symbols"), line("r").alias("n_dup_lines"), told("r").alias("n_repeat_words"),
+            share(chars, n).alias("mean_word"), share(lost(SYMBOLS), chars).alias("symbol_share"), share(line("r"), line("n")).alias("dup_line_share"),
+            share(told("r"), n).alias("repeat_share"), share(told("d"), n).alias("distinct_share"), share(lost(upper), chars).alias("upper_share"),
+            share(lost(marks), chars).alias("mark_share"), share(lost(digits), chars).alias("digit_share"), share(n, line("n")).alias("words_a_line"),
         ),
-    ).drop("_w", "_l")
+    ).drop(counted_name, lines_name)
 
 
 FEATURES = ("n_words", "mean_word", "symbol_share", "dup_line_share", "repeat_share", "distinct_share", "upper_share", "mark_share", "digit_share", "words_a_line")
@@ -104,6 +107,14 @@ class Rule:
     def __init__(self, conditions: list[tuple[str, bool, float]]) -> None:
         self.conditions = conditions
 
+    def merged(self) -> Rule:
+        """The same conjunction with the tightest threshold of each feature and side only."""
+        least: dict[tuple[str, bool], float] = {}
+        for f, up, t in self.conditions:
+            held = least.get((f, up), t)
+            least[f, up] = max(held, t) if up else min(held, t)
+        return Rule([(f, up, t) for (f, up), t in least.items()])
+
     def covers(self, row: dict) -> bool:
         return all((row[f] >= t) if up else (row[f] <= t) for f, up, t in self.conditions)
 
@@ -173,31 +184,40 @@ def learn(rows: list[dict], least_worth: float = 0.5) -> list[Rule]:
         worth, hits = _worth(best, pruning)
         if worth < least_worth or not hits:
             break
-        rules.append(best)
+        rules.append(best.merged())
         rows = [r for r in rows if not best.covers(r)]
     return rules
 
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> list[dict]:
-    """Statistics of at most ``most`` labelled rows outside the held-out fold, as plain rows on the driver."""
+    """Statistics of at most ``most`` labelled rows outside the held-out fold, as plain rows on the driver.
+
+    An id's label is the mean of its labels, ties going to 1; of several texts of an id the one of the least hash
+    counts. Null ids and labels are left out; other columns aren't looked at.
+    """
     named = one_label(labels, "quality").where(fold(F.col("doc_id"), FOLDS) != HELD_FOLD)
-    named = named.select(F.col("doc_id").alias("_id"), "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "_id").limit(most)
-    met = docs.join(F.broadcast(named), docs.doc_id == F.col("_id")).select("_id", "h", "y", F.col("text"))  # `most` rows of 24 bytes
-    stats = statistics(met).select("_id", "y", F.pmod(F.shiftright("h", 8), F.lit(3)).alias("part"), *[F.col(f"stats.{f}").alias(f) for f in FEATURES])
-    return [r.asDict() for r in sorted(stats.collect(), key=lambda r: (r["_id"], r["n_words"], r["mean_word"]))]
+    named = named.select(F.col("doc_id").cast("long").alias("id"), "y", F.xxhash64("doc_id").alias("h")).orderBy("h", "id").limit(most)
+    met = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(named), "id")  # `most` rows of 24 bytes
+    stats = statistics(met).select("id", "y", F.pmod(F.shiftright("h", 8), F.lit(3)).alias("part"), F.xxhash64("text").alias("t"), "stats")
+    one = stats.groupBy("id", "y", "part").agg(F.min_by("stats", F.coalesce("t", F.lit(0))).alias("stats"))
+    rows = one.select("id", "y", "part", *[F.col(f"stats.{f}").alias(f) for f in FEATURES]).collect()
+    return [r.asDict() for r in sorted(rows, key=lambda r: r["id"])]
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
     """docs with ``stats``, base_failed and kept, and the rules that were learned.
 
-    A row is kept if the base tests hold and no rule rejects it. Repeated rows get the same verdict.
+    A row is kept if the base tests hold and no rule rejects it. Repeated rows get the same verdict; null and
+    empty texts have too few words; an empty table has no rows. Columns of docs by these names stay, and the new
+    ones get underscores.
     """
     rules = learn(labelled_statistics(docs, labels))
-    told = statistics(docs)
-    stats = F.col("stats")
+    name, base, kept = fresh_name(docs, "stats", "base_failed", "kept")
+    told = statistics(docs, stats=name)
+    stats = F.col(name)
     n, repeated = stats.getField("n_words"), stats.getField("n_repeat_words")
     failed = (n < LEAST_WORDS) | (100 * repeated > MOST_REPEATED * n)
     verdict = F.when(failed, F.lit(False))
     for rule in rules:
         verdict = verdict.when(rule.expression(stats), F.lit(False))
-    return told.withColumn("base_failed", failed).withColumn("kept", verdict.otherwise(F.lit(True))), rules
+    return told.withColumn(base, failed).withColumn(kept, verdict.otherwise(F.lit(True))), rules

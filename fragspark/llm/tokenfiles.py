@@ -71,8 +71,8 @@ def library_encoder(data: bytes) -> tuple[PartCache, np.dtype]:
 def write(docs: DataFrame, folder: str, vocabulary_path: str) -> DataFrame:
     """Encode docs(doc_id, text) into a token folder; returns its manifest with bases.
 
-    Rows go in ascending doc_id order, null ids first, ties by text; null texts count as empty; END_ID
-    follows each document. Every task writes under a name of its own attempt and renames at its end, so
+    Rows go in ascending doc_id order, null ids first, ties by a hash of the text; null texts count as empty; END_ID
+    follows each document. Ranges are cut in this order, so rows of one id or without id spread over parts. Every task writes under a name of its own attempt and renames at its end, so
     a repeated task leaves the same files. Files are written through pyarrow's file systems.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
@@ -103,8 +103,8 @@ def write(docs: DataFrame, folder: str, vocabulary_path: str) -> DataFrame:
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "docs": [len(ids)], "nulls": [nulls], "tokens": [at], "width": [kind.itemsize]})
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()]
-    dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_first(), F.col("h").asc_nulls_first()]
+    dealt = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     parts = cut(dealt.mapInArrow(run, "part long, docs long, nulls long, tokens long, width long"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
     based = cut(parts.withColumn("base", F.coalesce(F.sum("tokens").over(before), F.lit(0))))

@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fragspark.llm import bpe, bytecnn, linededup, minhash, mixing, rules, secrets, simhash, tokenfiles, toxicity
 from fragspark.llm.common import fold_of, fresh_dir, ship_package
@@ -114,6 +115,14 @@ def test_mixing_odd(odd, none):
     assert mixing.Mix(none).taken().count() == 0
     assert mixing.Mix(odd).taken().count() == len(odd_rows())
     assert mixing.Mix(odd).documents(odd).columns == odd.columns
+    # rows without an id and rows of one id are told apart by their texts; equal rows stand for one another
+    rows = [(None, "a", f"word{k % 5} " * 50) for k in range(40)] + [(7, "a", f"other{k} " * 50) for k in range(6)] + [(8, "b", "x " * 600)]
+    docs = odd.sparkSession.createDataFrame(rows, "doc_id long, source string, text string")
+    mix = mixing.Mix(docs, block=16)
+    copies = Counter()
+    for r in mix.taken().collect():
+        copies[r.doc_id, r.size] += r.copies
+    assert Counter((r.doc_id, len(r.text.split())) for r in mix.documents(docs).collect()) == +copies
 
 
 # --- 2
@@ -178,13 +187,12 @@ def test_byte_network_gradients():
     texts = [b"hello world, hello world", b"x" * 400, b"a"]
     net = bytecnn.Network(3)
     y = np.array([1, 0, 1], np.float32)
-    layout = bytecnn.Layout(texts)
     for p in net.parameters():
         p[...] = p.astype(np.float32)
-    logit, held = net.forward(layout)
+    logit, held = net.forward(texts)
     d = ((1 / (1 + np.exp(-logit)) - y) / 3).astype(np.float32)
-    grads = net.gradients(layout, held, d)
-    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * net.forward(layout)[0]))))
+    grads = net.gradients(held, d)
+    loss = lambda: float(np.mean(np.log1p(np.exp(-(2 * y - 1) * net.forward(texts)[0]))))
     for p, g in zip(net.parameters(), grads):
         flat = np.argsort(-abs(g.ravel()))[:3]
         for k in flat:
@@ -215,8 +223,44 @@ def test_quality_classifier(spark, odd, none):
     assert bytecnn.score(none, net).count() == 0
     untrained = bytecnn.fit(none, labels)
     assert bytecnn.score(odd, untrained).count() == len(odd_rows())
-    text = (prose(rng, 9000)).encode() * 30  # beyond a piece: pooled stretches give the same
-    assert len(text) > 1_000_000 and abs(net.scores([text])[0] - 1 / (1 + np.exp(-net.forward(bytecnn.Layout([text]))[0][0]))) < 1e-3
+    text = (prose(rng, 9000)).encode() * 30  # read in stretches: as if at once
+    assert len(text) > bytecnn.LONG
+    whole = net.forward([text])[0][0]
+    assert abs(net._long(text) - whole) < 1e-5 and abs(net.scores([text])[0] - 1 / (1 + np.exp(-whole))) < 1e-6
+    for size in (0, 1, 124, 125, 126, 127, 128, 4096 * 128 - 2, 4096 * 128 + 3, 700_001):
+        assert abs(net._long(text[:size]) - net.forward([text[:size]])[0][0]) < 1e-5, size
+    clash = docs.selectExpr("*", "1 as id", "2 as y", "3 as _id", "4 as quality")
+    same = bytecnn.fit(clash.union(clash), labels)
+    assert all((a == b).all() for a, b in zip(net.parameters(), same.parameters()))
+
+
+CLASH = "id _id key _key y h n c copies _copies _n stats base_failed kept removed kept_ids term part own fp class r i k _w _l _row taken size rank rows target quota at digest held score word first past last gone".split()
+
+
+def test_clashing_columns(spark):
+    """Columns by the names that operators use inside stay as they are, and change no result."""
+    rng = random.Random(17)
+    rows = [(i, prose(rng, 30) + (" awful" if i % 6 == 0 else "") + f" token = {'%032x' % rng.getrandbits(128)}", f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:4], "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 6 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    clash = docs.selectExpr("*", *[f"'{c}' as `{c}`" for c in CLASH])
+    told = lambda df: sorted(map(str, df.select(*[c for c in df.columns if c not in CLASH]).collect()))
+
+    def judged(d):
+        out = rules.judge(d, labels)[0]
+        extra = out.columns[len(d.columns) :]
+        return out.select("doc_id", F.col(f"`{extra[0]}`").alias("s"), F.col(f"`{extra[1]}`").alias("b"), F.col(f"`{extra[2]}`").alias("v"))
+
+    index = toxicity.fit(docs, labels)
+    for run in (
+        lambda d: mixing.Mix(d).taken().drop("size", "target", "key", "copies", "taken"),
+        lambda d: mixing.Mix(d).documents(d), lambda d: secrets.scan(d), lambda d: secrets.clean(d),
+        lambda d: linededup.deduplicate(d, 10).select("doc_id", "text", "source"), lambda d: bpe.encode(d, vocabulary_path()), judged,
+        lambda d: tokenfiles.round_trip(d, vocabulary_path()), lambda d: simhash.near_duplicates(d), lambda d: simhash.keep_one(d),
+        lambda d: minhash.neighbour_fingerprints(d), lambda d: toxicity.score(d, index), lambda d: toxicity.accept(d, index),
+    ):
+        assert told(run(docs)) == told(run(clash))
+    assert mixing.Mix(clash).documents(clash).columns == simhash.keep_one(clash).columns == secrets.clean(clash).columns == clash.columns
 
 
 def check_neighbours(index, examples, label, queries):
