@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces
+from .common import SPACES, cut, pieces, spans_of
 
 SHINGLE_WORDS, PERMUTATIONS, SEED = 5, 128, 20_240_601
 #: Bands of the similarity search, and the least Jaccard likeness of a pair.
@@ -131,11 +131,16 @@ def with_neighbours(docs: DataFrame) -> DataFrame:
     wanted = PARTS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.approxQuantile("doc_id", [k / wanted for k in range(1, wanted)], 0.2 / wanted) if wanted > 1 else []
     bounds = sorted({int(c) for c in cuts}, reverse=True)
-    # part 0 holds the largest ids; a part's number is the count of bounds above the id
-    ladder = F.array(*[F.lit(b) for b in bounds]) if bounds else None
+    # part 0 holds the largest ids; a part's number is the count of bounds above the id, counted among the last bounds
+    # of stretches first and then within one stretch
     part = F.lit(0)
     if bounds:
-        part = F.coalesce(F.size(F.filter(ladder, lambda b: b > F.col("doc_id"))), F.lit(len(bounds) + 1))
+        wide = max(1, int(len(bounds) ** 0.5))
+        stretches = [bounds[k : k + wide] for k in range(0, len(bounds), wide)]
+        above = lambda ladder: F.size(F.filter(ladder, lambda b: b > F.col("doc_id")))
+        full = above(F.array(*[F.lit(x[-1]) for x in stretches]))
+        inner = F.get(F.array(*[F.array(*[F.lit(b) for b in x]) for x in stretches]), full)
+        part = full * wide + F.when(full == len(stretches), len(bounds) - len(stretches) * wide).otherwise(above(inner))
     numbered = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(part))
     first = {r.part: r.head for r in numbered.groupBy("part").agg(F.max("doc_id").alias("head")).collect()}
     order = sorted(first)
@@ -201,42 +206,65 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
     return with_neighbours(docs).mapInArrow(run, schema)
 
 
-def similar(queries: DataFrame, docs: DataFrame, least: float = LIKENESS) -> DataFrame:
-    """(query_id, doc_id, jaccard): rows of docs whose shingle sets are at least that like a query's.
+def similar(queries: DataFrame, docs: DataFrame, least: float = LIKENESS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Classes of docs whose shingle sets are at least that like a query's: (members of queries, members of docs, links).
 
-    Both hold (doc_id, text). Texts with equal shingle sets are one class: signatures are banded for one
-    representative (the least id) of each class, bands are joined between the classes of queries and of docs, the exact
-    Jaccard likeness of the met classes is taken from their shingle hashes, and members are put back at the end. Null and
-    empty texts have no shingles and are like nothing. A pair of that likeness shares a band with a
-    probability of at least 1 - (1 - least**4)**32, over 0.9999999 at 0.8. A doc isn't paired with its own id.
+    Both take (doc_id, text). Texts of equal shingle sets are one class; members are (doc_id, class), a row for
+    each row, and links are (x, y, jaccard) between classes of queries and of docs, a class with itself included, so
+    copies are not expanded into pairs. Signatures are banded, bands are joined between classes, and the exact
+    Jaccard likeness of the met classes is taken from their shingle hashes. Null and empty texts have no shingles,
+    no class and are like nothing. A pair of that likeness shares a band with a probability of at least
+    1 - (1 - least**4)**32, over 0.9999999 at 0.8; no bucket is cut.
     """
 
     def run(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(word_hashes((t.as_py() or "").encode("utf-8", "surrogatepass")))) for t in batch.column(1)]
-            rows = PERMUTATIONS // BANDS
-            banded = signatures(sets).reshape(len(sets), BANDS, rows)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    pa.array([s.astype(np.int64).tolist() for s in sets], pa.list_(pa.int64())),
-                    pa.array([[b.tobytes() for b in one] for one in banded], pa.list_(pa.binary())),
-                ],
-                names=["doc_id", "class", "shingles", "bands"],
-            )
+            for a, b in spans_of(batch.column(1)):
+                part = batch.slice(a, b - a)
+                sets = [np.unique(shingle_hashes(word_hashes(t.as_py() or b""))) for t in part.column(1)]
+                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
+                columns = [pa.array(names, pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["doc_id", "class", "held", "signature"])
 
     def prepared(df):
-        told = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, class binary, shingles array<long>, bands array<binary>")
-        return cut(told.where("class is not null"))
-
-    asked, held = prepared(queries), prepared(docs)
-    classes = lambda df: df.groupBy("class").agg(F.first("shingles").alias("shingles"), F.first("bands").alias("bands"))  # noqa: E731  equal in a class
-    a, b = cut(classes(asked)), cut(classes(held))
-    keys = lambda df, name: df.select(F.col("class").alias(name), F.posexplode("bands").alias("band", "key"))
-    met = keys(a, "x").join(keys(b, "y"), ["band", "key"]).select("x", "y").distinct()
-    shared = F.size(F.array_intersect("p.shingles", "q.shingles"))
-    jaccard = shared / (F.size("p.shingles") + F.size("q.shingles") - shared)
-    verified = met.join(a.alias("p"), F.col("x") == F.col("p.class")).join(b.alias("q"), F.col("y") == F.col("q.class")).select("x", "y", jaccard.alias("jaccard")).where(F.col("jaccard") >= least)
-    out = verified.join(asked.select(F.col("doc_id").alias("query_id"), F.col("class").alias("x")), "x").join(held.select("doc_id", F.col("class").alias("y")), "y")
-    return out.where("query_id <> doc_id").select("query_id", "doc_id", "jaccard")
+        told = df.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary")).mapInArrow(run, "doc_id long, class binary, held binary, signature binary")
+        told = cut(told.where("class is not null"))
+        return told.select("doc_id", "class"), cut(told.dropDuplicates(["class"]).select("class", "held", "signature"))  # equal in a class
+
+    def alike(batches):
+        for batch in batches:
+            found = []
+            for x, y in zip(batch.column(2), batch.column(3)):
+                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                shared = len(np.intersect1d(p, q, assume_unique=True))
+                found.append(shared / (len(p) + len(q) - shared))
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["x", "y", "jaccard"])
+            yield out.filter(pa.array([j >= least for j in found], pa.bool_()))
+
+    (asked, a), (held, b) = prepared(queries), prepared(docs)
+    width = 4 * PERMUTATIONS // BANDS
+    bands = F.array(*[F.xxhash64(F.lit(k), F.substring("signature", 1 + width * k, width)) for k in range(BANDS)])
+    keys = lambda df, name: df.select(F.col("class").alias(name), F.explode(bands).alias("key"))
+    met = keys(a, "x").join(keys(b, "y"), "key").select("x", "y").distinct()
+    side = lambda df, name, h: df.select(F.col("class").alias(name), F.col("held").alias(h))
+    links = met.join(side(a, "x", "p"), "x").join(side(b, "y", "q"), "y").select("x", "y", "p", "q")
+    return asked, held, links.mapInArrow(alike, "x binary, y binary, jaccard double")
+
+
+def matches(queries: DataFrame, docs: DataFrame, least: float = LIKENESS) -> DataFrame:
+    """(doc_id, class, n_classes, n_docs, best) for each row of queries(doc_id, text).
+
+    How many classes of docs are at least that like it, how many rows of docs they have, both without the query's own
+    row, and the likeness of the best other class (null if there is none). Rows without words have a null class and
+    no matches. ``docs`` holds the queries.
+    """
+    asked, held, links = similar(queries, docs, least)
+    sizes = held.groupBy(F.col("class").alias("y")).agg(F.count("*").alias("n"))
+    other = F.col("x") != F.col("y")
+    told = links.join(sizes, "y").groupBy(F.col("x").alias("class")).agg(
+        F.count(F.when(other, 1)).alias("n_classes"), (F.sum("n") - 1).alias("n_docs"), F.max(F.when(other, F.col("jaccard"))).alias("best")
+    )
+    found = asked.join(told, "class").select("doc_id", F.lower(F.hex("class")).alias("class"), "n_classes", "n_docs", "best")
+    ids = queries.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wordless = F.trim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
+    return found.unionByName(ids.where(wordless).select("doc_id", F.lit(None).cast("string").alias("class"), F.lit(0).cast("long").alias("n_classes"), F.lit(0).cast("long").alias("n_docs"), F.lit(None).cast("double").alias("best")))

@@ -90,5 +90,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "evidence")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_byte_cnn, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity)}
+def minhash_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies of every document whose id is divisible by 20 among all documents, by bands and exact Jaccard likeness."""
+    from .minhash import matches
+
+    docs = table(spark, sf_dir, "documents")
+    return matches(docs.where("doc_id % 20 = 0"), docs)
+
+
+def line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what line dedup leaves of its text."""
+    from .linededup import deduplicate
+
+    return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "source", F.size("removed").cast("long").alias("n_runs"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_byte_cnn, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity, minhash_matches, line_dedup_texts)}
 ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}

@@ -569,14 +569,29 @@ def test_similar(spark, odd):
     rng = random.Random(12)
     base = prose(rng, 200)
     words = base.split()
-    rows = [(0, base), (1, base), (2, " ".join(words[:100] + ["changed"] + words[101:])), (3, " ".join(words[:100])), (4, prose(rng, 200)), (5, None), (20, base.upper())]
+    rows = [(0, base), (1, base), (2, " ".join(words[:100] + ["changed"] + words[101:])), (3, " ".join(words[:100])), (4, prose(rng, 200)), (5, None), (20, base.upper()), (40, ""), (60, prose(rng, 30)), (80, "a b"), (81, "A  b")]
+    for k in range(100, 220):  # near copies of several degrees
+        text = prose(random.Random(k % 6), 120).split()
+        for _ in range(rng.randrange(9)):
+            text[rng.randrange(len(text))] = f"other{rng.randrange(9999)}"
+        rows.append((k, " ".join(text)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r.query_id, r.doc_id): r.jaccard for r in minhash.similar(docs.where("doc_id % 20 = 0"), docs).collect()}
-    shingles = {i: {tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(len(w) - 4)} for i, t in rows}
-    want = {}
-    for q in (0, 20):
-        for i, _ in rows:
-            if i != q and (union := shingles[q] | shingles[i]) and len(shingles[q] & shingles[i]) / len(union) >= 0.8:
-                want[q, i] = len(shingles[q] & shingles[i]) / len(union)
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    assert minhash.similar(odd, odd).where("query_id = 3 and doc_id = 4").count() > 0
+    got = {r.doc_id: r for r in minhash.matches(docs.where("doc_id % 20 = 0"), docs).collect()}
+    shingles = {i: frozenset(tuple(w[k : k + 5]) for w in [(t or "").lower().split()] for k in range(max(1, len(w) - 4)) if w) for i, t in rows}
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 0.0
+    linked = 0
+    for q, _ in rows:
+        if q % 20 == 0:
+            other = {i: alike(shingles[q], shingles[i]) for i, _ in rows if i != q}
+            near = {i for i, x in other.items() if x >= 0.8}
+            classes = {shingles[i] for i in near} - {shingles[q]}
+            best = max((alike(shingles[q], c) for c in classes), default=None)
+            r = got[q]
+            assert (r.n_docs, r.n_classes) == (len(near), len(classes)) and (r.best is None) == (best is None) and (best is None or abs(r.best - best) < 1e-9)
+            assert (r["class"] is None) == (not shingles[q])
+            linked += len(classes)
+    assert linked > 8 and len(got) == sum(i % 20 == 0 for i, _ in rows)
+    asked, held, links = minhash.similar(odd, odd)
+    assert links.where("x = y").count() == held.select("class").distinct().count() and asked.count() == held.count()
+    none = odd.where("false")
+    assert minhash.matches(none, none).count() == 0
