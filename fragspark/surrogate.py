@@ -1,6 +1,6 @@
 """Genomic relations derived from the driver's tables, as SQL that Spark and DuckDB both run.
 
-``{lineitem}`` and the like stand for tables, ``{POS}``, ``{I}`` and ``{EDIV}`` for what the two dialects spell differently.
+``{lineitem}`` and the like stand for tables, ``{OFF}``, ``{K}``, ``{I}`` and ``{EDIV}`` for what the two dialects spell differently.
 """
 
 from __future__ import annotations
@@ -23,19 +23,13 @@ VIEWS = {
   s_suppkey*811 + 100 + s_nationkey*20 as end_pos from {supplier}""",
     "site": """select 'chr' || cast(1 + c_custkey % 5 as string) as chrom, c_custkey*53 as start_pos, c_custkey*53 + 201 as end_pos,
   c_mktsegment as group_name, case when c_custkey % 3 = 0 then '-' else '+' end as strand, c_custkey as site_idx from {customer}""",
-    "seq": """select doc_id, pos - 1 as pos, substr('ACGTN', 1 + ascii(substr(text, cast(pos as int), 1)) % 5, 1) as base
-  from (select doc_id, text, {POS} as pos from {documents} where doc_id < 200) t where pos <= length(text)""",
-    "seqfrag": """select doc_id, i*50 + (doc_id*7 + i*3) % 40 as start_pos,
-  i*50 + (doc_id*7 + i*3) % 40 + 30 + (doc_id*11 + i*13) % 120 as end_pos
-  from (select doc_id, n_chars, {I} as i from {documents} where doc_id < 200) t
-  where i*50 + (doc_id*7 + i*3) % 40 + 30 + (doc_id*11 + i*13) % 120 <= least(n_chars, 2000)""",
     # all documents to their ends; pieces keep the cost of a position flat in long texts
-    "seq_whole": """select doc_id, off + k - 1 as pos, substr('ACGTN', 1 + ascii(substr(piece, cast(k as int), 1)) % 5, 1) as base
+    "seq": """select doc_id, off + k - 1 as pos, substr('ACGTN', 1 + ascii(substr(piece, cast(k as int), 1)) % 5, 1) as base
   from (select doc_id, off, piece, {K} as k from (select doc_id, off, substr(text, cast(off as int) + 1, 1000) as piece
     from (select doc_id, text, {OFF} as off from {documents} where length(text) > 0) o) p) t""",
-    "seqfrag_whole": """select doc_id, i*50 + (doc_id*7 + i*3) % 40 as start_pos,
+    "seqfrag": """select doc_id, i*50 + (doc_id*7 + i*3) % 40 as start_pos,
   i*50 + (doc_id*7 + i*3) % 40 + 30 + (doc_id*11 + i*13) % 120 as end_pos
-  from (select doc_id, n_chars, {IALL} as i from {documents} where n_chars > 0) t
+  from (select doc_id, n_chars, {I} as i from {documents} where n_chars > 0) t
   where i*50 + (doc_id*7 + i*3) % 40 + 30 + (doc_id*11 + i*13) % 120 <= n_chars""",
     "read": """select event_id as read_id, pair_id as qname, 'chr' || cast(1 + pair_id % 5 as string) as chrom,
   case when is_rev then base_pos + 20 + pair_id % 200 - (case when pair_id % 23 = 0 then 300 else 0 end) else base_pos end as pos,
@@ -46,11 +40,11 @@ VIEWS = {
   from (select event_id, value, {EDIV} as pair_id, ({EDIV}) * 37 % 50000 + 400 as base_pos,
     (event_id % 2 = 1) and (({EDIV}) % 17 <> 0) as is_rev from {events}) e""",
 }
-_SPARK = {"POS": "explode(sequence(1,2000))", "I": "explode(sequence(0,40))", "EDIV": "event_id div 2"} | {
-    "OFF": "explode(sequence(0, length(text) - 1, 1000))", "K": "explode(sequence(1, length(piece)))", "IALL": "explode(sequence(0, n_chars div 50))",
+_SPARK = {
+    "OFF": "explode(sequence(0, length(text) - 1, 1000))", "K": "explode(sequence(1, length(piece)))", "I": "explode(sequence(0, n_chars div 50))", "EDIV": "event_id div 2",
 }
-_DUCK = {"POS": "unnest(generate_series(1,2000))", "I": "unnest(generate_series(0,40))", "EDIV": "event_id // 2"} | {
-    "OFF": "unnest(generate_series(0, length(text) - 1, 1000))", "K": "unnest(generate_series(1, length(piece)))", "IALL": "unnest(generate_series(0, n_chars // 50))",
+_DUCK = {
+    "OFF": "unnest(generate_series(0, length(text) - 1, 1000))", "K": "unnest(generate_series(1, length(piece)))", "I": "unnest(generate_series(0, n_chars // 50))", "EDIV": "event_id // 2",
 }
 
 
@@ -69,7 +63,7 @@ def duck(sql: str) -> str:
 
 def _wrapped(sql: str) -> str:
     """Views are put in parentheses where the query names them."""
-    return re.sub(r"\{(frag|chroms|win|bl|site|seq|seqfrag|seq_whole|seqfrag_whole|read)\}", r"({\1})", sql)
+    return re.sub(r"\{(frag|chroms|win|bl|site|seq|seqfrag|read)\}", r"({\1})", sql)
 
 
 @functools.cache

@@ -1,14 +1,10 @@
-"""Queries over whole inputs against brute force on small tables, where the plain names see a part."""
+"""Queries see their whole inputs: against brute force on small tables."""
 
-import os
 import random
+import re
 from collections import Counter
 
-import pytest
-
-from fragspark.queries import LOOSE, ORACLES, QUERIES
-from tests.oracle import duck, rows_of
-from tests.test_queries import SF
+from fragspark.queries import ORACLES, QUERIES
 
 
 def _documents(spark, path):
@@ -22,7 +18,7 @@ def _documents(spark, path):
 def test_sequence_whole(spark, tmp_path):
     bases = _documents(spark, tmp_path)
     words = Counter(b[k : k + 3] for b in bases.values() for k in range(len(b) - 2))
-    got = {r.kmer: r.weight for r in QUERIES["kmer_forward_whole"](spark, str(tmp_path)).collect()}
+    got = {r.kmer: r.weight for r in QUERIES["kmer_forward"](spark, str(tmp_path)).collect()}
     assert got == {w: n for w, n in words.items() if "N" not in w}
     ends = Counter()
     for d, b in bases.items():
@@ -32,27 +28,12 @@ def test_sequence_whole(spark, tmp_path):
             if z <= len(b):
                 ends["left", "_" + b[a : a + 3]] += 1
                 ends["right", "_" + b[z - 3 : z][::-1].translate(str.maketrans("ACGT", "TGCA"))] += 1
-    got = {(r.end, r.motif): r.n for r in QUERIES["ends_inside_whole"](spark, str(tmp_path)).collect()}
+    got = {(r.end, r.motif): r.n for r in QUERIES["ends_inside"](spark, str(tmp_path)).collect()}
     assert got == {k: n for k, n in ends.items() if "N" not in k[1]}
 
 
-def test_sequence_names():
-    plain = [n for n in QUERIES if n.startswith(("kmer_", "ends_", "corr_", "fkmer_", "trans_", "gc_")) and "doc_id < 200" in ORACLES.get(n, "")]
-    assert len(plain) == 22
-    assert all("doc_id < 200" not in sql and "2000" not in sql for sql in ((ORACLES | LOOSE)[f"{n}_whole"] for n in plain))
-
-
-@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(LOOSE))
-def test_rounding_edge(spark, name):
-    """Like the SQL but for one unit of the last of four places."""
-    result = duck(SF).execute(LOOSE[name])
-    names = [d[0] for d in result.description]
-    at = sorted(names).index("corrected")
-    want = {r[:at] + r[at + 1 :]: r[at] for r in rows_of(names, result.fetchall())}
-    df = QUERIES[name](spark, SF)
-    got = {r[:at] + r[at + 1 :]: r[at] for r in rows_of(df.columns, [tuple(r) for r in df.collect()])}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1.5e-4 for k in want)
+def test_no_sieve():
+    assert not any(re.search(r"doc_id < |_idx %|limit ", sql) for sql in ORACLES.values())
 
 
 def test_windows_whole(spark, tmp_path):
@@ -79,16 +60,16 @@ def test_windows_whole(spark, tmp_path):
                 out.append([c, a, z, {brand}])
         return out
 
-    for name, gap in (("interval_merge_touching_whole", 0), ("interval_merge_keep_touching_whole", -1)):
+    for name, gap in (("interval_merge_touching", 0), ("interval_merge_keep_touching", -1)):
         assert {(r.chrom, r.start_pos, r.end_pos) for r in run(name)} == {tuple(x[:3]) for x in islands(gap)}
-    assert {(r.chrom, r.start_pos, r.end_pos) for r in run("prep_merge_across_whole")} == {tuple(x[:3]) for x in islands(20)}
+    assert {(r.chrom, r.start_pos, r.end_pos) for r in run("prep_merge_across")} == {tuple(x[:3]) for x in islands(20)}
     sites = [(f"chr{1 + k % 5}", k * 53) for k, _ in custs]
-    near = {r.window_idx: r.distance for r in run("prep_nearest_whole")}
+    near = {r.window_idx: r.distance for r in run("prep_nearest")}
     for c, a, z, k, _ in wins:
         left = [a - p for d, p in sites if d == c and p <= a]
         right = [max(0, p - z + 1) for d, p in sites if d == c and p >= a]
         assert abs(near[k]) == min(left + right)
-    assert sum(r.n for r in run("prep_distance_bins_whole")) == len(wins)
+    assert sum(r.n for r in run("prep_distance_bins")) == len(wins)
     frags = {k: (p * 40 + (k * 13 + 7) % 40, p * 40 + (k * 13 + 7) % 40 + 30 + (k * 31 + 17 + 95) % 371, f"chr{1 + s % 5}") for k, _, p, s, *_ in items}
     met = {k for c, a, z, k, _ in wins if any(d == c and s < z and a < e for s, e, d in frags.values())}
-    assert {r.window_idx for r in run("cov_runs_indexed_whole")} == met
+    assert {r.window_idx for r in run("cov_runs_indexed")} == met
