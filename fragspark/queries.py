@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import surrogate
+from . import alignment_queries, surrogate
 from .functions import gc_percent, length_edges, round_half_up, score_filter
 from .operators import blacklist, coverage, gcbias, intervals, lengths, prepare, profiles, reads, sequence, weights, windows
 from .operators.blacklist import Strategy
@@ -547,3 +547,5 @@ add(
     lambda v: windows.covered_bp(_win(v), v("bl"), ["window_idx"]).where(F.col("covered") <= 0.1 * (F.col("end_pos") - F.col("start_pos"))).select("window_idx", "group_name", "covered"),
     f"with m as ({MERGED_BL}) select w.window_idx, w.group_name, cast(sum(case when m.chrom is null then 0 else least(w.end_pos, m.end_pos) - greatest(w.start_pos, m.start_pos) end) as bigint) as covered from {{win}} w left join m on m.chrom = w.chrom and m.start_pos < w.end_pos and w.start_pos < m.end_pos group by 1, 2 having sum(case when m.chrom is null then 0 else least(w.end_pos, m.end_pos) - greatest(w.start_pos, m.start_pos) end) <= 0.1 * any_value(w.end_pos - w.start_pos)",
 )
+
+alignment_queries.register(add)

@@ -39,12 +39,28 @@ VIEWS = {
   case when event_id % 13 = 0 then null when event_id % 19 = 0 then -1.0 else floor(value) / 100 + 0.25 end as gc_tag
   from (select event_id, value, {EDIV} as pair_id, ({EDIV}) * 37 % 50000 + 400 as base_pos,
     (event_id % 2 = 1) and (({EDIV}) % 17 <> 0) as is_rev from {events}) e""",
+    # alignments with clips and up to two indels, whose parts are columns beside the CIGAR; one mate of a pair each
+    "aln": """select *, concat(case when hard then '3H' else '' end, case when s1 > 0 then concat(s1, 'S') else '' end, m1, 'M', case when k1 <> '' then concat(n1, k1) else '' end, m2, 'M',
+    case when k2 <> '' then concat(n2, k2) else '' end, m3, 'M', case when s2 > 0 then concat(s2, 'S') else '' end) as cigar,
+  substr(translate(concat(md5(cast(read_id as string)), md5(concat(read_id, 'b')), md5(concat(read_id, 'c'))), '0123456789abcdef', 'ACGTACGTACGTACGT'), 1, cast(read_len as int)) as seq, {QUAL} as qual
+  from (select *, s1 + m1 + case when k1 = 'I' then n1 else 0 end + m2 + case when k2 = 'I' then n2 else 0 end + m3 + s2 as read_len,
+    pos + m1 + case when k1 in ('D', 'N') then n1 else 0 end + m2 + case when k2 in ('D', 'N') then n2 else 0 end + m3 as end_pos
+  from (select read_id, qname, rev, 'chr' || cast(1 + qname % 5 as string) as chrom, mapq, flag, base + shift as pos, hard, s1, s2,
+    case when rev and qname % 3 = 0 then greatest(1, 8 + qname % 20 - shift) when rev then 8 + read_id % 20 else 8 + qname % 20 end as m1,
+    case (qname + case when rev and qname % 4 = 0 then 1 else 0 end) % 5 when 1 then 'D' when 2 then 'I' when 3 then 'N' when 4 then 'D' else '' end as k1,
+    1 + qname % 3 + case when rev then read_id % 2 else 0 end as n1, 5 + read_id % 10 as m2, case read_id % 7 when 0 then 'I' when 1 then 'D' when 2 then 'D' else '' end as k2, 1 + read_id % 4 as n2, 6 + read_id % 12 as m3
+  from (select event_id as read_id, {EDIV} as qname, event_id % 2 = 1 as rev, cast(event_id % 61 as int) as mapq,
+    case when event_id % 2 = 1 then 16 + 128 else 64 end + 1 + (case when event_id % 29 = 0 then 1024 else 0 end) as flag, ({EDIV}) * 37 % 50000 + 400 as base,
+    case when event_id % 2 = 1 then ({EDIV}) * 7 % 90 - (case when ({EDIV}) % 19 = 0 then 200 else 0 end) else 0 end as shift,
+    event_id % 31 = 0 as hard, case when event_id % 6 < 2 then event_id % 5 else 0 end as s1, case when event_id % 4 < 2 then event_id % 8 else 0 end as s2 from {events}) a) b) c""",
 }
 _SPARK = {
     "OFF": "explode(sequence(0, length(text) - 1, 1000))", "K": "explode(sequence(1, length(piece)))", "I": "explode(sequence(0, n_chars div 50))", "EDIV": "event_id div 2",
+    "QUAL": "transform(sequence(0, read_len - 1), i -> cast(10 + (read_id * 7 + i * 11) % 31 as int))",
 }
 _DUCK = {
     "OFF": "unnest(generate_series(0, length(text) - 1, 1000))", "K": "unnest(generate_series(1, length(piece)))", "I": "unnest(generate_series(0, n_chars // 50))", "EDIV": "event_id // 2",
+    "QUAL": "list_transform(range(0, read_len), lambda i: cast(10 + (read_id * 7 + i * 11) % 31 as int))",
 }
 
 
@@ -63,7 +79,7 @@ def duck(sql: str) -> str:
 
 def _wrapped(sql: str) -> str:
     """Views are put in parentheses where the query names them."""
-    return re.sub(r"\{(frag|chroms|win|bl|site|seq|seqfrag|read)\}", r"({\1})", sql)
+    return re.sub(r"\{(frag|chroms|win|bl|site|seq|seqfrag|read|aln)\}", r"({\1})", sql)
 
 
 @functools.cache
