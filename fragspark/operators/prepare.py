@@ -39,8 +39,8 @@ def thin(windows: DataFrame, limit: int, keep: str = "first", group: str = "grou
     """Windows at least ``limit`` apart within chromosome and group, chosen greedily from the left.
 
     A run is a window and those behind it that start closer than ``limit`` to its end; one of it stays by ``keep`` (first,
-    highest, lowest, longest) and the next run is measured from the winner's end. State runs along a chromosome's
-    group, so groups are handled one at a time each, in Arrow batches of pandas.
+    highest, lowest, longest) and the next run is measured from the winner's end. State never runs over a gap of
+    ``limit`` or more behind all earlier ends, so each stretch between such gaps is handled by itself in pandas.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["start_pos", "end_pos", score], kind="stable").reset_index(drop=True)
@@ -63,7 +63,8 @@ def thin(windows: DataFrame, limit: int, keep: str = "first", group: str = "grou
             kept.append(pending)
         return pdf.iloc[kept]
 
-    return windows.groupBy("chrom", group).applyInPandas(run, windows.schema)
+    stretches = intervals._islands(windows, ["chrom", group], ["start_pos", "end_pos", score], False, limit)
+    return stretches.groupBy("chrom", group, "island").applyInPandas(lambda pdf: run(pdf.drop(columns="island")), windows.schema)
 
 
 def cluster_label(windows: DataFrame, depth: int, keys: list[str]) -> DataFrame:

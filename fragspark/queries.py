@@ -11,6 +11,7 @@ from . import alignment_queries, surrogate
 from .functions import gc_percent, length_edges, round_half_up, score_filter
 from .operators import blacklist, coverage, gcbias, intervals, lengths, prepare, profiles, reads, sequence, weights, windows
 from .operators.blacklist import Strategy
+from .operators.selection import Bins, Output
 from .operators.windows import Assigner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -521,9 +522,32 @@ add(
     f"""select window_idx, s as start_pos, s + 201 as end_pos from (select *, start_pos + {SPAN} // 2 - 100 + case when {SPAN} % 2 = 1 then 0 else -((start_pos * 31 + {SPAN} * 17) % 2) end as s from {{win}}) join {{chroms}} using (chrom) where s >= 0 and s + 201 <= chrom_len""",
 )
 add("prep_min_per", lambda v: prepare.min_per(_w5(v), {"group_name": 85}).select("window_idx", "group_name"), "select window_idx, group_name from {win} where group_name in (select group_name from {win} group by 1 having count(*) >= 85)")
-add("prep_min_per_two", lambda v: prepare.min_per(_w5(v).withColumn("bucket", F.expr("start_pos div 3000")), {"group_name": 60, "bucket": 60}).select("window_idx", "group_name", "bucket"))
-add("prep_min_distance", lambda v: prepare.thin(_w5(v), 500, "highest"))
-add("prep_score_filter", lambda v: _w5(v).where(score_filter("score", ">= 1200")).select("window_idx"), "select window_idx from {win} where score >= 1200")
+ROUNDS = 40  # more than the fixpoint takes at any of the scales; a further round changes nothing
+add(
+    "prep_min_per_two",
+    lambda v: prepare.min_per(_w5(v).withColumn("bucket", F.expr("start_pos div 3000")), {"group_name": 60, "bucket": 60}).select("window_idx", "group_name", "bucket"),
+    "with r0 as materialized (select window_idx, group_name, start_pos // 3000 as bucket from {win})"
+    + "".join(f", r{k + 1} as materialized (select window_idx, group_name, bucket from r{k} qualify count(*) over (partition by group_name) >= 60 and count(*) over (partition by bucket) >= 60)" for k in range(ROUNDS))
+    + f" select * from r{ROUNDS}",
+)
+add(
+    "prep_min_distance",
+    lambda v: prepare.thin(_w5(v), 500, "highest"),
+    """with recursive o as materialized (select *, row_number() over (partition by chrom, group_name order by start_pos, end_pos, score) as i from {win}),
+  walk as (select chrom, group_name, i, i as pending, score as best, end_pos as pending_end, end_pos as reach, cast(null as bigint) as last_end, cast(null as bigint) as emitted from o where i = 1
+    union all select o.chrom, o.group_name, o.i,
+      case when o.start_pos - last_end < 500 then pending when pending is null then o.i when o.start_pos - reach < 500 then case when o.score > best then o.i else pending end when o.start_pos - pending_end >= 500 then o.i end,
+      case when o.start_pos - last_end < 500 then best when pending is null then o.score when o.start_pos - reach < 500 then greatest(best, o.score) when o.start_pos - pending_end >= 500 then o.score end,
+      case when o.start_pos - last_end < 500 then pending_end when pending is null then o.end_pos when o.start_pos - reach < 500 then case when o.score > best then o.end_pos else pending_end end when o.start_pos - pending_end >= 500 then o.end_pos end,
+      case when o.start_pos - last_end < 500 then reach when pending is null then o.end_pos when o.start_pos - reach < 500 then reach when o.start_pos - pending_end >= 500 then o.end_pos end,
+      case when coalesce(o.start_pos - last_end < 500, false) or pending is null or o.start_pos - reach < 500 then last_end else pending_end end,
+      case when coalesce(o.start_pos - last_end < 500, false) or pending is null or o.start_pos - reach < 500 then null else pending end
+    from walk w join o on o.chrom = w.chrom and o.group_name = w.group_name and o.i = w.i + 1),
+  kept as (select chrom, group_name, emitted as i from walk where emitted is not null
+    union all select w.chrom, w.group_name, w.pending from walk w where w.pending is not null and not exists (select 1 from o where o.chrom = w.chrom and o.group_name = w.group_name and o.i = w.i + 1))
+  select chrom, start_pos, end_pos, group_name, window_idx, score from o join kept using (chrom, group_name, i)""",
+)
+add("prep_score_filter", lambda v: _w5(v).where(score_filter("score", ">= 950")).select("window_idx"), "select window_idx from {win} where score >= 950")
 
 # --- GC
 GCF = "(select f.doc_id, f.start_pos, f.end_pos, count(*) filter (base in ('G', 'C')) as gc, count(*) filter (base <> 'N') as acgt from {seqfrag} f join {seq} s on s.doc_id = f.doc_id and s.pos >= f.start_pos + 5 and s.pos < f.end_pos - 5 group by all having count(*) filter (base <> 'N') >= 10)"
@@ -540,12 +564,60 @@ add(
 )
 
 # --- selection on outputs
-add("sel_length_range", lambda v: _counted(lengths.counts(v("frag"), ["chrom"], COARSE)).where("length_start < 160 and length_start + 51 > 120"), f"select chrom, cast({CB} as bigint) as length_start, {r6('count(*)')} as count from {{frag}} f where {IN} and {CB} < 160 and {CB} + 51 > 120 group by 1, 2")
-add("sel_position_range", lambda v: _counted(profiles.midpoint_profile(v("frag"), v("site"), COARSE)).where("position >= 90 and position < 111"), f"select w.group_name, cast({CB} as bigint) as length_start, {PLACE} as position, {r6('count(*)')} as count {MIDS} and {PLACE} >= 90 and {PLACE} < 111 group by 1, 2, 3")
+_global = lambda v: lengths.counts(v("frag"), ["chrom"], COARSE)
+_by_chrom = lambda v: Output(_global(v), row="chrom", lengths=Bins("length_start", tuple(COARSE)))
+add("sel_length_range", lambda v: _counted(_by_chrom(v).length_range(120, 160).values), f"select chrom, cast({CB} as bigint) as length_start, {r6('count(*)')} as count from {{frag}} f where {IN} and {CB} < 160 and {CB} + 51 > 120 group by 1, 2")
+_profile = lambda v: Output(profiles.midpoint_profile(v("frag"), v("site"), COARSE), row="group_name", lengths=Bins("length_start", tuple(COARSE)), positions=Bins("position", tuple(range(202))))
+add("sel_position_range", lambda v: _counted(_profile(v).position_range(90, 111).values), f"select w.group_name, cast({CB} as bigint) as length_start, {PLACE} as position, {r6('count(*)')} as count {MIDS} and {PLACE} >= 90 and {PLACE} < 111 group by 1, 2, 3")
 add(
-    "sel_max_blacklisted",
-    lambda v: windows.covered_bp(_win(v), v("bl"), ["window_idx"]).where(F.col("covered") <= 0.1 * (F.col("end_pos") - F.col("start_pos"))).select("window_idx", "group_name", "covered"),
-    f"with m as ({MERGED_BL}) select w.window_idx, w.group_name, cast(sum(case when m.chrom is null then 0 else least(w.end_pos, m.end_pos) - greatest(w.start_pos, m.start_pos) end) as bigint) as covered from {{win}} w left join m on m.chrom = w.chrom and m.start_pos < w.end_pos and w.start_pos < m.end_pos group by 1, 2 having sum(case when m.chrom is null then 0 else least(w.end_pos, m.end_pos) - greatest(w.start_pos, m.start_pos) end) <= 0.1 * any_value(w.end_pos - w.start_pos)",
+    "sel_profile",
+    lambda v: _counted(_profile(v).groups("BUILDING", "MACHINERY").length_range(151, 221).profile("BUILDING")),
+    f"select {PLACE} as position, {r6('count(*)')} as count {MIDS} and w.group_name = 'BUILDING' and {SZ} >= 151 and {SZ} < 221 group by 1",
+)
+add(
+    "sel_groups_ordered",
+    lambda v: _counted(_profile(v).groups("MACHINERY", "BUILDING").position_range(100, 101).values),
+    f"select w.group_name, cast({CB} as bigint) as length_start, {PLACE} as position, {r6('count(*)')} as count, case w.group_name when 'MACHINERY' then 0 else 1 end as row_order {MIDS} and {PLACE} = 100 and w.group_name in ('MACHINERY', 'BUILDING') group by 1, 2, 3",
+)
+
+
+def _windowed(v) -> Output:
+    """Lengths by window, each with its group and masked fraction."""
+    rows = windows.covered_bp(_win(v), v("bl"), ["window_idx"]).select("window_idx", "group_name", "covered", R6(F.col("covered") / (F.col("end_pos") - F.col("start_pos"))).alias("blacklisted_fraction"))
+    counted = lengths.counts(windows.assign(v("frag"), v("win").select("chrom", "start_pos", "end_pos", "window_idx")), ["window_idx"], COARSE)
+    return Output(counted, row="window_idx", rows=rows, lengths=Bins("length_start", tuple(COARSE)))
+
+
+_BLACK = f"(with m as ({MERGED_BL}) select w.window_idx, any_value(w.group_name) as group_name, cast(sum(case when m.chrom is null then 0 else least(w.end_pos, m.end_pos) - greatest(w.start_pos, m.start_pos) end) as bigint) as covered, {r6('sum(case when m.chrom is null then 0 else least(w.end_pos, m.end_pos) - greatest(w.start_pos, m.start_pos) end) / any_value(w.end_pos - w.start_pos)')} as blacklisted_fraction from {{win}} w left join m on m.chrom = w.chrom and m.start_pos < w.end_pos and w.start_pos < m.end_pos group by 1)"
+_BY_WIN = f"(select w.window_idx, cast({CB} as bigint) as length_start, count(*)::double as n from {{frag}} f join {{win}} w on {MEETS} where {IN} group by 1, 2)"
+add("sel_max_blacklisted", lambda v: _windowed(v).max_blacklisted(0.1).rows.select("window_idx", "group_name", "covered"), f"select window_idx, group_name, covered from {_BLACK} where blacklisted_fraction <= 0.1")
+add(
+    "sel_groups_by_name",
+    lambda v: _windowed(v).groups_by_name("Brand#11", "Brand#23").max_blacklisted(0.25).frame().select("window_idx", "length_start", R6("count").alias("count"), "group_name", "blacklisted_fraction"),
+    f"select window_idx, length_start, n as count, group_name, blacklisted_fraction from {_BY_WIN} join {_BLACK} using (window_idx) where group_name in ('Brand#11', 'Brand#23') and blacklisted_fraction <= 0.25",
+)
+add(
+    "sel_dense",
+    lambda v: _windowed(v).length_bins(100, 151).dense(),
+    f"select d.window_idx, cast(s as bigint) as length_start, coalesce(n, 0) as count from (select distinct window_idx from {{win}}) d cross join (values (100), (151)) t(s) left join {_BY_WIN} x on x.window_idx = d.window_idx and x.length_start = s",
+)
+add(
+    "sel_wide",
+    lambda v: _windowed(v).frame(wide=True).drop("covered"),
+    f"select window_idx, group_name, blacklisted_fraction, coalesce(sum(n) filter (length_start = 30), 0) as count_30_100, coalesce(sum(n) filter (length_start = 100), 0) as count_100_151, coalesce(sum(n) filter (length_start = 151), 0) as count_151_221, coalesce(sum(n) filter (length_start = 221), 0) as count_221_401 from {_BY_WIN} join {_BLACK} using (window_idx) group by 1, 2, 3",
+)
+add(
+    "sel_ratio",
+    lambda v: _windowed(v).max_blacklisted(0.5).ratio((100, 151), (151, 221)).withColumn("ratio", R6("ratio")),
+    f"select window_idx, coalesce(sum(n) filter (length_start = 100), 0) as short, coalesce(sum(n) filter (length_start = 151), 0) as long, case when coalesce(sum(n) filter (length_start = 151), 0) = 0 then cast('NaN' as double) else {r6('coalesce(sum(n) filter (length_start = 100), 0) / sum(n) filter (length_start = 151)')} end as ratio from {_BY_WIN} join {_BLACK} using (window_idx) where blacklisted_fraction <= 0.5 group by 1",
+)
+_KMER_OUT = lambda v: Output(
+    sequence.frequencies(sequence.kmer_counts(_kmers(v).withColumn("contig_group", F.expr("cast(substr(chrom, 2) as bigint) % 5")), ["contig_group"]), ["contig_group"]), "frequency", "contig_group", motif="kmer"
+)
+add(
+    "sel_motif_counts",
+    lambda v: _KMER_OUT(v).groups(3, 1).select_motifs("TTT", "ACG").counts().entries().withColumn("count", R6("count")),
+    f"select doc_id % 5 as contig_group, kmer, {r6('sum(w)')} as count from {BOTH} where doc_id % 5 in (1, 3) and kmer in ('TTT', 'ACG') group by 1, 2",
 )
 
 alignment_queries.register(add)
