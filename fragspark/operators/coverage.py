@@ -50,24 +50,21 @@ def sums(covered: DataFrame, windows: DataFrame, keys: list[str], mask: DataFram
     """Per window, of all its bases that the mask leaves: span, blacklisted, eligible, nonzero, total, total_squared.
 
     ``keys`` tell windows apart; windows without coverage have zeros. Several windows of one key (a group) add
-    up, overlapping ones repeatedly: merge them per group first where bases should count once.
+    up, overlapping ones repeatedly: merge them per group first where bases should count once. The mask is taken out of
+    the windows, which are few, and never out of the segments.
     """
-    covered = covered.select("chrom", "start_pos", "end_pos", "value")
-    if mask is not None:
-        covered = intervals.subtract(covered, mask, ["value"])
-    met = intervals.with_overlap(intervals.overlap_join(covered, intervals.renamed(windows.select("chrom", "start_pos", "end_pos", *[k for k in keys if k != "chrom"]))))
+    own = windows.select("chrom", "start_pos", "end_pos", *[k for k in keys if k != "chrom"])
+    left = own if mask is None else intervals.subtract(own, mask, [k for k in keys if k != "chrom"])
+    met = intervals.with_overlap(intervals.overlap_join(covered.select("chrom", "start_pos", "end_pos", "value"), intervals.renamed(left)))
     size = F.col("overlap").cast("double")
     got = met.groupBy(*keys).agg(
         F.sum(F.col("value") * size).alias("total"), F.sum(F.col("value") * F.col("value") * size).alias("total_squared"), F.sum(F.when(F.col("value") > 0, F.col("overlap")).otherwise(0)).alias("nonzero")
     )
-    span = windows.groupBy(*keys).agg(F.sum(F.col("end_pos") - F.col("start_pos")).alias("span"))
-    if mask is not None:
-        hit = intervals.with_overlap(intervals.overlap_join(windows.select("chrom", "start_pos", "end_pos", *[k for k in keys if k != "chrom"]), intervals.renamed(intervals.merge(mask))))
-        span = span.join(hit.groupBy(*keys).agg(F.sum("overlap").alias("blacklisted")), keys, "left")
-    else:
-        span = span.withColumn("blacklisted", F.lit(0).cast("long"))
-    out = span.join(got, keys, "left").fillna(0, ["blacklisted", "total", "total_squared", "nonzero"])
-    return out.withColumn("eligible", F.col("span") - F.col("blacklisted"))
+    bases = F.sum(F.col("end_pos") - F.col("start_pos"))
+    span = own.groupBy(*keys).agg(bases.alias("span"))
+    span = span.withColumn("eligible", F.col("span")) if mask is None else span.join(left.groupBy(*keys).agg(bases.alias("eligible")), keys, "left").fillna(0, ["eligible"])
+    span = span.select(*keys, "span", (F.col("span") - F.col("eligible")).alias("blacklisted"), "eligible")
+    return span.join(got, keys, "left").fillna(0, ["total", "total_squared", "nonzero"])
 
 
 def summary(per_window: DataFrame) -> DataFrame:

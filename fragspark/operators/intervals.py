@@ -29,14 +29,21 @@ def _islands(df: DataFrame, keys: list[str], order: list, touching: bool, gap: i
 def merge(df: DataFrame, keys: list[str] = ["chrom"], touching: bool = True, gap: int = 0, aggregates: list[Column] | None = None, tile: int = TILE) -> DataFrame:  # noqa: B006
     """Unions of intervals per key: overlapping, optionally touching, optionally gap-separated ones as one.
 
-    Merges within tiles first; what is left of each tile is then merged per key. ``aggregates`` (over all members of a
-    union) switches the tile step off, as they need not be decomposable. Returns keys, start_pos, end_pos.
+    Where touching ones merge, intervals are cut at tile edges and merged within tiles; only unions that come near an edge, two
+    of a tile at most, meet again per key. Else unions of tiles are merged per key. ``aggregates`` (over all
+    members of a union) switches the tile step off, as they need not be decomposable. Returns keys, start_pos, end_pos.
     """
-    if aggregates is None:
-        local = _islands(df.select(*keys, "start_pos", "end_pos").withColumn("tile", int_div("start_pos", tile)), [*keys, "tile"], ["start_pos", "end_pos"], touching, gap)
-        df = local.groupBy(*keys, "tile", "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos")).drop("tile", "island")
-    whole = _islands(df, keys, ["start_pos", "end_pos"], touching, gap)
-    return whole.groupBy(*keys, "island").agg(F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"), *(aggregates or [])).drop("island")
+    bounds = (F.min("start_pos").alias("start_pos"), F.max("end_pos").alias("end_pos"))
+    if aggregates is not None:
+        return _islands(df, keys, ["start_pos", "end_pos"], touching, gap).groupBy(*keys, "island").agg(*bounds, *aggregates).drop("island")
+    own = df.select(*keys, "start_pos", "end_pos")
+    own = by_tile(own, tile) if touching else own.withColumn("tile", int_div("start_pos", tile))
+    local = _islands(own, [*keys, "tile"], ["start_pos", "end_pos"], touching, gap).groupBy(*keys, "tile", "island").agg(*bounds)
+    if not touching:
+        return _islands(local.drop("island"), keys, ["start_pos", "end_pos"], touching, gap).groupBy(*keys, "island").agg(*bounds).drop("island")
+    edge = (F.col("start_pos") - gap <= F.col("tile") * tile) | (F.col("end_pos") + gap >= (F.col("tile") + 1) * tile)
+    near = local.withColumn("_part", F.when(edge, F.lit(-1)).otherwise(F.col("tile"))).drop("tile", "island")
+    return _islands(near, [*keys, "_part"], ["start_pos", "end_pos"], touching, gap).groupBy(*keys, "_part", "island").agg(*bounds).drop("_part", "island")
 
 
 def _level(start: Column, end: Column, width: int, levels: int) -> Column:
@@ -59,13 +66,15 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, levels: int = LEV
     """Pairs of rows of a(chrom, start_pos, end_pos, ...) and b(chrom, b_start, b_end, ...) that share a base.
 
     Other column names must not clash. Each row of b is placed in bins of the level that suits its width, so wide
-    windows don't explode; rows of a look in the bins of every level. A pair is reported in one bin only, that of its
-    first shared base. Catalyst picks a broadcast or a shuffled join on (chrom, level, bin) by the sizes it sees.
+    windows don't explode; rows of a look in the bins of every level that b has (a small job over b tells which). A
+    pair is reported in one bin only, that of its first shared base. Catalyst picks a broadcast or a shuffled join
+    on (chrom, level, bin) by the sizes it sees.
     """
     b_level = b.withColumn("_level", _level(F.col("b_start"), F.col("b_end"), width, levels))
+    held = range(levels) if a.isStreaming or b.isStreaming else sorted(r[0] for r in b_level.select("_level").distinct().collect()) or [0]
     b_sequence = F.lit(None)
     a_places = []
-    for k in range(levels):
+    for k in held:
         w = width * SPAN**k
         b_sequence = F.when(F.col("_level") == k, _bins("b_start", "b_end", w)).otherwise(b_sequence)
         a_places.append(_placed(_bins("start_pos", "end_pos", w), k))
@@ -73,7 +82,7 @@ def overlap_join(a: DataFrame, b: DataFrame, width: int = BIN, levels: int = LEV
     left = a.withColumn("_place", F.explode(F.concat(*a_places))).withColumn("_level", F.col("_place._level")).withColumn("_bin", F.col("_place._bin")).drop("_place")
     first = F.greatest("start_pos", "b_start")
     at = F.lit(None)
-    for k in range(levels):
+    for k in held:
         at = F.when(F.col("_level") == k, int_div(first, width * SPAN**k)).otherwise(at)
     same = (F.col("chrom") == F.col("_b_chrom")) & (F.col("_level") == F.col("_b_level")) & (F.col("_bin") == F.col("_b_bin"))
     met = (F.col("start_pos") < F.col("b_end")) & (F.col("b_start") < F.col("end_pos")) & (F.col("_bin") == at)

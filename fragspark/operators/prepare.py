@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, distance_label, int_div
+from ..storage import settled
 from . import coverage, intervals
 
 
@@ -115,15 +116,13 @@ def min_per(windows: DataFrame, least: dict[str, int], most_rounds: int = 1000)
     Dropping windows of one label lowers the counts of another, so it repeats until nothing changes. Each round counts
     with a partial aggregate, joins the surviving values back and cuts the lineage with a checkpoint.
     """
-    spark = windows.sparkSession
-    durable = spark.sparkContext.getCheckpointDir() is not None
     n = windows.count()
     for _ in range(most_rounds):
         out = windows
         for label, k in least.items():
             kept = windows.groupBy(label).count().where(F.col("count") >= k).select(F.col(label).alias("_v"))
             out = out.join(kept, F.col(label).eqNullSafe(F.col("_v")), "left_semi")
-        windows = out.checkpoint() if durable else out.cache()
+        windows = settled(out)
         now = windows.count()
         if now == n or len(least) == 1:
             return windows

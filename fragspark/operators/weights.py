@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import col, ratio_or_nan
+from ..storage import settled
 from . import coverage, intervals, windows
 
 #: Usable GC weights; outside of it and of zero they are invalid.
@@ -59,7 +60,8 @@ def scaling_factors(frags: DataFrame, chroms: DataFrame, stride: int, width: int
     own = coverage.unit_mass(size) if unit_mass else F.lit(1.0)
     covered = coverage.segments(frags, own if weight is None else own * weight)
     bins = windows.fixed_size(chroms, stride)
-    told = coverage.sums(covered, bins, ["chrom", "window_idx"], mask).join(bins, ["chrom", "window_idx"])
+    # the sums are small beside the fragments and are read twice, for the smoothing and for the mean
+    told = settled(coverage.sums(covered, bins, ["chrom", "window_idx"], mask)).join(bins, ["chrom", "window_idx"])
     value = F.col("total") if unit_mass else ratio_or_nan("total", "eligible")
     told = told.withColumn("stride_value", F.when(F.col("eligible") > 0, value).otherwise(F.lit(float("nan"))))
     told = told.withColumn("support", F.col("eligible") / F.col("span").cast("double")).withColumn("i", F.col("window_idx"))
