@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gc_percent, int_div
-from . import sequence
+from . import intervals, sequence
 
 MIN_ACGT = 10
 
@@ -46,16 +46,67 @@ def window_scaled(counted: DataFrame, window_bp: DataFrame, window: str = "windo
     return one.groupBy("size", "gc_pct").agg(F.sum(F.col("n") / F.col("_mean") * F.col("acgt") / F.col("_avg") / F.col("_n")).alias("weight"))
 
 
-def reference_counts(chunked: DataFrame, lengths: list[int], every: int, size: int = sequence.CHUNK, end_offset: int = 0) -> DataFrame:
-    """(size, gc_pct, n) of the reference: fragments of each length from starts sampled by a fixed hash, one in ``every``."""
-    at = chunked.select("chrom", "chunk_start", "seq", F.explode(F.sequence(F.lit(0), F.least(F.length("seq"), F.lit(size)) - 1)).alias("i"))
-    starts = at.where(F.pmod(F.xxhash64("chrom", F.col("chunk_start") + F.col("i")), F.lit(every)) == 0)
-    sized = starts.withColumn("size", F.explode(F.array(*[F.lit(n) for n in lengths])))
-    piece = F.substring("seq", F.col("i") + 1 + end_offset, F.col("size") - 2 * end_offset)
-    full = sized.withColumn("s", piece).where(F.length("s") == F.col("size") - 2 * end_offset)
-    acgt, gc = F.length(F.regexp_replace("s", "[^ACGT]", "")), F.length(F.regexp_replace("s", "[^GC]", ""))
-    told = full.select("size", gc.alias("gc"), acgt.alias("acgt")).where(F.col("acgt") >= MIN_ACGT)
-    return told.groupBy("size", gc_percent("gc", "acgt").alias("gc_pct")).agg(F.count("*").alias("n"))
+def sampled_starts(chunked: DataFrame, every: int, seed: int = 0, size: int = sequence.CHUNK) -> DataFrame:
+    """(chrom, pos) of the bases of the chunks that a fixed hash picks, one in ``every``; the same whatever the partitions."""
+    at = chunked.select("chrom", F.explode(F.sequence(F.col("chunk_start"), F.col("chunk_start") + F.least(F.length("seq"), F.lit(size)) - 1)).alias("pos"))
+    return at.where(F.pmod(F.xxhash64(F.lit(seed), "chrom", "pos"), F.lit(every)) == 0)
+
+
+def reference_counts(chunked: DataFrame, starts: DataFrame, lengths: list[int], size: int = sequence.CHUNK, end_offset: int = 0, targets: DataFrame | None = None, keys: list[str] = [], least_share: float = 0.0, least_count: int = MIN_ACGT) -> DataFrame:  # noqa: B006
+    """(keys, size, gc, acgt, gc_pct, n) of the reference: fragments of each length from starts(chrom, pos).
+
+    With targets(chrom, start_pos, end_pos, keys) a start counts in each window that holds it, for the lengths that still
+    fit the window. GC is that of the fragment less ``end_offset`` at both ends; fragments with fewer ACGT bases than that
+    share of it, rounded up, or than ``least_count`` go. Chunks must overlap by the longest length.
+    """
+    chunk = starts.withColumn("_chunk", int_div("pos", size) * size)
+    found = chunk.join(chunked.select("chrom", F.col("chunk_start").alias("_chunk"), "seq"), ["chrom", "_chunk"])
+    room = F.length("seq") - (F.col("pos") - F.col("_chunk"))
+    if targets is not None:
+        points = found.select("chrom", "_chunk", "seq", F.col("pos").alias("start_pos"), (F.col("pos") + 1).alias("end_pos"))
+        found = intervals.overlap_join(points, intervals.renamed(targets.select("chrom", "start_pos", "end_pos", *keys))).withColumn("pos", F.col("start_pos"))
+        room = F.least(room, F.col("b_end") - F.col("pos"))
+    fits = F.filter(F.array(*[F.lit(n) for n in lengths if n > 2 * end_offset]), lambda n: n <= room)
+    sized = found.select(*keys, "seq", (F.col("pos") - F.col("_chunk") + 1 + end_offset).cast("int").alias("_at"), F.explode(fits).alias("size"))
+    piece = F.substring("seq", F.col("_at"), F.col("size") - 2 * end_offset)
+    told = sized.select(*keys, "size", F.length(F.regexp_replace(piece, "[^GC]", "")).alias("gc"), F.length(F.regexp_replace(piece, "[^ACGT]", "")).alias("acgt"))
+    least = F.greatest(F.ceil(F.lit(float(least_share)) * (F.col("size") - 2 * end_offset)), F.lit(max(1, least_count)))
+    counted = told.where(F.col("acgt") >= least).groupBy(*keys, "size", "gc", "acgt").agg(F.count("*").alias("n"))
+    return counted.withColumn("gc_pct", gc_percent("gc", "acgt"))
+
+
+def support_theoretical(lengths: list[int], end_offset: int = 0) -> np.ndarray:
+    """Which GC percents the whole numbers of GC bases of each length can give at all."""
+    out = np.zeros((len(lengths), 101), bool)
+    for row, n in enumerate(lengths):
+        if n > 2 * end_offset:
+            out[row] = percent_widths(n - 2 * end_offset) > 0
+    return out
+
+
+def support_per_mb(reference: np.ndarray, acgt_bp: int, least: float = 1.0) -> np.ndarray:
+    """Cells of the reference counted at least so often for each million ACGT bases that starts were drawn from."""
+    return reference >= acgt_bp / 1e6 * least
+
+
+def support_extreme(shape: tuple[int, int], extreme: int = 1, short: int = 1) -> np.ndarray:
+    """All cells but those of so many GC bins at either end and of so many of the shortest length bins."""
+    out = np.ones(shape, bool)
+    k = min(extreme, shape[1])
+    out[:, :k] = out[:, shape[1] - k :] = False
+    out[: min(short, shape[0])] = False
+    return out
+
+
+def percent_rows(counted: DataFrame, lengths: list[int], end_offset: int = 0, debias: bool = True) -> DataFrame:
+    """(size, gc_pct, value): counts(size, gc, n) by GC bases on the percent grid, a row of at most 101 cells for each length."""
+    spark = counted.sparkSession
+    held = counted.where(F.col("size").isin(*lengths)).groupBy("size", "gc").agg(F.sum("n").alias("n")).collect()  # lengths x (length + 1) at most
+    rows: dict[int, np.ndarray] = {}
+    for r in held:
+        rows.setdefault(r["size"], np.zeros(r["size"] - 2 * end_offset + 1))[r["gc"]] += float(r["n"])
+    cells = [(n, p, float(v)) for n, row in sorted(rows.items()) for p, v in enumerate(percent_grid(row, n - 2 * end_offset, debias)) if v]
+    return spark.createDataFrame(cells, "size long, gc_pct long, value double")
 
 
 def matrix(counted: DataFrame, lengths: list[int], value: str = "n") -> np.ndarray:
@@ -200,7 +251,8 @@ def correction(sample: np.ndarray, reference: np.ndarray, lengths: list[int], le
 
     Steps: row smoothing, division by the supported mean, gap filling, bins by mass (GC summed, lengths averaged),
     extreme bins masked, mean scaling per length, sample over reference, filling of masked cells, winsorizing, clamping to
-    [0.1, 10], mean scaling, inversion with zeros kept.
+    [0.1, 10], mean scaling, inversion with zeros kept. ``support`` tells the cells that the reference supports
+    (see support_theoretical and support_per_mb); by default those that it has at all.
     """
     ok = (reference > 0) if support is None else support
     sample, reference = smooth_rows(sample), smooth_rows(reference)
@@ -209,11 +261,9 @@ def correction(sample: np.ndarray, reference: np.ndarray, lengths: list[int], le
     reference = mean_scaled(reference, ok, per_row=False)
     length_bins, gc_bins = greedy_bins(sample.sum(1), length_share, length_width), greedy_bins(sample.sum(0), gc_share)
     a, b = (collapse(collapse(m, gc_bins, 1), length_bins, 0, "mean") for m in (sample, reference))
-    usable = b > 0
-    if extreme and usable.shape[1] > 2 * extreme:
-        usable[:, :extreme] = usable[:, -extreme:] = False
-    if short and usable.shape[0] > short:
-        usable[:short] = usable[:short] & False if usable.shape[0] > short + 1 else usable[:short]
+    usable = (b > 0) & support_extreme(b.shape, extreme, short)
+    if not usable.any():
+        raise ValueError("no length and GC bin has support; widen the lengths or mask fewer bins")
     a, b = mean_scaled(a, usable), mean_scaled(b, usable)
     ratio = np.where(usable, a / np.where(b > 0, b, 1), 1.0)
     ratio = mean_scaled(ratio, usable)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical_by_centre, collapse_complement, int_div, reverse_complement
-from . import intervals
+from . import intervals, windows
 
 #: Bases of a chunk.
 CHUNK = 4096
@@ -36,6 +36,18 @@ def kmers(chunked: DataFrame, k: int, size: int = CHUNK, keep_n: bool = False) -
     return out if keep_n else out.where(~F.col("kmer").contains("N"))
 
 
+def kmers_by_window(found: DataFrame, k: int, targets: DataFrame | None = None, size: int | None = None, how: windows.Assigner = windows.Assigner.COUNT_OVERLAP, proportion: float = 0.5) -> DataFrame:
+    """k-mers of found(chrom, pos, kmer) with every window that they belong to, and ``in_window``, their weight there.
+
+    The windows are fixed bins (``size``, as window_start) or targets(chrom, start_pos, end_pos, ...). The rules are those of
+    fragments, with the k-mer as the fragment; under count-overlap a k-mer weighs the share of it that is inside.
+    """
+    placed = found.withColumn("start_pos", F.col("pos")).withColumn("end_pos", F.col("pos") + k)
+    met = windows.assign_fixed(placed, size, how, proportion) if targets is None else windows.assign(placed, targets, how, proportion)
+    weight = F.col("overlap") / F.lit(float(k)) if how is windows.Assigner.COUNT_OVERLAP else F.lit(1.0)
+    return met.withColumn("in_window", weight).drop("start_pos", "end_pos", "overlap", "b_start", "b_end")
+
+
 def both_orientations(counted: DataFrame, weight: str = "weight") -> DataFrame:
     """Half of each weight to the k-mer and half to its reverse complement."""
     halves = F.array(F.struct(F.col("kmer").alias("m")), F.struct(reverse_complement("kmer").alias("m")))

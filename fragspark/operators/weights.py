@@ -79,3 +79,14 @@ def average_factor(frags: DataFrame, bins: DataFrame, keys: list[str], start: st
     told = met.groupBy("chrom", "start_pos", "end_pos").agg((F.sum(F.col("overlap") * F.col("_f")) / F.sum("overlap")).alias("factor"))
     told = told.withColumnRenamed("start_pos", "_s").withColumnRenamed("end_pos", "_e").withColumnRenamed("chrom", "_c")
     return frags.join(told, (F.col("chrom") == F.col("_c")) & (F.col(start) == F.col("_s")) & (F.col(end) == F.col("_e"))).drop("_c", "_s", "_e")
+
+
+def overlap_factor(assigned: DataFrame, bins: DataFrame) -> DataFrame:
+    """Assigned fragments (with b_start, b_end) with ``factor``: the mean over the part that lies in their window.
+
+    A fragment whose part is empty, as clips may make it, takes the bin of its nearest base in the window.
+    """
+    low, high = F.greatest("start_pos", "b_start"), F.least("end_pos", "b_end")
+    first = F.least(low, F.col("b_end") - 1)
+    told = assigned.withColumn("_from", F.when(low < high, low).otherwise(first)).withColumn("_to", F.when(low < high, high).otherwise(first + 1))
+    return average_factor(told, bins, [], "_from", "_to").drop("_from", "_to")

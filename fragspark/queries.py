@@ -304,6 +304,13 @@ add(
     lambda v: _counted(lengths.counts(weights.average_factor(v("frag"), _fake_bins(v), []), ["chrom"], COARSE, F.col("factor"))),
     f"select chrom, length_start, {r6('sum(factor)')} as count from (select f.chrom, cast({CB} as bigint) as length_start, f.start_pos, f.end_pos, mapq, strand, gc_weight, rn, sum({OVER} * w.factor) / sum({OVER}) as factor from (select *, row_number() over () as rn from {{frag}}) f join {FAKE} w on {MEETS} where {IN} group by all) group by all",
 )
+add(
+    "lengths_scaled_overlap",
+    lambda v: _counted(lengths.counts(weights.overlap_factor(windows.assign(v("frag"), _win(v), Assigner.COUNT_OVERLAP), _fake_bins(v)), ["group_name"], COARSE, lengths.count_overlap_weight() * F.col("factor"))),
+    f"""select group_name, length_start, {r6('sum(share * factor)')} as count from (
+  select group_name, cast({CB.replace('f.end_pos - f.start_pos', 'f.size')} as bigint) as length_start, any_value((f.end_pos - f.start_pos) / f.size) as share, sum({OVER} * w.factor) / sum({OVER}) as factor from (
+    select f.chrom, greatest(f.start_pos, w.start_pos) as start_pos, least(f.end_pos, w.end_pos) as end_pos, f.end_pos - f.start_pos as size, w.group_name, row_number() over () as rn from {{frag}} f join {{win}} w on {MEETS} where {IN}) f join {FAKE} w on {MEETS} group by rn, group_name, length_start) group by 1, 2""",
+)
 add(
     "cov_scaled",
     lambda v: coverage.sums(coverage.scaled(coverage.segments(v("frag")), _fake_bins(v)), _win(v), ["group_name"]).select("group_name", R6("total").alias("total")),
@@ -359,6 +366,23 @@ add(
     lambda v: sequence.frequencies(sequence.kmer_counts(_kmers(v).withColumn("contig_group", F.expr("cast(substr(chrom, 2) as bigint) % 5")), ["contig_group"]), ["contig_group"]).select("contig_group", "kmer", R6("frequency").alias("frequency"), R6("row_scaling_factor").alias("row_scaling_factor")),
     f"select contig_group, kmer, {r6('w / sum(w) over (partition by contig_group)')} as frequency, {r6('sum(w) over (partition by contig_group)')} as row_scaling_factor from (select doc_id % 5 as contig_group, kmer, sum(w) as w from {BOTH} group by 1, 2)",
 )
+WIN_KMERS = "(select k.doc_id, k.pos, k.kmer, w.window_name, w.start_pos, w.end_pos, least(k.pos + 3, w.end_pos) - greatest(k.pos, w.start_pos) as ov from " + KM + " k join {docwin} w on w.doc_id = k.doc_id and k.pos < w.end_pos and w.start_pos < k.pos + 3 where " + KOK + ")"
+_docwindows = lambda v: v("docwin").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), "start_pos", "end_pos", "window_name")
+add(
+    "kmer_bed_overlap",
+    lambda v: _w6(sequence.kmer_counts(sequence.kmers_by_window(_kmers(v), K, _docwindows(v)), ["window_name"], "both", weight=F.col("in_window")), "window_name", "kmer"),
+    f"select window_name, kmer, {r6('sum(w)')} as weight from (select window_name, kmer, ov / 6 as w from {WIN_KMERS} union all select window_name, {RC('kmer')}, ov / 6 from {WIN_KMERS}) group by 1, 2",
+)
+add(
+    "kmer_bed_all",
+    lambda v: _w6(sequence.kmer_counts(sequence.kmers_by_window(_kmers(v), K, _docwindows(v), how=Assigner.ALL), ["window_name"], "forward", weight=F.col("in_window")), "window_name", "kmer"),
+    f"select window_name, kmer, {r6('count(*)')} as weight from {WIN_KMERS} where ov = 3 group by 1, 2",
+)
+add(
+    "kmer_by_size",
+    lambda v: _w6(sequence.kmer_counts(sequence.kmers_by_window(_kmers(v), K, size=1_000), ["window_start"], "forward", weight=F.col("in_window")), "window_start", "kmer"),
+    f"select i * 1000 as window_start, kmer, {r6('sum(least(pos + 3, i * 1000 + 1000) - greatest(pos, i * 1000)) / 3')} as weight from (select pos, kmer, unnest(range(pos // 1000, (pos + 2) // 1000 + 1)) as i from {KM} where {KOK}) group by 1, 2",
+)
 MOTIFS = [("ACG", "x"), ("CGT", "x"), ("TTT", "y"), ("GGG", "z")]
 add(
     "kmer_selected",
@@ -554,7 +578,35 @@ GCF = "(select f.doc_id, f.start_pos, f.end_pos, count(*) filter (base in ('G',
 PCT = "least(100, (100 * gc + acgt // 2) // acgt)"
 _gc = lambda v: gcbias.fragment_gc(_sf(v), _chunks(v, 220), 5, 512)
 add("gc_counts_observed", lambda v: gcbias.observed_counts(_gc(v)), f"select end_pos - start_pos as size, {PCT} as gc_pct, count(*) as n from {GCF} group by 1, 2")
-add("gc_percent_grid", lambda v: _gc(v).groupBy("gc", "acgt").agg(F.count("*").alias("n")).withColumn("gc_pct", gc_percent("gc", "acgt")).groupBy("gc_pct").agg(F.sum("n").alias("n")), f"select {PCT} as gc_pct, count(*) as n from {GCF} group by 1")
+add(
+    "gc_percent_grid",
+    lambda v: gcbias.percent_rows(_gc(v).where("acgt = end_pos - start_pos - 10").groupBy((F.col("end_pos") - F.col("start_pos")).alias("size"), "gc").agg(F.count("*").alias("n")), list(range(30, 150)), 5).select("size", "gc_pct", R6("value").alias("value")),
+    f"""with c as (select end_pos - start_pos as size, gc, count(*) as n from {GCF} where acgt = end_pos - start_pos - 10 group by 1, 2),
+  w as (select size, least(100, (100 * g + (size - 10) // 2) // (size - 10)) as gc_pct, count(*) as width from (select distinct size from c) s, lateral (select unnest(generate_series(0, s.size - 10)) as g) group by 1, 2),
+  r as (select size, least(100, (100 * gc + (size - 10) // 2) // (size - 10)) as gc_pct, sum(n) as n from c group by 1, 2)
+  select size, gc_pct, {r6('n / width * sum(n) over (partition by size) / sum(n / width) over (partition by size)')} as value from r join w using (size, gc_pct)""",
+)
+SIZES = [40, 75, 110]
+_starts = lambda v: v("seqfrag").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), F.col("start_pos").alias("pos"))
+_docwin = lambda v: v("docwin").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), "start_pos", "end_pos", "window_name")
+GCW = f"""(select f.doc_id, window_name, size, f.pos, count(*) filter (base in ('G', 'C')) as gc, count(*) filter (base <> 'N') as acgt
+  from (select doc_id, w.window_name, least(w.end_pos, n_chars) as end_pos, s.start_pos as pos, unnest([{', '.join(map(str, SIZES))}]) as size, s.end_pos as other from {{seqfrag}} s join {{docwin}} w using (doc_id) join {{documents}} using (doc_id) where s.start_pos >= w.start_pos and s.start_pos < w.end_pos) f
+  join {{seq}} b on b.doc_id = f.doc_id and b.pos >= f.pos + 4 and b.pos < f.pos + size - 4 where f.pos + size <= f.end_pos group by f.doc_id, window_name, size, f.pos, f.other
+  having count(*) = size - 8 and acgt >= greatest(ceil(0.8 * (size - 8)), 10))"""
+add(
+    "gc_reference_windows",
+    lambda v: gcbias.reference_counts(_chunks(v, 220), _starts(v), SIZES, 512, 4, _docwin(v), ["window_name"], 0.8).groupBy("window_name", "size", "gc_pct").agg(F.sum("n").alias("n")),
+    f"select window_name, size, {PCT} as gc_pct, count(*) as n from {GCW} group by 1, 2, 3",
+)
+add(
+    "gc_window_scaled",
+    lambda v: (lambda counted, bp: gcbias.window_scaled(counted, bp, "chrom").withColumn("weight", R6("weight")))(
+        gcbias.observed_counts(_gc(v), ["chrom"]), _seq(v).groupBy("chrom").agg(F.count("*").alias("span"), F.sum(F.when(F.col("base") != "N", 1).otherwise(0)).alias("acgt"))
+    ),
+    f"""with c as (select doc_id, end_pos - start_pos as size, {PCT} as gc_pct, count(*) as n from {GCF} group by 1, 2, 3), b as (select doc_id, count(*) as span, count(*) filter (base <> 'N') as acgt from {{seq}} group by 1 having acgt >= 0.1 * span),
+  m as (select doc_id, avg(n) as mean from c group by 1), used as (select count(*) as k from b join m using (doc_id))
+  select size, gc_pct, {r6('sum(n / mean * acgt / (select avg(span) from b) / (select k from used))')} as weight from c join m using (doc_id) join b using (doc_id) group by 1, 2""",
+)
 PACKAGE = {"length_edges": [30, 60, 90, 150], "gc_edges": [0, 40, 60, 101], "correction": [[1.0, 0.5, 2.0], [0.25, 1.0, 1.5], [1.25, 0.75, 1.0]], "length_frequencies": [0.2, 0.5, 0.3]}
 _GW = " ".join(f"when size >= {a} and size < {b} and pct >= {g} and pct < {h} then {PACKAGE['correction'][i][j]}" for i, (a, b) in enumerate(zip(PACKAGE["length_edges"], PACKAGE["length_edges"][1:])) for j, (g, h) in enumerate(zip(PACKAGE["gc_edges"], PACKAGE["gc_edges"][1:])))
 add(

@@ -31,6 +31,8 @@ VIEWS = {
   i*50 + (doc_id*7 + i*3) % 40 + 30 + (doc_id*11 + i*13) % 120 as end_pos
   from (select doc_id, n_chars, {I} as i from {documents} where n_chars > 0) t
   where i*50 + (doc_id*7 + i*3) % 40 + 30 + (doc_id*11 + i*13) % 120 <= n_chars""",
+    # two windows that overlap in every document
+    "docwin": """select doc_id, 40 as start_pos, 400 as end_pos, 'a' as window_name from {documents} union all select doc_id, 301, 907, 'b' from {documents}""",
     "read": """select event_id as read_id, pair_id as qname, 'chr' || cast(1 + pair_id % 5 as string) as chrom,
   case when is_rev then base_pos + 20 + pair_id % 200 - (case when pair_id % 23 = 0 then 300 else 0 end) else base_pos end as pos,
   20 + event_id % 30 as aligned_len,
@@ -79,7 +81,7 @@ def duck(sql: str) -> str:
 
 def _wrapped(sql: str) -> str:
     """Views are put in parentheses where the query names them."""
-    return re.sub(r"\{(frag|chroms|win|bl|site|seq|seqfrag|read|aln)\}", r"({\1})", sql)
+    return re.sub(r"\{(frag|chroms|win|bl|site|seq|seqfrag|read|aln|docwin)\}", r"({\1})", sql)
 
 
 @functools.cache

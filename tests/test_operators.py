@@ -388,3 +388,21 @@ def test_stream(spark, tmp_path):
 
 def test_reverse_complement(spark):
     assert spark.range(1).select(reverse_complement(F.lit("AACGn"))).first()[0] == "nCGTT"
+
+
+def test_support_masks():
+    mask = gcbias.support_theoretical([20, 30, 121], 10)
+    assert not mask[0].any() and list(np.flatnonzero(mask[1])) == list(range(0, 101, 10)) and mask[2].all()
+    assert gcbias.support_per_mb(np.array([[1.9, 2.0]]), 2_000_000).tolist() == [[False, True]]
+    assert gcbias.support_extreme((3, 5)).tolist() == [[False] * 5, [False, True, True, True, False], [False, True, True, True, False]]
+    assert not gcbias.support_extreme((1, 2), 5, 5).any()
+
+
+def test_short_bins_are_masked():
+    rng = np.random.default_rng(2)
+    reference = rng.integers(50, 100, (12, 101)).astype(float)
+    package = gcbias.correction(reference * np.linspace(0.5, 2, 101), reference, list(range(100, 112)), length_share=0.0, gc_share=0.02)
+    w = package["correction"]
+    assert np.isfinite(w).all() and (w > 0).all() and w[:, 2].mean() > w[:, -3].mean()
+    with pytest.raises(ValueError):
+        gcbias.correction(reference[:2], reference[:2], [100, 101], length_share=0.9, gc_share=0.9)
