@@ -1,7 +1,7 @@
 """Tab-separated inputs: fragments, intervals, groups, scores, scaling factors, chromosome sizes, motifs.
 
-Every reader has a fixed schema. Spark's codecs read plain, .gz and .bz2 files; .zst files are decompressed by Python
-workers a file at a time where Hadoop lacks the codec.
+Every reader has a fixed schema. Spark's codecs read plain, .gz and .bz2 files; .zst files, whose codec Hadoop may
+lack, are decompressed by Python workers a file at a time.
 """
 
 from __future__ import annotations
@@ -16,35 +16,43 @@ _FRAG_TYPES = {
 }
 
 
+_ZST = (".zst", ".zstd")
+
+
 def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """(path, no, line): lines of text files with their number within the file, from 0.
+    """(path, block, at, line): lines of text files, ordered by block, where their split begins, and then by at.
 
-    Numbers come from each line's byte order within its file: lines are read in file order by a single task per file.
+    Plain files are split and read by many tasks, compressed ones as Spark's codecs allow. Files of ``.zst`` are decompressed by
+    Python workers as a stream, a file at a time.
     """
-    told = spark.read.format("binaryFile").load(paths)
+    told = [paths] if isinstance(paths, str) else list(paths)
+    packed = [p for p in told if p.endswith(_ZST)]
+    plain = [p for p in told if not p.endswith(_ZST)]
 
     def run(batches):
-        import bz2
-        import gzip
+        import io
 
         import pyarrow as pa
+        import zstandard
 
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if path.endswith((".gz", ".bgz")):
-                    data = gzip.decompress(data)
-                elif path.endswith(".bz2"):
-                    data = bz2.decompress(data)
-                elif path.endswith((".zst", ".zstd")):
-                    import zstandard
-
-                    data = zstandard.ZstdDecompressor().decompressobj().decompress(data)
-                rows = data.decode("utf-8", "replace").splitlines()
-                for at in range(0, len(rows), 50_000):
-                    part = rows[at : at + 50_000]
-                    yield pa.RecordBatch.from_pydict({"path": [path] * len(part), "no": pa.array(range(at, at + len(part)), pa.int64()), "line": part})
-
-    return told.select("path", "content").mapInArrow(run, "path string, no long, line string")
+                rows, at = [], 0
+                for line in io.TextIOWrapper(zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)), "utf-8", "replace"):
+                    rows.append(line.rstrip("\r\n"))
+                    if len(rows) == 50_000:
+                        yield pa.RecordBatch.from_pydict({"path": [path] * len(rows), "block": [0] * len(rows), "at": pa.array(range(at, at + len(rows)), pa.int64()), "line": rows})
+                        at, rows = at + len(rows), []
+                if rows:
+                    yield pa.RecordBatch.from_pydict({"path": [path] * len(rows), "block": [0] * len(rows), "at": pa.array(range(at, at + len(rows)), pa.int64()), "line": rows})
+
+    found = []
+    if plain or not packed:
+        text = spark.read.text(plain)
+        found.append(text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
+    if packed:
+        found.append(spark.read.format("binaryFile").load(packed).select("path", "content").mapInArrow(run, "path string, block long, at long, line string"))
+    return found[0] if len(found) == 1 else found[0].union(found[1])
 
 
 def _fields(df: DataFrame, separator: str = r"\t| +") -> DataFrame:
@@ -65,8 +73,16 @@ def _intervals(df: DataFrame) -> DataFrame:
 
 
 def _numbered(df: DataFrame, name: str = "window_idx") -> DataFrame:
-    """File-order index over all valid rows: window files are read by one task each and ranked by (path, line)."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy("path", "no")).cast("long") - 1)
+    """File-order index over all rows: ranked within each split, behind the rows of the splits before it.
+
+    No task ranks more than a split; the running sum has a row for each split.
+    """
+    splits = df.groupBy("path", "block").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("path", "block").rowsBetween(Window.unboundedPreceding, -1)
+    based = splits.select(F.col("path").alias("_path"), F.col("block").alias("_block"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    ranked = df.withColumn("_row", F.row_number().over(Window.partitionBy("path", "block").orderBy("at")))
+    met = ranked.join(based, (F.col("path") == F.col("_path")) & (F.col("block") == F.col("_block")))
+    return met.withColumn(name, (F.col("_base") + F.col("_row") - 1).cast("long")).drop("_row", "_base", "_path", "_block")
 
 
 def bed(spark: SparkSession, paths: str | list[str], chromosomes: list[str] | None = None) -> DataFrame:
@@ -88,7 +104,7 @@ def grouped_bed(spark: SparkSession, paths: str | list[str], stranded: bool = Fa
         widest = F.max(F.size("f")).over(Window.partitionBy("path"))
         strand = F.when(widest >= 6, F.get("f", F.lit(5))).otherwise(F.get("f", F.lit(4)))
         out = out.withColumn("strand", F.when(strand.isin("+", "-", "."), strand).otherwise(F.raise_error(F.format_string("bad strand: %s", "line"))))
-    return out.join(F.broadcast(ranked), "group_name").select("chrom", "start_pos", "end_pos", "group_name", "group_idx", "window_idx", *(["strand"] if stranded else []))
+    return out.join(ranked, "group_name").select("chrom", "start_pos", "end_pos", "group_name", "group_idx", "window_idx", *(["strand"] if stranded else []))
 
 
 def scored_bed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -101,7 +117,7 @@ def frag(spark: SparkSession, paths: str | list[str], header: list[str] | None =
     """Fragment files as chrom, start_pos, end_pos, mapq, strand and the weights that are there.
 
     ``header`` names the columns (aliases chrom, mapq, strand are understood); by default the five standard ones. Unknown
-    columns are refused unless allowed. Read with Spark's CSV reader, so large files split and filters reach the scan.
+    columns are refused unless allowed. Fields are split at any white space; large files are split between tasks.
     """
     names = [_ALIASES.get(h.lower(), h.lower()) for h in (header or list(_FRAG_TYPES)[:5])]
     unknown = [n for n in names if n not in _FRAG_TYPES]
@@ -109,9 +125,11 @@ def frag(spark: SparkSession, paths: str | list[str], header: list[str] | None =
         raise ValueError(f"unknown fragment columns: {unknown}")
     if missing := {"chromosome", "start", "end"} - set(names):
         raise ValueError(f"fragment columns are missing: {sorted(missing)}")
-    schema = ", ".join(f"`{n}` {_FRAG_TYPES.get(n, 'string')}" for n in names)
-    out = spark.read.csv(paths, schema=schema, sep="\t", comment="#", mode="FAILFAST")
-    return out.withColumnsRenamed({"chromosome": "chrom", "start": "start_pos", "end": "end_pos", "min_mapq": "mapq", "read1_strand": "strand"})
+    out_names = {"chromosome": "chrom", "start": "start_pos", "end": "end_pos", "min_mapq": "mapq", "read1_strand": "strand"}
+    rows = spark.read.text(paths).where(~F.col("value").rlike(r"^\s*(#|$)")).withColumn("f", F.split(F.trim("value"), r"\s+"))
+    wide = F.when(F.size("f") >= len(names), F.col("f")).otherwise(F.raise_error(F.format_string("too few fields: %s", "value")))
+    rows = rows.select(wide.alias("f")).where(F.get("f", F.lit(names.index("start"))).try_cast("long").isNotNull() | (F.lower(F.get("f", F.lit(names.index("chromosome")))) != "chromosome") & (F.lower(F.get("f", F.lit(names.index("chromosome")))) != "chrom"))
+    return rows.select(*[F.get("f", F.lit(k)).cast(_FRAG_TYPES.get(n, "string")).alias(out_names.get(n, n)) for k, n in enumerate(names)])
 
 
 def chrom_sizes(spark: SparkSession, path: str) -> DataFrame:

@@ -11,6 +11,7 @@ from fragspark.functions import distance_label, gc_percent, length_edges, midpoi
 from fragspark.operators import blacklist, coverage, gcbias, intervals, lengths, prepare, profiles, reads, sequence, weights, windows
 from fragspark.operators.blacklist import Strategy
 from fragspark.plans.commands import Selection, bam_to_frag, check_scaling, fcoverage, length_counts, midpoint_profiles, ref_kmers
+from fragspark.sources import text
 
 SPAN = "chrom string, start_pos long, end_pos long"
 
@@ -293,8 +294,6 @@ def test_peaks():
 
 
 def test_text_sources(spark, tmp_path):
-    from fragspark.sources import text
-
     p = tmp_path / "w.bed"
     p.write_text("# remark\nchrom\tstart\tend\tgroup\tx\tstrand\nchr2\t5\t9\tb\t1\t-\nchr1\t0\t4\ta\t2\t+\nchr1\t8\t9\tb\t3.5\t.\n")
     assert told(text.bed(spark, str(p), ["chr1"]), "start_pos", "window_idx") == [(0, 1), (8, 2)]
@@ -406,3 +405,25 @@ def test_short_bins_are_masked():
     assert np.isfinite(w).all() and (w > 0).all() and w[:, 2].mean() > w[:, -3].mean()
     with pytest.raises(ValueError):
         gcbias.correction(reference[:2], reference[:2], [100, 101], length_share=0.9, gc_share=0.9)
+
+
+def test_split_files_are_numbered_in_order(spark, tmp_path):
+    p = tmp_path / "many.bed"
+    p.write_text("# head\n" + "".join(f"chr1\t{k}\t{k + 1}\tg{k // 400}\n" for k in range(3000)))
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        got = text.bed(spark, str(p))
+        assert text.lines(spark, str(p)).select("block").distinct().count() > 5
+        assert all(r.start_pos == r.window_idx for r in got.collect()) and got.count() == 3000
+        assert {(r.group_name, r.group_idx) for r in text.grouped_bed(spark, str(p)).collect()} == {(f"g{k}", k) for k in range(8)}
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_fragment_files_with_any_white_space(spark, tmp_path):
+    p = tmp_path / "f.tsv"
+    p.write_text("chromosome start end min_mapq read1_strand\n# note\nchr1 5   60\t30 +\n\nchr2\t7\t90\t20\t-\n")
+    assert sorted((r.chrom, r.start_pos, r.end_pos, r.mapq, r.strand) for r in text.frag(spark, str(p)).collect()) == [("chr1", 5, 60, 30, "+"), ("chr2", 7, 90, 20, "-")]
