@@ -86,10 +86,11 @@ def _smoothed(x: np.ndarray, window: int = SMOOTH_WINDOW) -> np.ndarray:
 
 
 def _normalized(x: np.ndarray) -> np.ndarray:
-    """Values minus the median of the centred baseline window; NaN where too few bases are usable."""
+    """Values minus the median of the centred baseline window, to nine places, so that equal bases of a plateau are equal
+    whatever the order of sums; NaN where too few bases are usable."""
     series = pd.Series(x)
     base = series.rolling(BASELINE + 1, center=True, min_periods=LEAST_BASELINE).median()
-    return (series - base).to_numpy()
+    return np.round((series - base).to_numpy(), 9)
 
 
 def call_peaks(x: np.ndarray, start: int, least: float = LEAST_HEIGHT) -> list[tuple[int, int, int, float]]:

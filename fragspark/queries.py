@@ -489,8 +489,27 @@ add(
     f"with {WPS} select w.window_idx, case when coalesce(sum(value * {OVER}), 0) < 0 then -floor(-coalesce(sum(value * {OVER}), 0) / any_value(w.end_pos - w.start_pos) * 1e6 + 0.5) / 1e6 else floor(coalesce(sum(value * {OVER}), 0) / any_value(w.end_pos - w.start_pos) * 1e6 + 0.5) / 1e6 end as average from {{win}} w left join segs f on {MEETS} group by 1",
 )
 _peaks = lambda v: profiles.peaks(profiles.protection_score(v("frag")), 100_000, 1.0)
-add("peaks_calls", lambda v: _peaks(v).select("chrom", "start_pos", "end_pos", "peak_position", R6("height").alias("height")))
-add("peaks_stats", lambda v: profiles.peak_stats(_peaks(v), windows.fixed_size(v("chroms"), 10_000), ["window_idx"]))
+_C21 = ", ".join(f"({x - 10}, {c!r})" for x, c in enumerate(profiles.savgol_coefficients(21)))
+#: Peaks a base at a time: smoothed with mirrored ends, less the running median, runs above zero with gaps of up to 5 closed.
+PEAKS = f"""{WPS}, ends as (select chrom, max(end_pos) as last from segs where end_pos is not null group by 1),
+  raw as materialized (select b.chrom, p, coalesce(s.value, 0) as x from (select chrom, unnest(range(0, last + 2000)) as p from ends) b asof left join segs s on s.chrom = b.chrom and s.start_pos <= b.p),
+  coef(j, c) as (values {_C21}),
+  mirrored as (select chrom, p, sum(y) as y from (select chrom, p - j as p, c * x as y from raw, coef union all select chrom, -(p) - j, c * x from raw, coef where p between 1 and 10) where p >= 0 group by 1, 2),
+  normal as materialized (select m.chrom, m.p, round(y - median(y) over (partition by m.chrom order by m.p rows between 500 preceding and 500 following), 9) as v from mirrored m),
+  above as (select chrom, p, lag(p) over (partition by chrom order by p) as before from normal where v > 0),
+  closed as (select chrom, p, sum(case when before is null or p - before - 1 > 5 then 1 else 0 end) over (partition by chrom order by p) as run from above),
+  runs as (select chrom, run, min(p) as a, max(p) + 1 as b from closed group by 1, 2 having max(p) + 1 - min(p) between 50 and 450),
+  vals as (select r.chrom, run, a, b, p, greatest(v, 0) as v from runs r join normal n on n.chrom = r.chrom and n.p >= r.a and n.p < r.b),
+  high as (select *, p - row_number() over (partition by chrom, run order by p) as stretch from (select *, median(v) over (partition by chrom, run) as mid from vals) where v >= mid),
+  picks as (select chrom, run, stretch, min(p) as start_pos, max(p) + 1 as end_pos, sum(v) as total, max(v) as height, any_value(b - a) as size from high group by 1, 2, 3),
+  chosen as (select * from picks qualify case when size <= 150 then row_number() over (partition by chrom, run order by total desc, start_pos) = 1 else end_pos - start_pos between 50 and 150 end),
+  calls as (select c.chrom, c.start_pos, c.end_pos, min(h.p) as peak_position, c.height from chosen c join high h on h.chrom = c.chrom and h.run = c.run and h.stretch = c.stretch and h.v = c.height where c.height > 1.0 group by all)"""
+add("peaks_calls", lambda v: _peaks(v).select("chrom", "start_pos", "end_pos", "peak_position", R6("height").alias("height")), f"with {PEAKS} select chrom, start_pos, end_pos, peak_position, {r6('height')} as height from calls")
+add(
+    "peaks_stats",
+    lambda v: profiles.peak_stats(_peaks(v), windows.fixed_size(v("chroms"), 10_000), ["window_idx"]).select("window_idx", "n_peaks", R6("mean_distance").alias("mean_distance"), "median_distance"),
+    f"with {PEAKS}, {BINS.replace(str(SIZE - 1), '9999').replace(str(SIZE), '10000')}, g as (select window_idx, c.peak_position - lag(c.peak_position) over (partition by window_idx order by c.peak_position) as gap from calls c join bins w on w.chrom = c.chrom and c.peak_position >= w.start_pos and c.peak_position < w.end_pos) select cast(window_idx as bigint) as window_idx, count(*) as n_peaks, {r6('avg(gap)')} as mean_distance, median(gap) as median_distance from g group by 1",
+)
 
 # --- pairing
 _reads = lambda v: v("read").withColumn("end_pos", F.col("pos") + F.col("aligned_len")).withColumn("gc_tag", F.col("gc_tag").cast("double")).where(reads.usable_single(5))
