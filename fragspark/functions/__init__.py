@@ -70,6 +70,14 @@ def round_half_up(x, decimals: int = 6) -> Column:
     return F.when(x < 0, -(F.floor(-x * f + 0.5) / f)).when(F.isnan(x), x).otherwise(F.floor(x * f + 0.5) / f)
 
 
+def compact_number(x, decimals: int = 6) -> Column:
+    """Rounded half away from zero, as text without trailing zeros; minus zero reads 0, what is no number stays itself."""
+    rounded = round_half_up(x, decimals)
+    text = F.format_string(f"%.{decimals}f", rounded)
+    short = F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(F.isnan(col(x)) | (F.abs(col(x)) == float("inf")), col(x).cast("string")).otherwise(F.when(short == "-0", "0").otherwise(short))
+
+
 def ratio_or_nan(a, b) -> Column:
     """a / b as double, NaN where b is zero."""
     return F.when(col(b) == 0, F.lit(float("nan"))).otherwise(col(a).cast("double") / F.when(col(b) == 0, F.lit(1.0)).otherwise(col(b)))

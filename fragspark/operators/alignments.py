@@ -259,3 +259,16 @@ def segment_fragments(reads: DataFrame, least_gap: int = 1, ignore_gap: bool = F
     clipped = F.transform(spans, lambda x: F.struct(F.greatest(x["start"], start).alias("start"), F.least(x["end"], end).alias("end")))
     told = found.select("chrom", "qname", start.alias("start_pos"), end.alias("end_pos"), F.posexplode(_united(F.filter(clipped, lambda x: x["start"] < x["end"]))).alias("segment", "s"))
     return told.select("chrom", "qname", "start_pos", "end_pos", "segment", F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"))
+
+
+def mismatches(md, pos) -> Column:
+    """Reference positions of the mismatches that an MD tag tells: numbers are matches, ^letters deletions, letters mismatches."""
+    parts = F.regexp_extract_all(col(md), F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
+    start = F.struct(col(pos).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("out"))
+
+    def step(s, x):
+        deleted, number = x.startswith("^"), x.rlike(r"^\d")
+        moved = F.when(number, x.try_cast("long")).when(deleted, (F.length(x) - 1).cast("long")).otherwise(F.lit(1).cast("long"))
+        return F.struct((s["at"] + moved).alias("at"), F.when(number | deleted, s["out"]).otherwise(F.concat(s["out"], F.array(s["at"]))).alias("out"))
+
+    return F.aggregate(parts, start, step)["out"]

@@ -97,6 +97,54 @@ def annotate_nearest(windows: DataFrame, targets: DataFrame, rules: list[str] |
     return out.drop("left_pos", "right_pos", "left_gap", "right_gap")
 
 
+def near_edges(targets: DataFrame, edge: str = "nearest", duplicates: str = "keep-first", order: str | None = None, label: str | None = None) -> DataFrame:
+    """(chrom, pos[, label]): the single bases that intervals are near by.
+
+    ``edge``: left (the first base), right (the last one), nearest (both), upstream or downstream (by ``strand``; intervals
+    without one have their left and right edge there). Where several intervals share an edge one of them stays by ``order`` ('keep-first'),
+    none ('drop-all'), they become one whose labels are joined ('merge'), or it is an error ('error').
+    """
+    left, right = F.col("start_pos"), F.col("end_pos") - 1
+    if edge in ("upstream", "downstream"):
+        minus = F.coalesce(F.col("strand") == "-", F.lit(False))
+        at = F.when(minus == F.lit(edge == "upstream"), right).otherwise(left)
+        places = F.array(at)
+    else:
+        places = {"left": F.array(left), "right": F.array(right), "nearest": F.array_distinct(F.array(left, right))}[edge]
+    spread = targets.withColumn("pos", F.explode(places))
+    first = F.min_by(label, order) if label and order else F.min(label) if label else None
+    told = spread.groupBy("chrom", "pos").agg(F.count("*").alias("_n"), *([first.alias(label)] if label else []), *([F.array_join(F.array_sort(F.collect_set(label)), ",").alias("_all")] if label else []))
+    if duplicates == "drop-all":
+        told = told.where("_n = 1")
+    elif duplicates == "error":
+        told = told.withColumn("pos", F.when(F.col("_n") == 1, F.col("pos")).otherwise(F.raise_error(F.format_string("several intervals share the edge %s:%d", "chrom", "pos")).cast("long")))
+    elif duplicates == "merge" and label:
+        told = told.withColumn(label, F.col("_all"))
+    elif duplicates not in ("keep-first", "merge"):
+        raise ValueError(f"unknown policy: {duplicates}")
+    return told.select("chrom", "pos", *([label] if label else []))
+
+
+def compositions(windows: DataFrame, specs: list[str], separator: str = ".") -> DataFrame:
+    """windows with a column for each spec ``NAME=PART,PART``: the parts' columns joined, empty ones kept."""
+    out = windows
+    for spec in specs:
+        name, _, parts = spec.partition("=")
+        names = [p.strip() for p in parts.split(",")]
+        if not name.strip() or not all(names) or not parts:
+            raise ValueError(f"bad composition: {spec}")
+        if missing := [p for p in names if p not in out.columns]:
+            raise ValueError(f"unknown labels in {spec}: {missing}")
+        out = out.withColumn(name.strip(), compose(names, separator))
+    return out
+
+
+def ordered(windows: DataFrame, by: str = "place", group: str = "group_name") -> DataFrame:
+    """Windows sorted by place (chromosome, start, end, group) or by group first."""
+    place = ["chrom", "start_pos", "end_pos"]
+    return windows.orderBy(*{"place": [*place, group], "group": [group, *place]}[by])
+
+
 def compose(parts: list[str], separator: str = ".") -> Column:
     """A label of several parts, empty ones kept."""
     return F.concat_ws(separator, *[F.coalesce(col(p), F.lit("")) for p in parts])

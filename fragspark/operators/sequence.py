@@ -118,7 +118,11 @@ def all_motifs(spark, k: int) -> DataFrame:
 
 
 def zero_filled(counted: DataFrame, rows: DataFrame, axis: DataFrame, keys: list[str], label: str, value: str) -> DataFrame:
-    """Every row of ``rows`` with every label of ``axis``: rows x labels is the size of the dense result asked for."""
+    """Every row of ``rows`` with every label of ``axis``. A dense result of more than MOST_DENSE bytes is refused first."""
+    from .selection import MOST_DENSE
+
+    if keys and 8 * axis.count() * rows.select(*keys).distinct().count() > MOST_DENSE:
+        raise ValueError("the dense result is too large; leave out what was not observed")
     grid = rows.select(*keys).distinct().crossJoin(F.broadcast(axis.select(label))) if keys else axis.select(label)
     return grid.join(counted, [*keys, label], "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
 

@@ -24,9 +24,12 @@ class Assigner(Enum):
 def fixed_size(chroms: DataFrame, size: int) -> DataFrame:
     """Bins of each chromosome with a global row number in chromosome order: chrom, start_pos, end_pos, window_idx.
 
-    chroms(chrom, chrom_len[, ord]); the last bin ends with its chromosome.
+    chroms(chrom, chrom_len[, ord]); the last bin ends with its chromosome. Without ``ord`` chromosomes go by the number that
+    their name ends in, then by name: chr2 before chr10, and those without a number last.
     """
-    ordered = chroms if "ord" in chroms.columns else chroms.withColumn("ord", F.col("chrom"))
+    number = F.nullif(F.regexp_extract("chrom", r"(\d+)$", 1), F.lit("")).cast("long")
+    natural = F.struct(number.isNull().alias("last"), number.alias("number"), F.col("chrom").alias("name"))
+    ordered = chroms if "ord" in chroms.columns else chroms.withColumn("ord", natural)
     counted = ordered.withColumn("_n", int_div(F.col("chrom_len") + (size - 1), size))
     before = Window.orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)  # a row for each chromosome
     offset = counted.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0)))

@@ -230,12 +230,13 @@ _NAN = "cast('NaN' as double)"
 SUMMARY_SQL = f"""span, blacklisted, eligible, nonzero, {r6('total')} as total, {r6('total_squared')} as total_squared,
   case when eligible = 0 then {_NAN} else {r6('nonzero / eligible')} end as covered_fraction, {AVERAGE_SQL},
   case when eligible = 0 then {_NAN} else {r6('greatest(0, total_squared / eligible - (total / eligible) * (total / eligible))')} end as variance,
-  case when eligible = 0 then {_NAN} else {r6('sqrt(greatest(0, total_squared / eligible - (total / eligible) * (total / eligible)))')} end as sd"""
+  case when eligible = 0 then {_NAN} else {r6('sqrt(greatest(0, total_squared / eligible - (total / eligible) * (total / eligible)))')} end as sd,
+  case when eligible = 0 or abs(total / eligible) <= 4.440892098500626e-16 then {_NAN} else {r6('sqrt(greatest(0, total_squared / eligible - (total / eligible) * (total / eligible))) / (total / eligible)')} end as cv"""
 
 
 def _summary(df: DataFrame, keys: list[str]) -> DataFrame:
     s = coverage.summary(df)
-    return s.select(*keys, "span", "blacklisted", "eligible", "nonzero", *[R6(c).alias(c) for c in ("total", "total_squared", "covered_fraction", "average", "variance", "sd")])
+    return s.select(*keys, "span", "blacklisted", "eligible", "nonzero", *[R6(c).alias(c) for c in ("total", "total_squared", "covered_fraction", "average", "variance", "sd", "cv")])
 
 
 add(

@@ -170,3 +170,30 @@ def write_frag(frags: DataFrame, path: str) -> None:
 
 def write_tsv(df: DataFrame, path: str, header: bool = True) -> None:
     df.write.csv(path, sep="\t", header=header, compression="gzip")
+
+
+def write_scaling_factors(bins: DataFrame, path: str, remarks: dict[str, str]) -> None:
+    """bins(chrom, start_pos, end_pos, ..., scaling_factor) as one TSV with ``# key=value`` remarks and a header.
+
+    A row for each stride of the genome; ``scaling_factors`` reads it back.
+    """
+    spark, names = bins.sparkSession, [c for c in bins.columns if c not in ("chrom", "start_pos", "end_pos", "scaling_factor")]
+    head = [f"# {k}={v}" for k, v in remarks.items()] + ["\t".join(["chromosome", "start", "end", *names, "scaling_factor"])]
+    top = spark.createDataFrame([("", k - len(head), x) for k, x in enumerate(head)], "chrom string, start_pos long, value string")
+    row = F.concat_ws("\t", "chrom", "start_pos", "end_pos", *[F.coalesce(F.col(c).cast("string"), F.lit("NaN")) for c in [*names, "scaling_factor"]])
+    every = top.union(bins.select("chrom", F.col("start_pos").cast("long"), row.alias("value")))
+    every.coalesce(1).sortWithinPartitions("chrom", "start_pos").select("value").write.text(path)
+
+
+def write_group_index(groups: DataFrame, path: str) -> None:
+    """groups(group_idx, group_name, ...) as one TSV with a header, in the order of their index."""
+    groups.coalesce(1).sortWithinPartitions("group_idx").write.csv(path, sep="\t", header=True)
+
+
+def chromosomes(spark: SparkSession, told: str | list[str] | None) -> list[str] | None:
+    """The chromosomes to choose: a list as it is, 'all' for no choice, or the first column of a file."""
+    if told is None or isinstance(told, list):
+        return told
+    if told == "all":
+        return None
+    return [r.c for r in _numbered(_fields(lines(spark, told)), "n").orderBy("n").select(F.get("f", F.lit(0)).alias("c")).limit(100_000).collect()]
