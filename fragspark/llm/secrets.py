@@ -50,13 +50,20 @@ BUILT_IN = (
     "default path file data index test type object number count list map set max min retry time date version module package property option "
     "https://www.example.com/ http:// Content-Type: application/json ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz 0123456789 1234567890"
 )
-_IDENTIFIER = re.compile(r"[A-Za-z][A-Za-z0-9]*(?:_[A-Za-z0-9]+)+|[a-z]+(?:[A-Z][a-z]+)+|(?:[A-Z][a-z]+){2,}|[A-Za-z_]+(?=\x20*[=(])", re.A)
 _WORD = re.compile(r"[A-Z]?[a-z]{2,14}|[A-Z]{3,14}")
+_BEFORE = re.compile(r"([A-Za-z_][A-Za-z0-9_]{2,39})\x20[=(]", re.A)
 
 
 def code_words(text: str) -> set[str]:
-    """The words, in lower case, that the identifiers in a text are made of."""
-    return {w.lower() for m in _IDENTIFIER.finditer(text) for w in _WORD.findall(m[0])}
+    """The words, in lower case, that the identifiers in a text are made of.
+
+    Identifiers are taken from runs without white space that hold an underscore, an equals sign, a parenthesis or a capital
+    behind a small letter, and from names before ' =' and ' ('.
+    """
+    named = [w for w in set(text.split()) if "_" in w or "=" in w or "(" in w or not (w.islower() or w[1:].islower() or w.isupper()) and w.isalnum() and not w[1:].isupper()]
+    if " =" in text or " (" in text:
+        named += _BEFORE.findall(text)
+    return {w.lower() for x in named for w in _WORD.findall(x[:200])}
 
 
 def corpus_words(docs: DataFrame, most: int = CODE_WORDS) -> list[str]:
