@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import fold, table
 from .linededup import SQL as LINE_DEDUP_SQL
+from .rules import SQL as QUALITY_SQL
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -98,6 +99,16 @@ def minhash_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(docs.where("doc_id % 20 = 0"), docs)
 
 
+def quality_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base statistics and tests of ``op6_quality_rules`` alone, which SQL can express."""
+    from .rules import LEAST_WORDS, MOST_REPEATED, statistics
+
+    told = statistics(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = [F.col(f"stats.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return told.select("doc_id", *base).withColumn("base_failed", failed)
+
+
 def line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what line dedup leaves of its text."""
     from .linededup import deduplicate
@@ -105,5 +116,6 @@ def line_dedup_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(table(spark, sf_dir, "documents")).select("doc_id", "source", F.size("removed").cast("long").alias("n_runs"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_byte_cnn, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity, minhash_matches, line_dedup_texts)}
-ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_byte_cnn, op4_line_dedup, op5_bpe, op6_quality_rules, op7_token_files, op8_simhash, op9_minhash, op10_toxicity, minhash_matches, quality_statistics, line_dedup_texts)}
+LINE_DEDUP_TEXTS_SQL = f"select d.doc_id, d.source, coalesce(g.n_runs, 0) as n_runs, case when g.doc_id is null then d.text else g.text end as text from documents d left join ({LINE_DEDUP_SQL}) g on g.doc_id = d.doc_id"
+ORACLES: dict[str, str] = {"op4_line_dedup": LINE_DEDUP_SQL, "quality_statistics": QUALITY_SQL, "line_dedup_texts": LINE_DEDUP_TEXTS_SQL}

@@ -221,3 +221,21 @@ def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
     for rule in rules:
         verdict = verdict.when(rule.expression(stats), F.lit(False))
     return told.withColumn(base, failed).withColumn(kept, verdict.otherwise(F.lit(True))), rules
+
+
+#: The base statistics in SQL over ``documents``.
+SQL = """
+with t as (select doc_id, coalesce(text, '') as text from documents),
+w as (
+  select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as words,
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines
+  from t),
+k as (select doc_id, unnest(range(1, len(words) - 3)) as i, words from w where len(words) > 4),
+windows as (select doc_id, i, count(*) over (partition by doc_id, array_to_string(words[i:i + 4], ' ')) as n from k),
+covered as (select doc_id, count(distinct p) as n from (select doc_id, unnest(range(i, i + 5)) as p from windows where n > 1) group by doc_id)
+select w.doc_id, len(words) as n_words, coalesce(length(array_to_string(words, '')), 0) as word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(n, 0) as n_repeat_words,
+  len(words) < 10 or 100 * coalesce(n, 0) > 20 * len(words) as base_failed
+from w left join covered using (doc_id)
+"""
