@@ -345,7 +345,7 @@ add(
 
 # --- sequence
 _seq = lambda v: v("seq").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), "pos", "base")
-_chunks = lambda v, over: sequence.chunks(_seq(v), 512, over)
+_chunks = lambda v, over: v(f"chunks:512:{over}")
 K = 3
 KM = "(select doc_id, pos, base || lead(base, 1) over w || lead(base, 2) over w as kmer from {seq} window w as (partition by doc_id order by pos))"
 KOK = "kmer is not null and not contains(kmer, 'N')"

@@ -89,5 +89,21 @@ def _spark_sql(name: str, sf_dir: str) -> str:
     return _filled(_wrapped(VIEWS[name]), _SPARK, lambda n: f"parquet.`{sf_dir}/{n}.parquet`")
 
 
+def chunks(spark: SparkSession, sf_dir: str, size: int, overlap: int) -> DataFrame:
+    """The sequence of the view ``seq`` as chunks(chrom, chunk_start, seq), each with so many bases of what follows.
+
+    Cut from whole texts, as a reference file is read, without a row for each base.
+    """
+    return spark.sql(
+        f"""select concat('d', doc_id) as chrom, off as chunk_start, array_join(transform(regexp_extract_all(piece, '(?s).', 0), x -> substr('ACGTN', 1 + ascii(x) % 5, 1)), '') as seq
+  from (select doc_id, off, substr(text, cast(off as int) + 1, {size + overlap}) as piece from (
+    select doc_id, text, explode(sequence(0L, cast(length(text) - 1 as bigint), {size}L)) as off from parquet.`{sf_dir}/documents.parquet` where length(text) > 0))"""
+    )
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A view by its name; ``chunks:SIZE:OVERLAP`` names the sequence in chunks."""
+    if name.startswith("chunks:"):
+        size, overlap = map(int, name.split(":")[1:])
+        return chunks(spark, sf_dir, size, overlap)
     return spark.sql(_spark_sql(name, sf_dir))
