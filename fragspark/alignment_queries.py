@@ -93,7 +93,24 @@ def _segments_sql(least: int, ignore: bool) -> str:
   select chrom, qname, any_value(fp) as start_pos, any_value(re) as end_pos, cast(island - 1 as int) as segment, min(s) as seg_start, max(e) as seg_end from i group by chrom, qname, island"""
 
 
+TRIM = 3
+STRETCHES = """pieces as (select chrom, qname, pos as s, case when k1 <> '' then pos + m1 when k2 <> '' then pos + m1 + d1 + m2 else end_pos end as e from u
+  union all select chrom, qname, pos + m1 + d1, case when k2 <> '' then pos + m1 + d1 + m2 else end_pos end from u where k1 <> ''
+  union all select chrom, qname, end_pos - m3, end_pos from u where k2 <> ''{between})"""
+
+
+def _stretches_sql(ignore: bool) -> str:
+    between = "" if ignore else " union all select chrom, qname, fe, rp from p where fe < rp"
+    return f"""with {PAIRED}, {STRETCHES.replace('{between}', between)},
+  c as (select chrom, qname, fp, re, greatest(s, fp + {TRIM}) as s, least(e, re - {TRIM}) as e from pieces join p using (chrom, qname) where greatest(s, fp + {TRIM}) < least(e, re - {TRIM})),
+  i as (select *, sum(case when reach is null or s >= reach then 1 else 0 end) over (partition by chrom, qname order by s, e rows unbounded preceding) as island from (
+    select *, max(e) over (partition by chrom, qname order by s, e rows between unbounded preceding and 1 preceding) as reach from c))
+  select chrom, qname, any_value(fp) as start_pos, any_value(re) as end_pos, cast(island - 1 as int) as segment, min(s) as seg_start, max(e) as seg_end from i group by chrom, qname, island"""
+
+
 def register(add) -> None:
+    for name, ignore in (("aln_kmer_segments", False), ("aln_kmer_segments_ignore_gap", True)):
+        add(name, lambda v, i=ignore: alignments.kmer_segments(_reads(v), "adjust", TRIM, i), _stretches_sql(ignore))
     for name, (options, counted, size, test) in LENGTHS.items():
         clip = "greatest(0, fp - lc) as assign_start, re + rc as assign_end" if options.get("clips") == "adjust" else "fp as assign_start, re as assign_end"
         add(f"aln_lengths_{name}", _lengths(options), f"with {COUNTED} select chrom, qname, fp as start_pos, re as end_pos, {counted}, {clip}, greatest({'lc + rc' if name == 'clips' else '0'}, {size}) as size from told where {test}")

@@ -261,6 +261,48 @@ def segment_fragments(reads: DataFrame, least_gap: int = 1, ignore_gap: bool = F
     return told.select("chrom", "qname", "start_pos", "end_pos", "segment", F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"))
 
 
+def _pieces(cigar, pos) -> Column:
+    """Array of (start, end): aligned stretches without an insertion, deletion or skip in them."""
+    at = col(pos).cast("long")
+    ops = F.filter(cigar_ops(cigar), lambda x: x["op"].isin("M", "=", "X", "I", "D", "N"))
+    start = F.struct(F.expr(_SPANS).alias("out"), F.lit(False).alias("open"))
+
+    def step(s, x):
+        a, b, out = at + x["ref"], at + x["ref"] + x["n"], s["out"]
+        grown = F.concat(F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0))), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), b.alias("end"))))
+        longer = F.when(s["open"], grown).otherwise(F.concat(out, F.array(F.struct(a.alias("start"), b.alias("end")))))
+        aligned = x["op"].isin("M", "=", "X")
+        return F.struct(F.when(aligned, longer).otherwise(out).alias("out"), aligned.alias("open"))
+
+    return F.aggregate(ops, start, step)["out"]
+
+
+def kmer_segments(reads: DataFrame, indels: str = "adjust", trim: int = 0, ignore_gap: bool = False, single: bool = False) -> DataFrame:
+    """Stretches of fragments that k-mers must lie in: chrom, qname, start_pos, end_pos, segment, seg_start, seg_end.
+
+    'ignore' takes the whole span, 'skip' drops fragments with an indel in either mate, 'adjust' cuts each mate at its
+    indels and unites the mates' pieces; pieces that only touch stay apart, as an insertion lies between them. The gap between
+    the mates counts, unless ``ignore_gap``. Both fragment ends lose ``trim`` bases.
+    """
+    if indels not in ("adjust", "ignore", "skip"):
+        raise ValueError(f"unknown mode: {indels}")
+    found = (as_mates if single else mates)(with_alignment(reads), "cigar", "deleted", "inserted")
+    start, end = F.col("f.pos").cast("long"), F.col("r.end_pos").cast("long")
+    sides = ("f",) if single else ("f", "r")
+    if indels == "skip":
+        found = found.where(sum((F.size(F.col(f"{s}.{k}")) for s in sides for k in ("deleted", "inserted")), F.lit(0)) == 0)
+    if indels == "adjust":
+        spans = F.concat(*[_pieces(f"{s}.cigar", f"{s}.pos") for s in sides])
+        if not single and not ignore_gap:
+            between = F.array(F.struct(F.col("f.end_pos").cast("long").alias("start"), F.col("r.pos").cast("long").alias("end")))
+            spans = F.concat(spans, F.when(F.col("f.end_pos") < F.col("r.pos"), between).otherwise(F.expr(_SPANS)))
+    else:
+        spans = F.array(F.struct(start.alias("start"), end.alias("end")))
+    clipped = F.transform(spans, lambda x: F.struct(F.greatest(x["start"], start + trim).alias("start"), F.least(x["end"], end - trim).alias("end")))
+    told = found.select("chrom", "qname", start.alias("start_pos"), end.alias("end_pos"), F.posexplode(_united(F.filter(clipped, lambda x: x["start"] < x["end"]), True)).alias("segment", "s"))
+    return told.select("chrom", "qname", "start_pos", "end_pos", "segment", F.col("s.start").alias("seg_start"), F.col("s.end").alias("seg_end"))
+
+
 def mismatches(md, pos) -> Column:
     """Reference positions of the mismatches that an MD tag tells: numbers are matches, ^letters deletions, letters mismatches."""
     parts = F.regexp_extract_all(col(md), F.lit(r"(\d+|\^[A-Z]+|[A-Z])"), F.lit(1))
