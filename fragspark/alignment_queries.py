@@ -87,7 +87,7 @@ PIECES = """pieces as (select chrom, qname, pos as s, pos + m1 as e from u where
 def _segments_sql(least: int, ignore: bool) -> str:
     between = "" if ignore else " union all select chrom, qname, fe, rp from p where fe < rp"
     return f"""with {PAIRED}, {PIECES.replace('{g}', str(least)).replace('{between}', between)},
-  c as (select chrom, qname, fp, re, greatest(s, fp) as s, least(e, re) as e from pieces join p using (chrom, qname) where greatest(s, fp) < least(e, re)),
+  c as (select distinct chrom, qname, fp, re, greatest(s, fp) as s, least(e, re) as e from pieces join p using (chrom, qname) where greatest(s, fp) < least(e, re)),
   i as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by chrom, qname order by s, e rows unbounded preceding) as island from (
     select *, max(e) over (partition by chrom, qname order by s, e rows between unbounded preceding and 1 preceding) as reach from c))
   select chrom, qname, any_value(fp) as start_pos, any_value(re) as end_pos, cast(island - 1 as int) as segment, min(s) as seg_start, max(e) as seg_end from i group by chrom, qname, island"""
@@ -102,7 +102,7 @@ STRETCHES = """pieces as (select chrom, qname, pos as s, case when k1 <> '' then
 def _stretches_sql(ignore: bool) -> str:
     between = "" if ignore else " union all select chrom, qname, fe, rp from p where fe < rp"
     return f"""with {PAIRED}, {STRETCHES.replace('{between}', between)},
-  c as (select chrom, qname, fp, re, greatest(s, fp + {TRIM}) as s, least(e, re - {TRIM}) as e from pieces join p using (chrom, qname) where greatest(s, fp + {TRIM}) < least(e, re - {TRIM})),
+  c as (select distinct chrom, qname, fp, re, greatest(s, fp + {TRIM}) as s, least(e, re - {TRIM}) as e from pieces join p using (chrom, qname) where greatest(s, fp + {TRIM}) < least(e, re - {TRIM})),
   i as (select *, sum(case when reach is null or s >= reach then 1 else 0 end) over (partition by chrom, qname order by s, e rows unbounded preceding) as island from (
     select *, max(e) over (partition by chrom, qname order by s, e rows between unbounded preceding and 1 preceding) as reach from c))
   select chrom, qname, any_value(fp) as start_pos, any_value(re) as end_pos, cast(island - 1 as int) as segment, min(s) as seg_start, max(e) as seg_end from i group by chrom, qname, island"""
