@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import cut, fold, one_label
 
 #: At most this many labelled rows, those of the least hashed ids, serve as examples; so many of them calibrate.
-FIT_ROWS, CALIBRATE_ROWS = 4_000, 1_500
+FIT_ROWS, CALIBRATE_ROWS = 2_500, 1_500
 #: Rows of this fold (crc32 of the id modulo FOLDS) are never learned from.
 FOLDS, HELD_FOLD = 4, 2
 #: Least weight of a term beside its squared correlation with the label.
@@ -37,7 +37,7 @@ NEIGHBOURS, BLOCK = 25, 64
 #: Terms that are added up before the first look at the bounds.
 FIRST_TERMS = 8
 #: The blocks' bounds are looked at once what is left could add at most this many times the k-th best sum.
-LOOK = 1.5
+LOOK = 1.0
 #: Score from which a text is called toxic.
 THRESHOLD = 0.3
 #: Postings are 32-bit floats; sums of them are compared with this slack.
@@ -45,6 +45,10 @@ _SLACK = 1e-5
 _MARKS = string.punctuation
 
 
+#: Term numbers and how often each occurs: a dictionary, or two arrays.
+Counts = dict[int, int] | tuple[np.ndarray, np.ndarray]
+
+
 def words_of(text: str) -> Counter:
     """Counts of the lower-cased words without outer punctuation."""
     counts = Counter(w.strip(_MARKS) for w in text.lower().split())
@@ -61,10 +65,10 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 class Index:
     """Example groups with unit vectors, their members and labels, and the block-max postings.
 
-    ``examples`` are (doc_id, label, {term number: count}); ``scale`` has the weight of each term.
+    ``examples`` are (doc_id, label, counts of term numbers); ``scale`` has the weight of each term.
     """
 
-    def __init__(self, vocabulary: dict[str, int], scale: np.ndarray, examples: list[tuple[int, int, dict[int, int]]]) -> None:
+    def __init__(self, vocabulary: dict[str, int], scale: np.ndarray, examples: list[tuple[int, int, Counts]]) -> None:
         self.vocabulary, self.scale = vocabulary, scale
         self.examples, self.prior = len(examples), (sum(y for _, y, _ in examples) + 0.5) / (len(examples) + 1) if examples else 0.0
         groups: dict[bytes, list] = {}
@@ -99,7 +103,7 @@ class Index:
         # postings by term, then group; the largest weight of each term and block
         owner = np.repeat(np.arange(len(held)), self.sizes)
         order = np.argsort(self.terms, kind="stable")
-        self.at, self.own = owner[order], self.weights[order].astype(np.float32)
+        self.at, self.own = owner[order].astype(np.int32), self.weights[order].astype(np.float32)
         edges = np.arange(len(vocabulary) + 1)
         self.posted = np.searchsorted(self.terms[order], edges)
         self.top = np.zeros(len(vocabulary))
@@ -109,6 +113,7 @@ class Index:
         self.first = np.concatenate([first, [len(order)]])
         self.block, self.most = (pair % max(self.blocks, 1)).astype(np.int32), np.maximum.reduceat(self.own, first) if len(first) else self.own
         self.blocked = np.searchsorted(pair // max(self.blocks, 1), edges)
+        self.spread = np.zeros(len(vocabulary))
         self.slope, self.offset = 1.0, 0.0
         self.kept: dict[str, tuple] = {}
         #: Postings that queries added up, and all postings of their terms.
@@ -123,20 +128,21 @@ class Index:
         return {t: c for w, c in words_of(text).items() if (t := known(w)) is not None}
 
     @staticmethod
-    def _sorted(counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(counts.keys(), np.int32, len(counts))
-        order = np.argsort(t)
-        return t[order], np.fromiter(counts.values(), np.int32, len(counts))[order]
+    def _sorted(counts: Counts) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(counts, dict):
+            counts = np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+        order = np.argsort(counts[0])
+        return counts[0][order], counts[1][order]
 
     def _weighed(self, t: np.ndarray, c: np.ndarray) -> np.ndarray:
         w = (1 + np.log(c)) * self.scale[t]
         return w / max(math.sqrt(float(w @ w)), 1e-300)
 
-    def unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    def unit(self, counts: Counts) -> tuple[np.ndarray, np.ndarray]:
         t, c = self._sorted(counts)
         return t, self._weighed(t, c)
 
-    def nearest(self, counts: dict[int, int], k: int = NEIGHBOURS) -> list[tuple[float, int]]:
+    def nearest(self, counts: Counts, k: int = NEIGHBOURS) -> list[tuple[float, int]]:
         """(cosine, group) of the k best groups with a positive cosine, exact; ties go to the lower group."""
         terms, weights = self.unit(counts)
         size = len(self.ids)
@@ -153,7 +159,7 @@ class Index:
             at, own, many = self._postings(t[part], live)
             sums += np.bincount(at, own * np.repeat(w[part].astype(np.float32), many), size)
             self.visited += len(at)
-            done, step = min(done + step, len(t)), step * 2
+            done, step = min(done + step, len(t)), step * 4
             floor = np.partition(sums, size - k)[size - k] - _SLACK if size > k else -1.0
             if done == len(t):
                 break
@@ -165,10 +171,11 @@ class Index:
                 most = np.maximum.reduceat(sums, np.arange(0, size, BLOCK)) + bound
                 live = most >= floor if live is None else live & (most >= floor)
         chosen = np.flatnonzero(sums >= max(floor, 1e-30))  # sums outside of live blocks are too low even with their bounds
-        spread = np.zeros(len(self.vocabulary))
+        spread = self.spread
         spread[terms] = weights
         at = _ranges(self.begins[chosen], self.sizes[chosen])
         cos = np.add.reduceat(spread[self.terms[at]] * self.weights[at], np.concatenate([[0], np.cumsum(self.sizes[chosen])[:-1]])) if len(chosen) else np.zeros(0)
+        spread[terms] = 0.0
         best = np.lexsort((chosen, -np.round(cos, 12)))[:k]
         return [(c, g) for c, g in zip(cos[best].tolist(), chosen[best].tolist()) if c > 0]
 
@@ -186,10 +193,10 @@ class Index:
         at = _ranges(self.first[entry[held]], sizes[held])
         return self.at[at], self.own[at], np.diff(ends, prepend=0)
 
-    def vote(self, counts: dict[int, int], leave_one: int | None = None, near: list | None = None) -> tuple[float, list]:
+    def vote(self, counts: Counts, leave_one: int | None = None, near: list | None = None) -> tuple[float, list]:
         """(share of votes for label 1, evidence). ``leave_one``: this label is of a member that doesn't vote.
         ``near``: the neighbours, if known."""
-        if not counts:
+        if not len(counts if isinstance(counts, dict) else counts[0]):
             n, pos = self.none_n - (leave_one is not None), self.none_pos - (leave_one or 0)
             return (pos + self.prior) / (n + 1), []
         near = self.nearest(counts) if near is None else near
@@ -208,8 +215,9 @@ class Index:
                 toxic += w * pos / n
         return toxic / total, [(self.ids[g], cos, self.pos[g] / self.n[g]) for cos, g in near[:3]]
 
-    def calibrate(self, examples: list[tuple[int, int, dict[int, int]]]) -> None:
+    def calibrate(self, examples: list[tuple[int, int, Counts]]) -> None:
         """Fit P(label 1) = sigmoid(slope * logit(vote) + offset) on examples, each without its own vote."""
+        examples = [e for e in examples if len(e[2] if isinstance(e[2], dict) else e[2][0])]
         x = np.array([_logit(self.vote(counts, y)[0]) for _, y, counts in examples])
         y = np.array([y for _, y, _ in examples], float)
         if len(set(y.tolist())) < 2:
@@ -234,8 +242,10 @@ class Index:
         text = text or ""
         told = self.kept.get(text)
         if told is None:
-            vote, evidence = self.vote(self.counts(text))
-            told = 1 / (1 + math.exp(-(self.slope * _logit(vote) + self.offset))), ",".join(f"{i}:{c:.4f}:{s:.3f}" for i, c, s in evidence)
+            counts = self.counts(text)
+            vote, evidence = self.vote(counts)
+            # without a known term the vote is a share of examples already
+            told = vote if not counts else 1 / (1 + math.exp(-(self.slope * _logit(vote) + self.offset))), ",".join(f"{i}:{c:.4f}:{s:.3f}" for i, c, s in evidence)
             if len(self.kept) > 2_000:
                 self.kept.clear()
             if len(text) < 5_000:
@@ -289,13 +299,21 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, mos
     counted = corpus.select(F.col("text").cast("string")).mapInArrow(frequencies, "t int, n long").groupBy("t").agg(F.sum("n").alias("n")).toArrow()
     everywhere = dict(zip(counted.column("t").to_pylist(), counted.column("n").to_pylist()))
     in_docs = np.array([everywhere.get(i, 0) for i in range(len(vocabulary))], float)
-    rows = said.toArrow()
-    examples: dict[int, tuple] = {}
-    for i, y, term, c in zip(*(rows.column(k).to_pylist() for k in ("id", "y", "term", "c"))):
-        held = examples.setdefault(i, (i, y, {}))
-        if (t := vocabulary.get(term)) is not None:
-            held[2][t] = c
-    told = [examples[i] for i in sorted(examples)]
+
+    def numbered(batches):
+        known = vocabulary.get
+        for batch in batches:
+            t = pa.array([known(x, -1) for x in batch.column(2).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), t, batch.column(3)], names=["id", "y", "t", "c"])
+
+    # numbers only, as Arrow arrays; an example without a known term keeps a row of term -1
+    known = said.mapInArrow(numbered, "id long, y int, t int, c int").toArrow().sort_by("id")
+    ids, ys, ts, cs = (known.column(k).to_numpy() for k in range(4))
+    first = np.flatnonzero(np.diff(ids, prepend=ids[:1] - 1))
+    told = []
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(ids)]):
+        real = ts[lo:hi] >= 0
+        told.append((int(ids[lo]), int(ys[lo]), (ts[lo:hi][real], cs[lo:hi][real])))
     scale = (np.log((1 + everywhere.get(-1, 0)) / (1 + in_docs)) + 1) * (FLOOR + _phi2(shared, len(told), sum(y for _, y, _ in told)))
     index = Index(vocabulary, scale, told)
     index.calibrate(sorted(told, key=lambda x: (zlib.crc32(str(x[0]).encode()), x[0]))[:CALIBRATE_ROWS])

@@ -48,3 +48,44 @@ def test_pipeline(spark, tmp_path):
     rows_out = out.collect()
     assert rows_out and all(r.round_trip and r.n_tokens == len(r.ids) for r in rows_out)
     assert {r.doc_id for r in rows_out} <= texts.keys()
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, id long, y string, fp string, copies int, _id string, key string"
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Null, empty, blank and very long texts, ties, repeats, null and repeated ids, and columns of clashing names."""
+    import corpus_pipeline
+
+    rng = random.Random(22)
+    base, long = prose(rng, 60), prose(rng, 30_000)
+    texts = [(0, None), (1, ""), (2, " \n"), (3, base), (4, base), (4, prose(rng, 40)), (None, prose(rng, 40)), (None, base), (5, long), (6, long + " end"), (7, base + ' token = "' + "ab12" * 9 + '"'), (8, "one"), (9, prose(rng, 45) + " awful")]
+    rows = [(i, t, "en", None if k % 5 == 0 else f"s{k % 2}", len(t or ""), 0.5, 1, "y", "f", 2, "z", "k") for k, (i, t) in enumerate(texts)]
+    rows += [rows[3], rows[6]]
+    labelled = [(100 + k, prose(rng, 30) + (" awful" if k % 4 == 0 else ""), "en", "s1", 0, 0.5, 1, "y", "f", 2, "z", "k") for k in range(80)]
+    docs = spark.createDataFrame(rows + labelled, COLUMNS)
+    spark.createDataFrame([(100 + k, 1, int(k % 4 == 0)) for k in range(80)] + [(3, None, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    names = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        path = f"{tmp_path}/{name}"
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == names, name
+        out.write.parquet(path)
+        docs = spark.read.parquet(path)
+        told = [(r.doc_id, r.text) for r in docs.collect()]
+        if name == "toxicity":
+            assert before - len(told) == 21 and not any("awful" in (t or "") for _, t in told)
+        if name == "near_dedup":
+            own = {t for t in told if t[0] is None or t[0] < 100}
+            assert {i for i, _ in own} == {0, 3, 4, None, 5, 8} and len(own) == 6 and (5, long) in own and (3, base) in own
+            assert len(told) == len(set(told))
+        if name == "secrets":
+            assert len(told) == before and not any("ab12" in (t or "") for _, t in told) and (0, None) in told
+            assert all(r.n_chars == len(r.text or "") for r in docs.collect())
+        if name == "mixing":
+            assert told and all((t or "").split() for _, t in told)
+    out = corpus_pipeline.tokens(spark, docs, str(tmp_path)).collect()
+    assert len(out) == docs.count() and all(r.round_trip for r in out)
+    spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

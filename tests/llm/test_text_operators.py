@@ -298,15 +298,15 @@ def check_neighbours(index, examples, label, queries):
 def test_toxicity_blocks():
     """Blocks fall out, and the neighbours stay exact."""
     rng = random.Random(14)
-    texts = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(5, 60))) + (" awful" * (i % 3) if i % 9 == 0 else "")) for i in range(1500)]
-    label = {i: int(i % 9 == 0 and i % 3 > 0) for i, _ in texts}
+    texts = [(i, " ".join(rng.choice(WORDS) + str(rng.randrange(40)) for _ in range(rng.randrange(5, 60))) + (" awful" * (1 + i % 2) if i % 9 == 0 else "")) for i in range(1500)]
+    label = {i: int(i % 9 == 0) for i, _ in texts}
     words = {i: toxicity.words_of(t) for i, t in texts}
     shared = Counter(w for c in words.values() for w in c)
     vocabulary = {w: k for k, w in enumerate(sorted(w for w, n in shared.items() if n > 1))}
-    scale = np.array([np.log(1500 / shared[w]) + 1 for w in vocabulary]) * np.array([3.0 if w == "awful" else 1.0 for w in vocabulary])
+    scale = np.array([np.log(1500 / shared[w]) + 1 for w in vocabulary]) * np.array([40.0 if w == "awful" else 1.0 for w in vocabulary])
     index = toxicity.Index(vocabulary, scale, [(i, label[i], {vocabulary[w]: n for w, n in words[i].items() if w in vocabulary}) for i, _ in texts])
     check_neighbours(index, texts, label, [(0, "awful " + t) for _, t in texts[::10]] + [(0, "awful"), (0, ""), (0, "unheard of")])
-    assert index.blocks > 15 and index.visited < index.listed
+    assert index.blocks > 15 and index.visited < 0.6 * index.listed
 
 
 def test_toxicity(spark, odd, none):
