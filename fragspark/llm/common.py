@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 import zlib
 
@@ -12,39 +11,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import settled, shared_dir
+
 #: Characters that separate words: space and the controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 #: Documents are handled in pieces of about this many characters, so that memory stays flat.
 PIECE_CHARS = 2_000_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    On a cluster this is ``spark.checkpoint.dir``. Where it is unset (tests, a single machine) a
-    temporary folder is set as the checkpoint folder of this session.
-    """
-    sc = spark.sparkContext
-    told = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if told:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(told)
-        return told.rstrip("/")
-    if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
-    return sc.getCheckpointDir().rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame, few: bool = False) -> DataFrame:
+    """The same rows with their lineage cut by a reliable checkpoint.
+
+    ``few``: the table is small beside the texts; it goes to at most four files for each core, so that many rounds
+    over many shuffle partitions don't leave tens of thousands of tiny files.
+    """
+    return settled(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if few else df)
 
 
 def fresh_name(docs: DataFrame, *names: str) -> list[str]:

@@ -29,13 +29,13 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
     Links stay in Spark; only the count and a checksum of each round reach the driver. The number
     of rounds grows with the logarithm of the longest chain. Loops and repeated edges are allowed.
     """
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), few=True)
     print_of = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     seen = print_of(edges)
     for _ in range(most_rounds):
         if not seen[0]:
             break
-        edges = cut(_small_star(_large_star(edges).distinct()).distinct())
+        edges = cut(_small_star(_large_star(edges).distinct()).distinct(), few=True)
         now = print_of(edges)
         if now == seen:
             break

@@ -18,7 +18,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 _BLANK = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0 ᠎           ​    　﻿"
 _BREAK = regex.compile(rf"(?<=[^ \n{_BLANK}])(?= [^ \n{_BLANK}])")
 #: Parts longer than this are encoded each time; the cache holds two generations of this many parts.
-LONGEST_KEPT, KEPT = 48, 250_000
+LONGEST_KEPT, KEPT = 48, 120_000
 
 
 def byte_letters() -> dict[str, int]:
