@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, join_spread
+from .common import cut, fresh_name, join_spread, spans_of
 from .components import components
+from .minhash import signatures
 
 RADIUS = 2
 BITS = 64
@@ -32,8 +33,14 @@ BUSY_BUCKET = 32
 SHINGLE_WORDS = 3
 SEED = 42
 #: For texts of a Jaccard likeness of LIKENESS on WIDE_SHINGLE words: candidates within WIDE_RADIUS bits surely
-#: meet; pairs up to LOOSE bits that meet as well are verified too. Members of a busy bucket are verified against LEADERS first.
-LIKENESS, WIDE_SHINGLE, WIDE_RADIUS, PARTS, LOOSE, LEADERS = 0.8, 5, 11, 2, 16, 3
+#: meet, and pairs of up to LOOSE bits that meet are verified. A busy bucket has LEADERS leaders; each of its
+#: members is verified first against the NEAREST leaders of its buckets.
+LIKENESS, WIDE_SHINGLE, WIDE_RADIUS, PARTS, LOOSE, LEADERS, NEAREST = 0.8, 5, 9, 2, 12, 1, 8
+#: Fingerprints of a bucket, beyond four times the expected number, from which it counts as busy there.
+WIDE_BUSY = 8
+#: Of 128 one-bit minima, two sets of a likeness J differ in 64 * (1 - J) on average; pairs of a busy bucket that differ
+#: in more are not verified. At 0.8 that is three standard deviations above the mean.
+SKETCH_BITS = 23
 _BLOCK = 1 << 15
 
 
@@ -156,96 +163,115 @@ def _sets(batch, k: int) -> list[np.ndarray]:
     return [np.unique(shingle_hashes(t.as_py() or b"", k)) for t in batch.column(batch.schema.get_field_index("text"))]
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """The lower halves of shingle hashes, sorted and distinct."""
+    return np.unique((hashes.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
+
+
 def _classed(docs: DataFrame, k: int) -> DataFrame:
-    """(i, k, doc_id, class, fp, n) of each row: rows of equal shingle sets are one class; n counts the set."""
+    """(i, k, doc_id, class, fp, n, s, t) of each row: rows of equal shingle sets are one class; n counts the set, s
+    and t are its one-bit minima."""
 
     def run(batches):
         for batch in batches:
-            sets = _sets(batch, k)
-            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-            prints = np.fromiter(map(folded, sets), np.uint64, len(sets)).view(np.int64)
-            columns = [*(batch.column(c) for c in range(3)), pa.array(names, pa.binary()), pa.array(prints), pa.array([len(s) for s in sets], pa.int32())]
-            yield pa.RecordBatch.from_arrays(columns, names=["i", "k", "doc_id", "class", "fp", "n"])
+            for a, b in spans_of(batch.column(batch.schema.get_field_index("text"))):
+                part = batch.slice(a, b - a)
+                sets = _sets(part, k)
+                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                prints = np.fromiter(map(folded, sets), np.uint64, len(sets)).view(np.int64)
+                minima = np.packbits(signatures(list(map(_short, sets))) & np.uint32(1), axis=1).view(">i8").astype(np.int64)
+                columns = [*(part.column(c) for c in range(3)), pa.array(names, pa.binary()), pa.array(prints), pa.array([len(s) for s in sets], pa.int32())]
+                columns += [pa.array(np.ascontiguousarray(minima[:, c])) for c in range(2)]
+                yield pa.RecordBatch.from_arrays(columns, names=["i", "k", "doc_id", "class", "fp", "n", "s", "t"])
 
-    return _text_rows(docs).mapInArrow(run, "i long, k long, doc_id long, class binary, fp long, n int")
+    return _text_rows(docs).mapInArrow(run, "i long, k long, doc_id long, class binary, fp long, n int, s long, t long")
 
 
 def _shingled(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(class, held): the sorted shingle hashes of the texts of rows(i, k, class), as binary."""
+    """(class, fp, held): the sorted shingle hashes of the texts of rows(i, k, class, fp), as binary."""
 
     def run(batches):
         for batch in batches:
-            held = pa.array([s.tobytes() for s in _sets(batch, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), held], names=["class", "held"])
+            held = pa.array([_short(s).tobytes() for s in _sets(batch, k)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["class", "fp", "held"])
 
-    met = _text_rows(docs).join(rows, ["i", "k"]).select("class", "text").dropDuplicates(["class"])
-    return met.mapInArrow(run, "class binary, held binary")
+    met = _text_rows(docs).join(rows, ["i", "k"]).select("class", "fp", "text").dropDuplicates(["class"])
+    return met.mapInArrow(run, "class binary, fp long, held binary")
 
 
-def _alike(pairs: DataFrame, shingled: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) of classes whose Jaccard likeness, exactly, is at least that."""
+def _verified(docs: DataFrame, classes: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
+    """Pairs of classes whose Jaccard likeness, exactly, is at least that and whose fingerprints are a pair (u, v) of prints."""
 
-    def run(batches):
+    def alike(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), ">u8"), np.frombuffer(y.as_py(), ">u8")
-                shared = len(np.intersect1d(a, b, assume_unique=True))
+                a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                near = min(len(a), len(b)) >= least * max(len(a), len(b))
+                shared = len(np.intersect1d(a, b, assume_unique=True)) if near else -1
                 keep.append(shared >= least * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda u, h: shingled.select(F.col("class").alias(u), F.col("held").alias(h))
-    return pairs.join(side("u", "a"), "u").join(side("v", "b"), "v").select("u", "v", "a", "b").mapInArrow(run, "u binary, v binary")
-
-
-def _verified(docs: DataFrame, classes: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs of classes of that likeness whose fingerprints are a pair (u, v) of prints."""
-    side = lambda c: classes.select(F.col("fp").alias(c), F.col("class").alias(f"c{c}"), F.col("n").alias(f"n{c}"))
-    sizes = F.least("nu", "nv") >= F.lit(least) * F.greatest("nu", "nv")
-    pairs = cut(prints.join(side("u"), "u").join(side("v"), "v").where(sizes).select(F.col("cu").alias("u"), F.col("cv").alias("v")))
-    named = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-    shingled = cut(_shingled(docs, classes.join(named, "class", "left_semi").select("i", "k", "class"), k))
-    return cut(_alike(pairs, shingled, least))
+    named = prints.select(F.col("u").alias("fp")).union(prints.select(F.col("v").alias("fp"))).distinct()
+    shingled = cut(_shingled(docs, classes.join(named, "fp", "left_semi").select("i", "k", "class", "fp"), k))
+    side = lambda c: shingled.select(F.col("fp").alias(c), F.col("class").alias(f"c{c}"), F.col("held").alias(f"h{c}"))
+    met = prints.join(side("u"), "u").join(side("v"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"), "hu", "hv")
+    return cut(met.mapInArrow(alike, "u binary, v binary"), few=True)
 
 
 def _wide_links(docs: DataFrame, classes: DataFrame, k: int, least: float, radius: int, parts: int) -> DataFrame:
     """Links (u, v) that connect all classes(class, fp, n, i, k) of that likeness within the radius.
 
-    Classes of one fingerprint are linked among themselves as well. In a busy bucket each fingerprint is verified
-    against a few leaders first. What then is in the component of most of a bucket needs no pairs among itself;
-    all other pairs of the bucket are verified, so no pair that shares a bucket is lost.
+    Classes of one fingerprint are linked among themselves as well. A fingerprint in busy buckets is verified against
+    the nearest of their leaders first. What then is in the component of most of a bucket needs no pairs among itself;
+    all other pairs of the bucket within the radius are verified but those whose one-bit minima differ too much.
     """
-    distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n")))
+    # a fingerprint of several classes has no sketch that holds for all of them
+    one = lambda c: F.when(F.count("*") == 1, F.min(c)).alias(c)
+    distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), one("s"), one("t")))
     total, several = distinct.agg(F.count("*"), F.count(F.when(F.col("n") > 1, 1))).first()
-    busy = BUSY_BUCKET + 8 * total // (1 << BITS // (2 * parts))  # a bucket's expected size, eight times
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("b")) for t, m in enumerate(covering_masks(radius, parts))])
-    placed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", F.xxhash64("x.t", "x.b").alias("b"))
-    crowded = cut(placed.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > busy).select("b"))
-    near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= LOOSE
+    busy = WIDE_BUSY + 4 * total // (1 << BITS // (2 * parts))  # a bucket's expected size, four times
+    masks = [_signed(m) for m in covering_masks(radius, parts)]
+    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("b")) for t, m in enumerate(masks)])
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
+    distinct = distinct.repartition(tasks, "fp")  # a row becomes as many as there are tables
+    placed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", F.col("x.t").cast("short").alias("t"), F.xxhash64("x.t", "x.b").alias("b"))
+    crowded = cut(placed.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > busy).select("b"), few=True)
+    apart = F.col("u").bitwiseXOR(F.col("v"))
+    near = F.bit_count(apart) <= LOOSE
+    # a pair is looked at in the first table in which it meets
+    first = ~F.exists(F.slice(F.array(*[F.lit(m) for m in masks]), F.lit(1), F.col("t").cast("int")), lambda m: apart.bitwiseAND(m) == 0)
     few = placed.join(crowded, "b", "left_anti")
-    side = lambda c, df: df.select("b", F.col("fp").alias(c))
-    pairs = side("u", few).join(side("v", few), "b").where((F.col("u") < F.col("v")) & near).select("u", "v")
+    side = lambda c, df, *more: df.select("b", F.col("fp").alias(c), *more)
+    pairs = side("u", few, "t").join(side("v", few), "b").where((F.col("u") < F.col("v")) & near & first).select("u", "v")
     if several:  # classes of one fingerprint
         pairs = pairs.union(distinct.where("n > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
-    pairs = cut(pairs.distinct())
+    pairs = cut(pairs, few=True)
     if crowded.isEmpty():
         return _verified(docs, classes, pairs, k, least)
-    many = cut(placed.join(crowded, "b"))
+    many = cut(placed.join(crowded, "b"), few=True)
     leads = [F.min(F.struct(F.xxhash64("fp", F.lit(r)).alias("h"), "fp"))["fp"] for r in range(LEADERS)]
     led = many.groupBy("b").agg(F.array(*leads).alias("leaders")).select("b", F.explode(F.array_distinct("leaders")).alias("v"))
     led = many.select("b", F.col("fp").alias("u")).join(led, "b").where((F.col("u") != F.col("v")) & near)
-    links = _verified(docs, classes, pairs.union(led.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))).distinct(), k, least)
+    # of the leaders of all its buckets a fingerprint is verified against the nearest few
+    nearest = F.slice(F.array_sort(F.collect_set(F.struct(F.bit_count(apart).alias("d"), "v"))), 1, NEAREST)
+    led = led.groupBy("u").agg(nearest.alias("x")).select("u", F.explode("x.v").alias("v"))
+    links = _verified(docs, classes, pairs.union(led.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), k, least)
     root = components(links).withColumnRenamed("node", "class")
     # a fingerprint of several classes counts for its first one's component, unless they are in different ones
     of = classes.join(root, "class", "left").select("fp", F.coalesce("root", "class").alias("root")).groupBy("fp").agg(F.min("root").alias("root"), F.max("root").alias("other"))
-    of = cut(of.select("fp", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root")))
-    held = cut(many.join(of, "fp"))
+    of = of.select("fp", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root"))
+    held = cut(many.join(of.join(distinct.select("fp", F.col("s").alias("p"), F.col("t").alias("q")), "fp"), "fp"), few=True)
     counts = held.where("root is not null").groupBy("b", "root").agg(F.count("*").alias("m")).groupBy("b").agg(F.max(F.struct("m", "root"))["root"].alias("most"))
     held = held.join(counts, "b", "left")
-    apart = F.coalesce(F.col("root") != F.col("most"), F.lit(True))
-    x, y = held.where(apart).select("b", F.col("fp").alias("u"), F.col("root").alias("ru")), held.select("b", F.col("fp").alias("v"), F.col("root").alias("rv"))
-    open_ = x.join(y, "b").where((F.col("u") != F.col("v")) & near & F.coalesce(F.col("ru") != F.col("rv"), F.lit(True)))
-    open_ = cut(open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    others = held.where(F.coalesce(F.col("root") != F.col("most"), F.lit(True)))
+    told = lambda df, c, *more: df.select("b", F.col("fp").alias(c), *[F.col(x).alias(x[0] + c) for x in ("root", "p", "q")], *more)
+    alike = F.bit_count(F.col("pu").bitwiseXOR(F.col("pv"))) + F.bit_count(F.col("qu").bitwiseXOR(F.col("qv"))) <= SKETCH_BITS
+    differ = F.coalesce(F.col("ru") != F.col("rv"), F.lit(True)) & F.coalesce(alike, F.lit(True))
+    # of two members outside of the most common component one order is enough
+    once = (F.col("u") < F.col("v")) | F.coalesce(F.col("rv") == F.col("most"), F.lit(False))
+    open_ = told(others, "u", "t", "most").join(told(held, "v"), "b").where((F.col("u") != F.col("v")) & (F.bit_count(apart) <= radius) & differ & once & first)
+    open_ = cut(open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), few=True)
     return links if open_.isEmpty() else links.union(_verified(docs, classes, open_, k, least))
 
 
@@ -260,7 +286,7 @@ def keep_one(docs: DataFrame, least: float = LIKENESS, shingle_words: int = WIDE
     """
     own = cut(_classed(docs, shingle_words))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "i", "k")
-    classes = cut(own.groupBy("class", "fp", "n").agg(F.min(rank).alias("r")).select("class", "fp", "n", "r", "r.i", "r.k"))
+    classes = cut(own.groupBy("class", "fp", "n", "s", "t").agg(F.min(rank).alias("r")).select("class", "fp", "n", "s", "t", "r", "r.i", "r.k"))
     linked = components(_wide_links(docs, classes.where("n > 0"), shingle_words, least, radius, parts)).withColumnRenamed("node", "class")
     rooted = classes.join(linked, "class", "left").select(F.coalesce("root", "class").alias("root"), "r")
     i, k = fresh_name(docs, "_i", "_k")

@@ -11,7 +11,7 @@ from fragspark.llm import simhash
 def test_near_dedup(spark, monkeypatch, busy):
     import corpus_pipeline
 
-    monkeypatch.setattr(simhash, "BUSY_BUCKET", busy)
+    monkeypatch.setattr(simhash, "WIDE_BUSY", busy)
     rng = random.Random(4)
     words = [f"w{k}" for k in range(400)]
     rows = []
