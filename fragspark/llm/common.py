@@ -107,7 +107,7 @@ def pieces(texts, chars: int = PIECE_CHARS):
         yield at, len(texts)
 
 
-def spans_of(texts, size: int = PIECE_CHARS // 2):
+def spans_of(texts, size: int = PIECE_CHARS):
     """Split an Arrow column of texts into runs of about so many bytes, without taking them out; yields (from, to)."""
     told = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(told, dtype=np.int64)
