@@ -6,15 +6,21 @@ non-zero vector of q + 1 bits, and table v, for each non-zero vector v, keeps th
 product <m(i), v>. For any q positions some v is orthogonal to all their codes: in table v none of them is
 kept, so the pair surely meets there. No pair within the radius is lost, and a table keeps about half of a part.
 
-``near_duplicates`` links fingerprints of three-word shingles within two bits. ``keep_one`` links texts whose sets of
-five-word shingles have a Jaccard likeness of 0.8 or more: a wider radius gives the candidates, and their
-likeness is verified exactly.
+``near_duplicates`` links fingerprints of three-word shingles within two bits.
+
+``keep_one`` links texts whose sets of five-word shingles have a Jaccard likeness J of 0.8 or more. No radius of
+fingerprints holds all such pairs, so their candidates come from the sets: if all sets are put in one order, two sets
+of that likeness share one of the first n - ceil(J * n) + 1 of their n shingles, whatever the order. Rare shingles
+come first, which keeps buckets small. The likeness of candidates is verified exactly.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
+from functools import reduce
 from itertools import accumulate
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +30,6 @@ from pyspark.sql import functions as F
 
 from .common import cut, fresh_name, join_spread, spans_of
 from .components import components
-from .minhash import signatures
 
 RADIUS = 2
 BITS = 64
@@ -32,15 +37,17 @@ BITS = 64
 BUSY_BUCKET = 32
 SHINGLE_WORDS = 3
 SEED = 42
-#: For texts of a Jaccard likeness of LIKENESS on WIDE_SHINGLE words: candidates within WIDE_RADIUS bits surely
-#: meet, and pairs of up to LOOSE bits that meet are verified. A busy bucket has LEADERS leaders; each of its
-#: members is verified first against the NEAREST leaders of its buckets.
-LIKENESS, WIDE_SHINGLE, WIDE_RADIUS, PARTS, LOOSE, LEADERS, NEAREST = 0.8, 5, 9, 2, 12, 1, 8
-#: Fingerprints of a bucket, beyond four times the expected number, from which it counts as busy there.
-WIDE_BUSY = 8
-#: Of 128 one-bit minima, two sets of a likeness J differ in 64 * (1 - J) on average; pairs of a busy bucket that differ
-#: in more are not verified. At 0.8 that is three standard deviations above the mean.
-SKETCH_BITS = 23
+#: Masks of a wider radius, in parts; the tests compare what they meet, up to LOOSE bits, with ``keep_one``.
+WIDE_RADIUS, PARTS, LOOSE = 9, 2, 12
+#: Texts of a Jaccard likeness of LIKENESS on WIDE_SHINGLE words are linked by ``keep_one``. From more than WIDE_BUSY
+#: members a bucket counts as busy; in TURNS turns it is dealt anew into parts of some PART members, and a member is
+#: verified against the NEAREST of the parts it is in.
+LIKENESS, WIDE_SHINGLE, WIDE_BUSY, TURNS, PART, NEAREST = 0.8, 5, 8, 2, 16, 4
+#: 64-bit words of parities of a set. About SAMPLE_ROWS rows tell which shingles are common; at most SAMPLE_MOST of them
+#: are kept.
+WORDS, SAMPLE_ROWS, SAMPLE_MOST = 8, 10_000, 50_000
+#: Bounds in floating point are looser by so much.
+_SLACK = 1e-6
 _BLOCK = 1 << 15
 
 
@@ -160,17 +167,52 @@ def _text_rows(docs: DataFrame) -> DataFrame:
 
 
 def _sets(batch, k: int) -> list[np.ndarray]:
-    return [np.unique(shingle_hashes(t.as_py() or b"", k)) for t in batch.column(batch.schema.get_field_index("text"))]
+    """The sorted, distinct shingle hashes of each text."""
+    return [np.unique(shingle_hashes(t.as_py() or b"", k).astype(np.uint64)) for t in batch.column(batch.schema.get_field_index("text"))]
+
+
+def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of shingles that several of about SAMPLE_ROWS rows share, by hash.
+
+    They only decide in which order a set's shingles are taken; any order gives the same pairs.
+    """
+    part = SAMPLE_ROWS / max(docs.count(), 1)
+
+    def run(batches):
+        for batch in batches:
+            for a, b in spans_of(batch.column(batch.schema.get_field_index("text"))):
+                found, n = np.unique(np.concatenate(_sets(batch.slice(a, b - a), k)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
 
+    rows = _text_rows(docs)
+    rows = rows.where(F.pmod(F.xxhash64("k", "i"), F.lit(1 << 30)) < int(min(part, 1.0) * (1 << 30)))
+    told = rows.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2").orderBy(F.desc("n"), "h").limit(SAMPLE_MOST).toArrow()
+    found, n = (told.column(c).to_numpy() for c in range(2))
+    found = found.view(np.uint64)
+    order = np.argsort(found)
+    return found[order], n[order]
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """The lower halves of shingle hashes, sorted and distinct."""
-    return np.unique((hashes.astype(np.uint64) & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
+def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: float) -> np.ndarray:
+    """The first shingles of a set, rare ones first: sets of that likeness have one of them in common."""
+    size = len(hashes) - math.ceil(least * len(hashes) - _SLACK) + 1 if len(hashes) else 0
+    if not len(common[0]):
+        return hashes[:size]
+    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
+    seen = np.where(common[0][at] == hashes, common[1][at], 0)
+    rare = hashes[seen == 0]
+    return rare[:size] if len(rare) >= size else hashes[np.lexsort((hashes, seen))[:size]]
 
-def _classed(docs: DataFrame, k: int) -> DataFrame:
-    """(i, k, doc_id, class, fp, n, s, t) of each row: rows of equal shingle sets are one class; n counts the set, s
-    and t are its one-bit minima."""
+
+def _parities(hashes: np.ndarray) -> bytes:
+    """For each of 64 * WORDS bins whether it holds an odd number of the hashes."""
+    return np.packbits(np.bincount((hashes % (64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1).tobytes()
+
+
+def _classed(docs: DataFrame, k: int, least: float) -> DataFrame:
+    """(i, k, doc_id, class, c, prefix, s) of each row: rows of equal shingle sets are one class, c is its short name; s has
+    the size of the set and the words of its parities."""
+    common = _common(docs, k)
 
     def run(batches):
         for batch in batches:
@@ -178,116 +220,106 @@ def _classed(docs: DataFrame, k: int) -> DataFrame:
                 part = batch.slice(a, b - a)
                 sets = _sets(part, k)
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                prints = np.fromiter(map(folded, sets), np.uint64, len(sets)).view(np.int64)
-                minima = np.packbits(signatures(list(map(_short, sets))) & np.uint32(1), axis=1).view(">i8").astype(np.int64)
-                columns = [*(part.column(c) for c in range(3)), pa.array(names, pa.binary()), pa.array(prints), pa.array([len(s) for s in sets], pa.int32())]
-                columns += [pa.array(np.ascontiguousarray(minima[:, c])) for c in range(2)]
-                yield pa.RecordBatch.from_arrays(columns, names=["i", "k", "doc_id", "class", "fp", "n", "s", "t"])
+                firsts = [_prefix(s, common, least).view(np.int64) for s in sets]
+                ends = np.cumsum([0, *map(len, firsts)])
+                prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
+                told = np.column_stack([[len(s) for s in sets], np.frombuffer(b"".join(map(_parities, sets)), np.int64).reshape(-1, WORDS)]).astype(np.int64)
+                told = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (WORDS + 1), pa.int32()), pa.array(told.ravel()))
+                columns = [*(part.column(c) for c in range(3)), pa.array(names, pa.binary()), pa.array(np.frombuffer(b"".join(x[:8] for x in names), np.int64))]
+                yield pa.RecordBatch.from_arrays([*columns, prefix, told], names=["i", "k", "doc_id", "class", "c", "prefix", "s"])
 
-    return _text_rows(docs).mapInArrow(run, "i long, k long, doc_id long, class binary, fp long, n int, s long, t long")
+    return _text_rows(docs).mapInArrow(run, "i long, k long, doc_id long, class binary, c long, prefix array<long>, s array<long>")
 
 
 def _shingled(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(class, fp, held): the sorted shingle hashes of the texts of rows(i, k, class, fp), as binary."""
+    """(class, held): the sorted shingle hashes of the texts of rows(i, k, class), as binary."""
 
     def run(batches):
         for batch in batches:
-            held = pa.array([_short(s).tobytes() for s in _sets(batch, k)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["class", "fp", "held"])
+            for a, b in spans_of(batch.column(1)):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part, k)], pa.binary())], names=["class", "held"])
 
-    met = _text_rows(docs).join(rows, ["i", "k"]).select("class", "fp", "text").dropDuplicates(["class"])
-    return met.mapInArrow(run, "class binary, fp long, held binary")
+    met = _text_rows(docs).join(rows, ["i", "k"]).select("class", "text").dropDuplicates(["class"])
+    return met.mapInArrow(run, "class binary, held binary")
 
 
-def _verified(docs: DataFrame, classes: DataFrame, prints: DataFrame, k: int, least: float) -> DataFrame:
-    """Pairs of classes whose Jaccard likeness, exactly, is at least that and whose fingerprints are a pair (u, v) of prints."""
+def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """The pairs (u, v) of classes whose Jaccard likeness, exactly, is at least that."""
 
     def alike(batches):
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                near = min(len(a), len(b)) >= least * max(len(a), len(b))
-                shared = len(np.intersect1d(a, b, assume_unique=True)) if near else -1
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                shared = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(shared >= least * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    named = prints.select(F.col("u").alias("fp")).union(prints.select(F.col("v").alias("fp"))).distinct()
-    shingled = cut(_shingled(docs, classes.join(named, "fp", "left_semi").select("i", "k", "class", "fp"), k))
-    side = lambda c: shingled.select(F.col("fp").alias(c), F.col("class").alias(f"c{c}"), F.col("held").alias(f"h{c}"))
-    met = prints.join(side("u"), "u").join(side("v"), "v").where("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v"), "hu", "hv")
+    pairs = cut(pairs, few=True)
+    named = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
+    shingled = cut(_shingled(docs, classes.join(named, "class", "left_semi").select("i", "k", "class"), k))
+    side = lambda c: shingled.select(F.col("class").alias(c), F.col("held").alias(f"h{c}"))
+    met = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "hu", "hv")
     return cut(met.mapInArrow(alike, "u binary, v binary"), few=True)
 
 
-def _wide_links(docs: DataFrame, classes: DataFrame, k: int, least: float, radius: int, parts: int) -> DataFrame:
-    """Links (u, v) that connect all classes(class, fp, n, i, k) of that likeness within the radius.
+def _differing():
+    """Column: parities in which the sets su and sv differ. Their symmetric difference has at least so many members."""
+    return reduce(add, [F.bit_count(F.col("su")[w].bitwiseXOR(F.col("sv")[w])) for w in range(1, WORDS + 1)])
+
 
-    Classes of one fingerprint are linked among themselves as well. A fingerprint in busy buckets is verified against
-    the nearest of their leaders first. What then is in the component of most of a bucket needs no pairs among itself;
-    all other pairs of the bucket within the radius are verified but those whose one-bit minima differ too much.
+def _wide_links(docs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
+    """Links (u, v) that connect all classes(class, c, prefix, s, i, k) of at least that likeness.
+
+    Two such sets share a shingle of their prefixes, so they meet in its bucket. Sizes and parities rule pairs out that
+    surely are less alike; all others are verified, but for those that links connect anyway: members of a busy bucket
+    are verified in small parts of it first, and then all pairs that are in different components still.
     """
-    # a fingerprint of several classes has no sketch that holds for all of them
-    one = lambda c: F.when(F.count("*") == 1, F.min(c)).alias(c)
-    distinct = cut(classes.groupBy("fp").agg(F.count("*").alias("n"), one("s"), one("t")))
-    total, several = distinct.agg(F.count("*"), F.count(F.when(F.col("n") > 1, 1))).first()
-    busy = WIDE_BUSY + 4 * total // (1 << BITS // (2 * parts))  # a bucket's expected size, four times
-    masks = [_signed(m) for m in covering_masks(radius, parts)]
-    tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("b")) for t, m in enumerate(masks)])
-    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // 20_000)
-    distinct = distinct.repartition(tasks, "fp")  # a row becomes as many as there are tables
-    placed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", F.col("x.t").cast("short").alias("t"), F.xxhash64("x.t", "x.b").alias("b"))
-    crowded = cut(placed.groupBy("b").agg(F.count("*").alias("m")).where(F.col("m") > busy).select("b"), few=True)
-    apart = F.col("u").bitwiseXOR(F.col("v"))
-    near = F.bit_count(apart) <= LOOSE
-    # a pair is looked at in the first table in which it meets
-    first = ~F.exists(F.slice(F.array(*[F.lit(m) for m in masks]), F.lit(1), F.col("t").cast("int")), lambda m: apart.bitwiseAND(m) == 0)
-    few = placed.join(crowded, "b", "left_anti")
-    side = lambda c, df, *more: df.select("b", F.col("fp").alias(c), *more)
-    pairs = side("u", few, "t").join(side("v", few), "b").where((F.col("u") < F.col("v")) & near & first).select("u", "v")
-    if several:  # classes of one fingerprint
-        pairs = pairs.union(distinct.where("n > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
-    pairs = cut(pairs, few=True)
-    if crowded.isEmpty():
-        return _verified(docs, classes, pairs, k, least)
-    many = cut(placed.join(crowded, "b"), few=True)
-    leads = [F.min(F.struct(F.xxhash64("fp", F.lit(r)).alias("h"), "fp"))["fp"] for r in range(LEADERS)]
-    led = many.groupBy("b").agg(F.array(*leads).alias("leaders")).select("b", F.explode(F.array_distinct("leaders")).alias("v"))
-    led = many.select("b", F.col("fp").alias("u")).join(led, "b").where((F.col("u") != F.col("v")) & near)
-    # of the leaders of all its buckets a fingerprint is verified against the nearest few
-    nearest = F.slice(F.array_sort(F.collect_set(F.struct(F.bit_count(apart).alias("d"), "v"))), 1, NEAREST)
-    led = led.groupBy("u").agg(nearest.alias("x")).select("u", F.explode("x.v").alias("v"))
-    links = _verified(docs, classes, pairs.union(led.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()), k, least)
-    root = components(links).withColumnRenamed("node", "class")
-    # a fingerprint of several classes counts for its first one's component, unless they are in different ones
-    of = classes.join(root, "class", "left").select("fp", F.coalesce("root", "class").alias("root")).groupBy("fp").agg(F.min("root").alias("root"), F.max("root").alias("other"))
-    of = of.select("fp", F.when(F.col("root") == F.col("other"), F.col("root")).alias("root"))
-    held = cut(many.join(of.join(distinct.select("fp", F.col("s").alias("p"), F.col("t").alias("q")), "fp"), "fp"), few=True)
-    counts = held.where("root is not null").groupBy("b", "root").agg(F.count("*").alias("m")).groupBy("b").agg(F.max(F.struct("m", "root"))["root"].alias("most"))
-    held = held.join(counts, "b", "left")
-    others = held.where(F.coalesce(F.col("root") != F.col("most"), F.lit(True)))
-    told = lambda df, c, *more: df.select("b", F.col("fp").alias(c), *[F.col(x).alias(x[0] + c) for x in ("root", "p", "q")], *more)
-    alike = F.bit_count(F.col("pu").bitwiseXOR(F.col("pv"))) + F.bit_count(F.col("qu").bitwiseXOR(F.col("qv"))) <= SKETCH_BITS
-    differ = F.coalesce(F.col("ru") != F.col("rv"), F.lit(True)) & F.coalesce(alike, F.lit(True))
+    postings = classes.select("c", F.explode("prefix").alias("h"))
+    shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # two classes of one short name both take the place
+    placed = cut(postings.join(shared, "h").join(classes.select("c", "class", "s"), "c").select("h", "m", "class", "s"))
+    side = lambda df, c, *more: df.select("h", F.col("class").alias(c), F.col("s").alias(f"s{c}"), *more)
+    nu, nv = F.col("su")[0], F.col("sv")[0]
+    near = (F.least(nu, nv) >= least * F.greatest(nu, nv) - _SLACK) & (_differing() <= (nu + nv) * ((1 - least) / (1 + least)) + _SLACK)
+    ordered = (F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    few, many = placed.where(F.col("m") <= WIDE_BUSY), placed.where(F.col("m") > WIDE_BUSY)
+    pairs = side(few, "u").join(side(few, "v"), "h").where((F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    links, held = None, many.withColumn("root", F.col("class"))
+    for turn in range(TURNS):
+        part = F.pmod(F.xxhash64("h", "class", F.lit(turn)), F.ceil(F.col("m") / PART).cast("long")).alias("part")
+        met = side(held, "u", F.col("root").alias("ru"), part).join(side(held, "v", F.col("root").alias("rv"), part), ["h", "part"])
+        # a class is verified against the nearest few of those that it meets in parts of its buckets
+        nearest = F.slice(F.array_sort(F.collect_set(F.struct(_differing().alias("d"), "v"))), 1, NEAREST)
+        met = met.where((F.col("ru") != F.col("rv")) & near).groupBy("u").agg(nearest.alias("x"))
+        met = met.select("u", F.explode("x.v").alias("v")).select(*ordered).distinct()
+        new = _verified(docs, classes, pairs.union(met).distinct() if links is None else met, k, least)
+        links = new if links is None else links.union(new)
+        root = components(links).withColumnRenamed("node", "class")
+        held = cut(many.join(root, "class", "left").select("h", "m", "class", "s", F.coalesce("root", "class").alias("root")))
+    counts = held.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
+    open_ = held.join(counts, "h").where(F.col("root") != F.col("most"))
     # of two members outside of the most common component one order is enough
-    once = (F.col("u") < F.col("v")) | F.coalesce(F.col("rv") == F.col("most"), F.lit(False))
-    open_ = told(others, "u", "t", "most").join(told(held, "v"), "b").where((F.col("u") != F.col("v")) & (F.bit_count(apart) <= radius) & differ & once & first)
-    open_ = cut(open_.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), few=True)
-    return links if open_.isEmpty() else links.union(_verified(docs, classes, open_, k, least))
+    met = side(open_, "u", F.col("root").alias("ru"), "most").join(side(held, "v", F.col("root").alias("rv")), "h")
+    once = (F.col("u") < F.col("v")) | (F.col("rv") == F.col("most"))
+    left = cut(met.where((F.col("ru") != F.col("rv")) & once & near).select(*ordered).distinct(), few=True)
+    return links if left.isEmpty() else links.union(_verified(docs, classes, left, k, least))
 
 
-def keep_one(docs: DataFrame, least: float = LIKENESS, shingle_words: int = WIDE_SHINGLE, radius: int = WIDE_RADIUS, parts: int = PARTS) -> DataFrame:
+def keep_one(docs: DataFrame, least: float = LIKENESS, shingle_words: int = WIDE_SHINGLE) -> DataFrame:
     """One row of docs for each component of near copies, with all columns: the one of its smallest doc_id, null ids last.
 
-    Texts are linked when their sets of shingles have at least that Jaccard likeness, verified exactly, and their
-    fingerprints differ in at most ``radius`` bits (pairs of up to LOOSE bits are linked too where they meet in a
-    table). Null texts and texts without words are copies of each other. A row is known by its id and its text, so
+    Texts are linked when their sets of shingles have at least that Jaccard likeness, verified exactly; no such pair is
+    left out. Null texts and texts without words are copies of each other. A row is known by its id and its text, so
     different texts of one id or without id are judged each for itself; of equal rows one stays. An empty table
-    gives no rows. Candidates grow with the square of the classes over 2**(32 / parts) in each table.
+    gives no rows.
     """
-    own = cut(_classed(docs, shingle_words))
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "i", "k")
-    classes = cut(own.groupBy("class", "fp", "n", "s", "t").agg(F.min(rank).alias("r")).select("class", "fp", "n", "s", "t", "r", "r.i", "r.k"))
-    linked = components(_wide_links(docs, classes.where("n > 0"), shingle_words, least, radius, parts)).withColumnRenamed("node", "class")
+    equal = [F.first(c).alias(c) for c in ("c", "prefix", "s")]
+    classes = _classed(docs, shingle_words, least).groupBy("class").agg(F.min(rank).alias("r"), *equal)
+    classes = cut(classes.select("class", "c", "prefix", "s", "r", "r.i", "r.k"))
+    linked = components(_wide_links(docs, classes.where("s[0] > 0"), shingle_words, least)).withColumnRenamed("node", "class")
     rooted = classes.join(linked, "class", "left").select(F.coalesce("root", "class").alias("root"), "r")
     i, k = fresh_name(docs, "_i", "_k")
     kept = cut(rooted.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.i").alias(i), F.col("r.k").alias(k)))

@@ -74,3 +74,33 @@ def test_near_dedup_odd(spark):
     out = simhash.keep_one(spark.createDataFrame(rows, schema))
     assert out.columns == [c.split()[0] for c in schema.split(", ")]
     assert sorted(r.doc_id for r in out.collect()) == [0, 3, 5, 6]
+
+
+@pytest.mark.parametrize("busy", [2, 32])
+def test_near_dedup_whole(spark, monkeypatch, busy):
+    """Every pair of Jaccard 0.8 is linked, however far its fingerprints are apart, and also in busy buckets."""
+    monkeypatch.setattr(simhash, "WIDE_BUSY", busy)
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(100_000)}"
+    texts = []
+    for _ in range(40):  # 8 / 10 shingles are enough, 8 / 11 aren't
+        base = [word() for _ in range(12)]
+        texts += [base, [word(), *base, word()], [word(), word(), *base, word()]]
+    passage = [word() for _ in range(60)]
+    for _ in range(6):  # groups that all share a passage and meet in its buckets
+        own = [*passage, *[word() for _ in range(22)]]
+        texts += [own, [*own, word()], [*own, *[word() for _ in range(8)]], [*own[20:], *[word() for _ in range(9)]]]
+    sets = [{tuple(t[k : k + 5]) for k in range(len(t) - 4)} for t in texts]
+    prints = [simhash.fingerprint(" ".join(t), 5) for t in texts]
+    masks = simhash.covering_masks(simhash.WIDE_RADIUS, simhash.PARTS)
+    root, far = list(range(len(texts))), 0
+    for i in range(len(texts)):
+        for k in range(i):
+            if len(sets[i] & sets[k]) >= 0.8 * len(sets[i] | sets[k]):
+                apart = prints[i] ^ prints[k]
+                far += apart.bit_count() > simhash.LOOSE or all(apart & m for m in masks)
+                a, b = sorted((root[i], root[k]))
+                root = [a if r == b else r for r in root]
+    assert far > 1 and 40 < len(set(root)) < len(texts) - 40
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root))
