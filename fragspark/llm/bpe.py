@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_of
+from .common import kept_in_worker, spans_of
 from .vocabulary import KEPT, LONGEST_KEPT, PATTERN, Vocabulary, parts_of
 
 #: Verdicts on pairs of tokens that are kept at most; beyond that the table starts anew.
@@ -189,7 +189,7 @@ class Codec:
         return b"".join(map(self.v.token_bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_codecs: dict[bytes, Codec] = {}
+_codecs: dict[bytes, Codec] = kept_in_worker({})
 
 
 def codec(data: bytes) -> Codec:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import uuid
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +22,30 @@ SPACES = " \t\n\x0b\x0c\r"
 PIECE_CHARS = 2_000_000
 
 
+#: What modules keep in a Python worker from task to task.
+_kept: list[dict] = []
+
+
+def kept_in_worker(table: dict) -> dict:
+    """The table, known to ``release``."""
+    _kept.append(table)
+    return table
+
+
+def release() -> None:
+    """Empty the tables that stages of another kind left in this Python worker, and give free memory back.
+
+    Workers are used again for all stages of an application, so that their tables would add up.
+    """
+    for t in _kept:
+        t.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, join_spread, spans_of
+from .common import cut, fresh_name, join_spread, release, spans_of
 from .components import components
 
 RADIUS = 2
@@ -179,6 +179,7 @@ def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
     part = SAMPLE_ROWS / max(docs.count(), 1)
 
     def run(batches):
+        release()
         for batch in batches:
             for a, b in spans_of(batch.column(batch.schema.get_field_index("text"))):
                 found, n = np.unique(np.concatenate(_sets(batch.slice(a, b - a), k)), return_counts=True)
@@ -215,6 +216,7 @@ def _classed(docs: DataFrame, k: int, least: float) -> DataFrame:
     common = _common(docs, k)
 
     def run(batches):
+        release()
         for batch in batches:
             for a, b in spans_of(batch.column(batch.schema.get_field_index("text"))):
                 part = batch.slice(a, b - a)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, one_label
+from .common import cut, fold, one_label, release
 
 #: At most this many labelled rows, those of the least hashed ids, serve as examples; so many of them calibrate.
 FIT_ROWS, CALIBRATE_ROWS = 2_500, 1_500
@@ -286,6 +286,7 @@ def fit(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, mos
     vocabulary = {t: k for k, t in enumerate(shared.column("term").to_pylist())}
 
     def frequencies(batches):
+        release()
         seen, rows = np.zeros(len(vocabulary), np.int64), 0
         known = vocabulary.get
         for batch in batches:
@@ -350,6 +351,7 @@ def accept(docs: DataFrame, index: Index, threshold: float = THRESHOLD) -> DataF
     at = docs.columns.index("text")
 
     def run(batches):
+        release()
         own = shipped.value
         for batch in batches:
             yield batch.filter(pa.array([own.score(t.as_py())[0] < threshold for t in batch.column(at)], pa.bool_()))

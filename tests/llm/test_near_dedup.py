@@ -104,3 +104,16 @@ def test_near_dedup_whole(spark, monkeypatch, busy):
     assert far > 1 and 40 < len(set(root)) < len(texts) - 40
     docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted(set(root))
+
+
+def test_workers_let_tables_go(spark):
+    """A worker that encoded texts keeps no tables of it once it takes part in another stage."""
+    from fragspark.llm import bpe, common
+
+    def held(batches):
+        bpe._codecs[b"x"] = "a codec"
+        common.release()
+        for batch in batches:
+            yield batch.slice(0, len(bpe._codecs))
+
+    assert spark.range(4).mapInArrow(held, "id long").count() == 0
