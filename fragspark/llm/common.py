@@ -7,6 +7,7 @@ import gc
 import os
 import uuid
 import zlib
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,31 @@ def cut(df: DataFrame, few: bool = False) -> DataFrame:
     return settled(df.coalesce(4 * df.sparkSession.sparkContext.defaultParallelism) if few else df)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """A function that writes a table to the shared folder as Parquet and gives it back without its lineage; at the end all
+    of its tables go. Unlike checkpoints they are compressed, and don't wait for the driver to collect its garbage."""
+    top, paths = fresh_dir(spark, "scratch"), []
+
+    def put(df: DataFrame, few: bool = False) -> DataFrame:
+        paths.append(path := f"{top}/{len(paths)}")
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism) if few else df
+        df.write.option("compression", "zstd").parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    try:
+        yield put
+    finally:
+        at = spark._jvm.org.apache.hadoop.fs.Path(top)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the files of shuffles and checkpoints that nothing refers to deleted now, and the plans behind them freed."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fresh_name(docs: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores behind it as keep it apart from the columns of docs."""
     taken, out = {c.lower() for c in docs.columns}, []

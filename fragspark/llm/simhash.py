@@ -25,10 +25,11 @@ from operator import add
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_name, join_spread, release, spans_of
+from .common import cut, fresh_name, join_spread, let_go, release, scratch, spans_of
 from .components import components
 
 RADIUS = 2
@@ -46,6 +47,8 @@ LIKENESS, WIDE_SHINGLE, WIDE_BUSY, TURNS, PART, NEAREST = 0.8, 5, 8, 2, 16, 4
 #: 64-bit words of parities of a set. About SAMPLE_ROWS rows tell which shingles are common; at most SAMPLE_MOST of them
 #: are kept.
 WORDS, SAMPLE_ROWS, SAMPLE_MOST = 8, 10_000, 50_000
+#: A table of bits that sorts rows out has so many bits for each row looked for, and at most MOST_BITS (32 MB).
+BITS_A_ROW, MOST_BITS = 16, 1 << 28
 #: Bounds in floating point are looser by so much.
 _SLACK = 1e-6
 _BLOCK = 1 << 15
@@ -172,7 +175,7 @@ def _sets(batch, k: int) -> list[np.ndarray]:
 
 
 def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, counts) of shingles that several of about SAMPLE_ROWS rows share, by hash.
+    """(upper halves of hashes, counts) of shingles that several of about SAMPLE_ROWS rows share, by hash.
 
     They only decide in which order a set's shingles are taken; any order gives the same pairs.
     """
@@ -182,7 +185,7 @@ def _common(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
         release()
         for batch in batches:
             for a, b in spans_of(batch.column(batch.schema.get_field_index("text"))):
-                found, n = np.unique(np.concatenate(_sets(batch.slice(a, b - a), k)), return_counts=True)
+                found, n = np.unique(np.concatenate(_sets(batch.slice(a, b - a), k)) >> 32, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     rows = _text_rows(docs)
@@ -199,8 +202,9 @@ def _prefix(hashes: np.ndarray, common: tuple[np.ndarray, np.ndarray], least: fl
     size = len(hashes) - math.ceil(least * len(hashes) - _SLACK) + 1 if len(hashes) else 0
     if not len(common[0]):
         return hashes[:size]
-    at = np.minimum(np.searchsorted(common[0], hashes), len(common[0]) - 1)
-    seen = np.where(common[0][at] == hashes, common[1][at], 0)
+    told = hashes >> 32
+    at = np.minimum(np.searchsorted(common[0], told), len(common[0]) - 1)
+    seen = np.where(common[0][at] == told, common[1][at], 0)
     rare = hashes[seen == 0]
     return rare[:size] if len(rare) >= size else hashes[np.lexsort((hashes, seen))[:size]]
 
@@ -210,19 +214,27 @@ def _parities(hashes: np.ndarray) -> bytes:
     return np.packbits(np.bincount((hashes % (64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1).tobytes()
 
 
+def _name(hashes: np.ndarray) -> bytes:
+    """The class of a text: texts of equal sets have one."""
+    return hashlib.blake2b(hashes.tobytes(), digest_size=16).digest()
+
+
 def _classed(docs: DataFrame, k: int, least: float) -> DataFrame:
     """(i, k, doc_id, class, c, prefix, s) of each row: rows of equal shingle sets are one class, c is its short name; s has
-    the size of the set and the words of its parities."""
+    the size of the set and the words of its parities. In a task only the first row of a class has its prefix."""
     common = _common(docs, k)
 
     def run(batches):
         release()
+        met = set()
         for batch in batches:
             for a, b in spans_of(batch.column(batch.schema.get_field_index("text"))):
                 part = batch.slice(a, b - a)
                 sets = _sets(part, k)
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                firsts = [_prefix(s, common, least).view(np.int64) for s in sets]
+                names, firsts = list(map(_name, sets)), []
+                for name, x in zip(names, sets):
+                    firsts.append(x[:0].view(np.int64) if name in met else _prefix(x, common, least).view(np.int64))
+                    met.add(name)
                 ends = np.cumsum([0, *map(len, firsts)])
                 prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(firsts)))
                 told = np.column_stack([[len(s) for s in sets], np.frombuffer(b"".join(map(_parities, sets)), np.int64).reshape(-1, WORDS)]).astype(np.int64)
@@ -233,37 +245,59 @@ def _classed(docs: DataFrame, k: int, least: float) -> DataFrame:
     return _text_rows(docs).mapInArrow(run, "i long, k long, doc_id long, class binary, c long, prefix array<long>, s array<long>")
 
 
-def _shingled(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(class, held): the sorted shingle hashes of the texts of rows(i, k, class), as binary."""
+def _texts(docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(class, text): the texts of rows(i, k), compressed, perhaps repeatedly, and a few others.
+
+    A table of bits, set where the hash of one of the rows points, sorts nearly all others out before any text is shuffled.
+    """
+    size = 1 << 15
+    while size < min(BITS_A_ROW * rows.count(), MOST_BITS):
+        size *= 2
+    at = F.pmod(F.xxhash64("i", "k"), F.lit(size))
+    own = rows.select(F.shiftright(at, 15).alias("b"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("p"))
+    bits = np.zeros((size >> 15, 1 << 12), np.uint8)
+    for r in own.groupBy("b").agg(F.bitmap_construct_agg("p").alias("x")).toLocalIterator():
+        bits[r.b] = np.frombuffer(r.x, np.uint8)
+    bits = bits.ravel()
 
     def run(batches):
+        release()
+        pack = zstandard.ZstdCompressor().compress
         for batch in batches:
-            for a, b in spans_of(batch.column(1)):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in _sets(part, k)], pa.binary())], names=["class", "held"])
+            p = batch.column(1).to_numpy()
+            found = pa.array(np.flatnonzero(bits[p >> 3] >> (p & 7).astype(np.uint8) & 1))
+            for a, b in spans_of(text := batch.column(0).take(found)):
+                part = pa.RecordBatch.from_arrays([text.slice(a, b - a)], names=["text"])
+                yield pa.RecordBatch.from_arrays([pa.array(map(_name, _sets(part, k)), pa.binary()), pa.array((pack(t.as_py() or b"") for t in part.column(0)), pa.binary())], names=["class", "text"])
 
-    met = _text_rows(docs).join(rows, ["i", "k"]).select("class", "text").dropDuplicates(["class"])
-    return met.mapInArrow(run, "class binary, held binary")
+    return _text_rows(docs).select("text", at.alias("at")).mapInArrow(run, "class binary, text binary")
 
 
 def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, least: float) -> DataFrame:
     """The pairs (u, v) of classes whose Jaccard likeness, exactly, is at least that."""
 
     def alike(batches):
+        told, a, plain = None, None, zstandard.ZstdDecompressor().decompress
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for u, x, y in zip(batch.column(0), batch.column(2), batch.column(3)):
+                if told != (u := u.as_py()):
+                    told, a = u, np.unique(shingle_hashes(plain(x.as_py()), k).astype(np.uint64))
+                b = np.unique(shingle_hashes(plain(y.as_py()), k).astype(np.uint64))
                 shared = len(np.intersect1d(a, b, assume_unique=True))
                 keep.append(shared >= least * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    pairs = cut(pairs, few=True)
-    named = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-    shingled = cut(_shingled(docs, classes.join(named, "class", "left_semi").select("i", "k", "class"), k))
-    side = lambda c: shingled.select(F.col("class").alias(c), F.col("held").alias(f"h{c}"))
-    met = pairs.join(side("u"), "u").join(side("v"), "v").select("u", "v", "hu", "hv")
-    return cut(met.mapInArrow(alike, "u binary, v binary"), few=True)
+    with scratch(docs.sparkSession) as put:
+        pairs = put(pairs, few=True)
+        named = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
+        texts = put(_texts(docs, put(classes.join(named, "class", "left_semi").select("i", "k"), few=True), k))
+        side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"t{c}")).dropDuplicates([c])
+        met = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "tu", "tv")
+        found = cut(met.mapInArrow(alike, "u binary, v binary"), few=True)
+    del named, texts, met
+    let_go(docs.sparkSession)
+    return found
 
 
 def _differing():
@@ -271,17 +305,22 @@ def _differing():
     return reduce(add, [F.bit_count(F.col("su")[w].bitwiseXOR(F.col("sv")[w])) for w in range(1, WORDS + 1)])
 
 
-def _wide_links(docs: DataFrame, classes: DataFrame, k: int, least: float) -> DataFrame:
-    """Links (u, v) that connect all classes(class, c, prefix, s, i, k) of at least that likeness.
+def _placed(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(h, m, class, s): the members of each bucket h of several classes, m in number. One shuffle of the postings does."""
+    own = Window.partitionBy("h")
+    posted = rows.select("c", F.explode("prefix").alias("h"))
+    posted = posted.select("h", "c", F.min("c").over(own).alias("from"), F.max("c").over(own).alias("to")).where(F.col("from") < F.col("to"))
+    posted = posted.select("h", "c").distinct().select("h", "c", F.count("*").over(own).alias("m"))
+    return posted.join(classes.select("c", "class", "s"), "c").select("h", "m", "class", "s")
+
+
+def _wide_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, k: int, least: float, put) -> DataFrame:
+    """Links (u, v) that connect all classes(class, i, k) of at least that likeness; placed is of ``_placed``.
 
     Two such sets share a shingle of their prefixes, so they meet in its bucket. Sizes and parities rule pairs out that
     surely are less alike; all others are verified, but for those that links connect anyway: members of a busy bucket
     are verified in small parts of it first, and then all pairs that are in different components still.
     """
-    postings = classes.select("c", F.explode("prefix").alias("h"))
-    shared = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
-    # two classes of one short name both take the place
-    placed = cut(postings.join(shared, "h").join(classes.select("c", "class", "s"), "c").select("h", "m", "class", "s"))
     side = lambda df, c, *more: df.select("h", F.col("class").alias(c), F.col("s").alias(f"s{c}"), *more)
     nu, nv = F.col("su")[0], F.col("sv")[0]
     near = (F.least(nu, nv) >= least * F.greatest(nu, nv) - _SLACK) & (_differing() <= (nu + nv) * ((1 - least) / (1 + least)) + _SLACK)
@@ -299,7 +338,7 @@ def _wide_links(docs: DataFrame, classes: DataFrame, k: int, least: float) -> Da
         new = _verified(docs, classes, pairs.union(met).distinct() if links is None else met, k, least)
         links = new if links is None else links.union(new)
         root = components(links).withColumnRenamed("node", "class")
-        held = cut(many.join(root, "class", "left").select("h", "m", "class", "s", F.coalesce("root", "class").alias("root")))
+        held = put(many.join(root, "class", "left").select("h", "m", "class", "s", F.coalesce("root", "class").alias("root")))
     counts = held.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
     open_ = held.join(counts, "h").where(F.col("root") != F.col("most"))
     # of two members outside of the most common component one order is enough
@@ -318,12 +357,21 @@ def keep_one(docs: DataFrame, least: float = LIKENESS, shingle_words: int = WIDE
     gives no rows.
     """
     rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "i", "k")
-    equal = [F.first(c).alias(c) for c in ("c", "prefix", "s")]
-    classes = _classed(docs, shingle_words, least).groupBy("class").agg(F.min(rank).alias("r"), *equal)
-    classes = cut(classes.select("class", "c", "prefix", "s", "r", "r.i", "r.k"))
-    linked = components(_wide_links(docs, classes.where("s[0] > 0"), shingle_words, least)).withColumnRenamed("node", "class")
-    rooted = classes.join(linked, "class", "left").select(F.coalesce("root", "class").alias("root"), "r")
+    with scratch(docs.sparkSession) as put:
+        with scratch(docs.sparkSession) as first:
+            rows = first(_classed(docs, shingle_words, least))
+            classes = rows.groupBy("class").agg(F.min(rank).alias("r"), F.first("c").alias("c"), F.first("s").alias("s"))
+            classes = put(classes.select("class", "c", "s", "r", "r.i", "r.k"))
+            placed = put(_placed(rows, classes))
+        del rows
+        let_go(docs.sparkSession)
+        links = _wide_links(docs, classes, placed, shingle_words, least, put)
+        linked = components(links).withColumnRenamed("node", "class")
+        rooted = classes.join(linked, "class", "left").select(F.coalesce("root", "class").alias("root"), "r")
+        kept = cut(rooted.groupBy("root").agg(F.min("r").alias("r")).select("r.i", "r.k"))
+    del classes, placed, links, linked, rooted
+    let_go(docs.sparkSession)
     i, k = fresh_name(docs, "_i", "_k")
-    kept = cut(rooted.groupBy("root").agg(F.min("r").alias("r")).select(F.col("r.i").alias(i), F.col("r.k").alias(k)))
+    kept = kept.select(F.col("i").alias(i), F.col("k").alias(k))
     keyed = docs.select(*[F.col(f"`{c}`") for c in docs.columns], *[c.alias(n) for c, n in zip(_row_key(), (i, k))])
     return keyed.join(kept, [i, k], "left_semi").dropDuplicates([i, k]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -117,3 +117,33 @@ def test_workers_let_tables_go(spark):
             yield batch.slice(0, len(bpe._codecs))
 
     assert spark.range(4).mapInArrow(held, "id long").count() == 0
+
+
+def _far_apart(rows=500, near=8):
+    """Texts of random words, of which the last few are near copies of the first."""
+    rng = random.Random(3)
+    texts = [" ".join(f"{rng.getrandbits(60):x}" for _ in range(200)) for _ in range(rows)]
+    return [*texts, *[t + " end" for t in texts[:near]]]
+
+
+def test_near_dedup_disk(spark):
+    """Only texts that a pair needs are shuffled for it, and tables on the way go; before, each step shuffled all texts."""
+    from pathlib import Path
+
+    from fragspark.storage import shared_dir
+
+    texts, shared = _far_apart(), shared_dir(spark)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4).checkpoint()
+    store, gate = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    states, shares = gate.jvm.java.util.ArrayList(), gate.new_array(gate.jvm.double, 0)
+
+    def written():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(states, False, False, shares, states)
+        return sum(stages.apply(n).shuffleWriteBytes() for n in range(stages.size()))
+
+    began = written()
+    out = simhash.keep_one(docs)
+    assert written() - began < sum(map(len, texts))  # the texts themselves once, by the result alone
+    assert out.count() == len(texts) - 8
+    assert not list(Path(shared.removeprefix("file:")).glob("scratch-*/*"))
