@@ -49,6 +49,8 @@ LIKENESS, WIDE_SHINGLE, WIDE_BUSY, TURNS, PART, NEAREST = 0.8, 5, 8, 2, 16, 4
 WORDS, SAMPLE_ROWS, SAMPLE_MOST = 8, 10_000, 50_000
 #: A table of bits that sorts rows out has so many bits for each row looked for, and at most MOST_BITS (32 MB).
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
+#: Up to so many links are joined up by one task.
+AT_ONCE = 200_000
 #: Bounds in floating point are looser by so much.
 _SLACK = 1e-6
 _BLOCK = 1 << 15
@@ -337,7 +339,7 @@ def _wide_links(docs: DataFrame, classes: DataFrame, placed: DataFrame, k: int,
         met = met.select("u", F.explode("x.v").alias("v")).select(*ordered).distinct()
         new = _verified(docs, classes, pairs.union(met).distinct() if links is None else met, k, least)
         links = new if links is None else links.union(new)
-        root = components(links).withColumnRenamed("node", "class")
+        root = components(links, at_once=AT_ONCE).withColumnRenamed("node", "class")
         held = put(many.join(root, "class", "left").select("h", "m", "class", "s", F.coalesce("root", "class").alias("root")))
     counts = held.groupBy("h", "root").agg(F.count("*").alias("c")).groupBy("h").agg(F.max(F.struct("c", "root"))["root"].alias("most"))
     open_ = held.join(counts, "h").where(F.col("root") != F.col("most"))
@@ -366,7 +368,7 @@ def keep_one(docs: DataFrame, least: float = LIKENESS, shingle_words: int = WIDE
         del rows
         let_go(docs.sparkSession)
         links = _wide_links(docs, classes, placed, shingle_words, least, put)
-        linked = components(links).withColumnRenamed("node", "class")
+        linked = components(links, at_once=AT_ONCE).withColumnRenamed("node", "class")
         rooted = classes.join(linked, "class", "left").select(F.coalesce("root", "class").alias("root"), "r")
         kept = cut(rooted.groupBy("root").agg(F.min("r").alias("r")).select("r.i", "r.k"))
     del classes, placed, links, linked, rooted

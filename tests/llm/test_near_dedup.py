@@ -147,3 +147,29 @@ def test_near_dedup_disk(spark):
     assert written() - began < sum(map(len, texts))  # the texts themselves once, by the result alone
     assert out.count() == len(texts) - 8
     assert not list(Path(shared.removeprefix("file:")).glob("scratch-*/*"))
+
+
+def test_near_dedup_jobs(spark):
+    """Components of a few links take one task, not rounds whose plans and tasks stay in the driver's memory."""
+    rng = random.Random(3)
+    base = [f"{rng.getrandbits(60):x}" for _ in range(200)]
+    texts = [" ".join([*base[k * 6 :], *[f"n{k}x{j}" for j in range(k * 6)]]) for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.sparkContext.setJobGroup("near_dedup_jobs", "")
+    try:
+        assert simhash.keep_one(docs).count() == 37
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("near_dedup_jobs")) < 100  # 130 before
+
+
+def test_components_at_once(spark):
+    """Joined up by one task or in rounds: the same roots, of names as of numbers."""
+    from fragspark.llm.components import components
+
+    rng = random.Random(5)
+    edges = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(350)]
+    for kind, name in (("long", lambda x: x), ("binary", lambda x: bytes([100 + (x >> 8), x & 255]))):
+        table = spark.createDataFrame([(name(u), name(v)) for u, v in edges], f"u {kind}, v {kind}")
+        one, rounds = ({(r.node, r.root) for r in components(table, at_once=n).collect()} for n in (1000, 0))
+        assert one == rounds and len({r for _, r in one}) > 20
