@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_in_worker, spans_of
+from .common import kept_in_worker, release, spans_of
 from .vocabulary import KEPT, LONGEST_KEPT, PATTERN, Vocabulary, parts_of
 
 #: Verdicts on pairs of tokens that are kept at most; beyond that the table starts anew.
@@ -192,11 +192,14 @@ class Codec:
 _codecs: dict[bytes, Codec] = kept_in_worker({})
 
 
-def codec(data: bytes) -> Codec:
-    """One codec for each Python worker and vocabulary."""
+def codec(data: bytes, kept: int = KEPT) -> Codec:
+    """One codec for each Python worker and vocabulary; the first makes the worker let go of other stages' tables."""
     key = hashlib.sha256(data).digest()
     if key not in _codecs:
+        if not _codecs:
+            release()
         _codecs[key] = Codec(Vocabulary(data))
+    _codecs[key].kept = kept
     return _codecs[key]
 
 
@@ -205,18 +208,19 @@ def read_vocabulary(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, vocabulary_path: str, digests: bool = False, decoded: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary_path: str, digests: bool = False, decoded: bool = True, kept: int = KEPT) -> DataFrame:
     """Encode docs(doc_id, text) and decode again.
 
     Returns for each row doc_id, n_tokens and round_trip (the decoded text equals the text); with
     ``digests`` ids_sha256 and decoded_sha256 beside them, else ids (array of int) and, if wanted, decoded. A null
     text counts as empty and gives no ids. Repeated rows give repeated results, an empty table none. Other columns
-    are not looked at. Texts leave Arrow, and results enter it, piece by piece.
+    are not looked at. Texts leave Arrow, and results enter it, piece by piece. Workers keep about ``kept`` encoded parts
+    in each of two generations.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary_path))
 
     def run(batches):
-        c = codec(shipped.value)
+        c = codec(shipped.value, kept)
         decimal = c.decimal.__getitem__
         for batch in batches:
             for a, b in spans_of(batch.column(1)):

@@ -47,6 +47,23 @@ def release() -> None:
         trim(0)
 
 
+#: Bytes of rows that the pipeline's Python workers are sent at once, and rows of Parquet that are decoded at once; Spark's
+#: defaults are 64 MB and 4,096 rows, of whole texts here.
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 512
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Have this session handle rows in batches of at most BATCH_BYTES and BATCH_ROWS, or of fewer if it says so already.
+
+    A batch is held several times over, by a worker, in the JVM and outside of its heap. Rows and results are the same.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, most, told in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES, size), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS, int)):
+        own = spark.conf.get(name, None)
+        if own is None or told(own) > most:
+            spark.conf.set(name, str(most))
+
+
 def fresh_dir(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
 

@@ -21,6 +21,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release
+
 KINDS = ("assign", "access", "hex", "novel")
 #: The patterns of the base spans, and their least lengths (of group 2 for assign).
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -70,6 +72,7 @@ def corpus_words(docs: DataFrame, most: int = CODE_WORDS) -> list[str]:
     """The code words that most of docs(text) have, the most frequent last; ties by word. At most ``most`` reach the driver."""
 
     def run(batches):
+        release()
         seen: Counter = Counter()
         for batch in batches:
             for text in batch.column(0):
@@ -224,6 +227,7 @@ def clean(docs: DataFrame, mark: str = "<SECRET>", words: list[str] | None = Non
     at = next(i for i, c in enumerate(docs.columns) if c.lower() == "text")
 
     def run(batches):
+        release()
         novelty = Novelty(words)
         for batch in batches:
             texts = []
@@ -235,5 +239,6 @@ def clean(docs: DataFrame, mark: str = "<SECRET>", words: list[str] | None = Non
                     text = redact(text, spans, mark) if spans else text
                 texts.append(text)
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
+        release()  # the worker may wait through stages without Python
 
     return docs.mapInArrow(run, docs.schema)

@@ -89,3 +89,54 @@ def test_stages_on_odd_rows(spark, tmp_path):
     assert len(out) == docs.count() and all(r.round_trip for r in out)
     spark.createDataFrame([], COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_small_batches(spark, tmp_path):
+    """Stages bound what a worker is sent at once; before, the 12 MB here came as one batch."""
+    import corpus_pipeline
+    import pyarrow as pa
+    from fragspark.llm import common
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    name, read = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    rows = [(i, f"{i} " * 500_000, "en", "s", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet").coalesce(1)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            if stage is not corpus_pipeline.source_mix:  # has no Python workers
+                spark.conf.unset(name), spark.conf.unset(read)
+                stage(spark, docs, str(tmp_path))
+                told = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+                assert max(told) < 8_000_000 and sum(told) > 12_000_000
+                assert spark.conf.get(read) == str(common.BATCH_ROWS)
+        for own, rows, then in (("1000", "100", ("1000", "100")), ("64MB", "9999", (str(common.BATCH_BYTES), str(common.BATCH_ROWS)))):
+            spark.conf.set(name, own), spark.conf.set(read, rows)
+            common.small_batches(spark)
+            assert (spark.conf.get(name), spark.conf.get(read)) == then
+    finally:
+        spark.conf.unset(name), spark.conf.unset(read)
+
+
+def test_codec_makes_room(monkeypatch):
+    """A worker's first codec comes when the tables of other stages are gone; a smaller cache gives the same ids."""
+    from fragspark.llm import bpe, common
+    from fragspark.llm.queries import vocabulary_path
+
+    monkeypatch.setattr(common, "_kept", [bpe._codecs])
+    data, left = bpe.read_vocabulary(vocabulary_path()), common.kept_in_worker({1: "left by another stage"})
+    bpe._codecs.clear()
+    own = bpe.codec(data)
+    assert not left and own.kept == bpe.KEPT
+    rng = random.Random(23)
+    texts = [prose(rng, 300) for _ in range(40)]
+    whole = [x.tolist() for t in texts for x in own.encode([t])]
+    own.now, own.before = {}, {}
+    assert bpe.codec(data, 50) is own
+    assert [x.tolist() for t in texts for x in own.encode([t])] == whole and len(own.now) + len(own.before) < 1_500
+    bpe._codecs.clear()
