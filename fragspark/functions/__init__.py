@@ -78,6 +78,14 @@ def compact_number(x, decimals: int = 6) -> Column:
     return F.when(F.isnan(col(x)) | (F.abs(col(x)) == float("inf")), col(x).cast("string")).otherwise(F.when(short == "-0", "0").otherwise(short))
 
 
+def steady_sum(x) -> Column:
+    """The sum of doubles, whatever the order of the rows: their parts that are multiples of 2 ** -20 add up exactly, and the
+    rest is too small for its errors to reach the last place."""
+    x = col(x).cast("double")
+    whole = F.rint(x * 1048576.0) / 1048576.0
+    return F.sum(whole) + F.sum(F.when(whole == x, 0.0).otherwise(x - whole))
+
+
 def ratio_or_nan(a, b) -> Column:
     """a / b as double, NaN where b is zero."""
     return F.when(col(b) == 0, F.lit(float("nan"))).otherwise(col(a).cast("double") / F.when(col(b) == 0, F.lit(1.0)).otherwise(col(b)))

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import length_bin
+from ..functions import length_bin, steady_sum
 
 
 def counts(assigned: DataFrame, keys: list[str], edges: list[int], weight: Column | None = None, size: Column | None = None) -> DataFrame:
     """(keys, length_start, count) in long form; rows outside all bins go, near-zero sums too."""
     size = F.col("end_pos") - F.col("start_pos") if size is None else size
     binned = assigned.withColumn("length_start", length_bin(size, edges)).where("length_start is not null")
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    return binned.groupBy(*keys, "length_start").agg(F.sum(w).alias("count")).where(F.abs(F.col("count")) > 1e-12)
+    total = F.sum(F.lit(1.0)) if weight is None else steady_sum(weight)
+    return binned.groupBy(*keys, "length_start").agg(total.alias("count")).where(F.abs(F.col("count")) > 1e-12)
 
 
 def count_overlap_weight() -> Column:

@@ -1,10 +1,12 @@
 """Compact numbers, mismatches, near edges, compositions, sinks that read back, counters, natural order."""
 
+from fractions import Fraction
+
 import pytest
 from pyspark.sql import functions as F
 
-from fragspark.functions import compact_number
-from fragspark.operators import prepare, windows
+from fragspark.functions import compact_number, round_half_up
+from fragspark.operators import lengths, prepare, windows
 from fragspark.operators.alignments import mismatches
 from fragspark.plans.counters import Counters
 from fragspark.sources import text
@@ -64,3 +66,15 @@ def test_natural_order(spark):
     chroms = spark.createDataFrame([("chr10", 5), ("chrX", 5), ("chr2", 15)], "chrom string, chrom_len long")
     got = {(r.chrom, r.start_pos): r.window_idx for r in windows.fixed_size(chroms, 10).collect()}
     assert got == {("chr2", 0): 0, ("chr2", 10): 1, ("chr10", 0): 2, ("chrX", 0): 3}
+
+
+def test_weights_add_up_in_any_order(spark):
+    """A sum on the edge between two last places rounds up, whichever way the shares come."""
+    shares = [k % 97 / 101 for k in range(1, 300)]
+    shares.append(float(Fraction(285_000_001, 2_000_000) - sum(map(Fraction, shares))))
+    for order in (shares, shares[::-1], sorted(shares), sorted(shares, reverse=True)):
+        df = spark.createDataFrame([(0, 50, x) for x in order], "start_pos long, end_pos long, w double").coalesce(1)
+        told = lengths.counts(df, [], [30, 60], F.col("w")).select(round_half_up("count").alias("count"))
+        assert [r["count"] for r in told.collect()] == [142.500001]
+    odd = spark.createDataFrame([(0, 50, float("inf")), (0, 50, 0.1), (0, 80, float("nan"))], "start_pos long, end_pos long, w double")
+    assert sorted(str(r["count"]) for r in lengths.counts(odd, [], [30, 60, 90], F.col("w")).collect()) == ["inf", "nan"]

@@ -73,3 +73,13 @@ def test_windows_whole(spark, tmp_path):
     frags = {k: (p * 40 + (k * 13 + 7) % 40, p * 40 + (k * 13 + 7) % 40 + 30 + (k * 31 + 17 + 95) % 371, f"chr{1 + s % 5}") for k, _, p, s, *_ in items}
     met = {k for c, a, z, k, _ in wins if any(d == c and s < z and a < e for s, e, d in frags.values())}
     assert {r.window_idx for r in run("cov_runs_indexed")} == met
+
+
+def test_lengths_beyond_window_200(spark, tmp_path):
+    """Fragments far down a chromosome count, in windows that the twins' series does not reach."""
+    items = [(1, 1, p, 1, 5.0, 0.05, "N") for p in (10, 25_200, 120_000)]
+    schema = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_quantity double, l_discount double, l_returnflag string"
+    spark.createDataFrame(items, schema).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("any", "all", "count_overlap", "midpoint", "proportion"):
+        got = QUERIES[f"lengths_by_size_{name}"](spark, str(tmp_path)).collect()
+        assert {r.window_start: r["count"] for r in got} == {p * 40 // 5_000 * 5_000: 1.0 for _, _, p, *_ in items}
