@@ -7,7 +7,7 @@ the input's size; only that reaches the driver.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import gc_percent, int_div
@@ -21,8 +21,8 @@ def fragment_gc(frags: DataFrame, chunked: DataFrame, end_offset: int = 0, size:
     trimmed = frags.withColumnsRenamed({"start_pos": "frag_start", "end_pos": "frag_end"})
     trimmed = trimmed.withColumn("start_pos", F.col("frag_start") + end_offset).withColumn("end_pos", F.col("frag_end") - end_offset).where("start_pos < end_pos")
     told = sequence.sequence_at(trimmed, chunked, size)
-    gc = F.length(F.regexp_replace("seq", "[^GC]", ""))
-    out = told.withColumn("gc", gc).withColumn("acgt", F.length(F.regexp_replace("seq", "[^ACGT]", ""))).where(F.col("acgt") >= MIN_ACGT)
+    pair = lambda a, b: F.length("seq") - F.length(F.replace(F.replace("seq", F.lit(a), F.lit("")), F.lit(b), F.lit("")))
+    out = told.withColumn("gc", pair("G", "C")).withColumn("acgt", F.col("gc") + pair("A", "T")).where(F.col("acgt") >= MIN_ACGT)
     out = out.withColumn("gc_pct", gc_percent("gc", "acgt")).drop("seq", "start_pos", "end_pos")
     return out.withColumnsRenamed({"frag_start": "start_pos", "frag_end": "end_pos"})
 
@@ -39,11 +39,18 @@ def window_scaled(counted: DataFrame, window_bp: DataFrame, window: str = "windo
     """
     usable = window_bp.where(F.col("acgt") >= F.col("span") * least_share)
     span = usable.agg(F.avg("span").alias("_avg"))
-    means = counted.groupBy(window).agg(F.avg("n").alias("_mean"))
-    scaled = counted.join(means, window).join(usable, window).crossJoin(F.broadcast(span))  # one row
-    n = usable.join(means, window, "left_semi").agg(F.count("*").alias("_n"))
-    one = scaled.crossJoin(F.broadcast(n))  # one row
-    return one.groupBy("size", "gc_pct").agg(F.sum(F.col("n") / F.col("_mean") * F.col("acgt") / F.col("_avg") / F.col("_n")).alias("weight"))
+    own = Window.partitionBy(window)  # a row for each cell of one window
+    scaled = counted.withColumn("_mean", F.avg("n").over(own)).withColumn("_first", F.when(F.row_number().over(own.orderBy("size", "gc_pct")) == 1, 1).otherwise(0))
+    scaled = scaled.join(usable, window).crossJoin(F.broadcast(span))  # one row
+    cells = scaled.groupBy("size", "gc_pct").agg(F.sum(F.col("n") / F.col("_mean") * F.col("acgt") / F.col("_avg")).alias("weight"), F.sum("_first").alias("_windows"))
+    n = F.sum("_windows").over(Window.partitionBy(F.lit(0)))  # over a thousand by a hundred cells at most
+    return cells.withColumn("weight", F.col("weight") / n).drop("_windows")
+
+
+def window_bases(chunked: DataFrame, size: int = sequence.CHUNK) -> DataFrame:
+    """(chrom, span, acgt): bases of each contig and those of them that are A, C, G or T, of each chunk without its overlap."""
+    own = F.substring("seq", 1, size)
+    return chunked.groupBy("chrom").agg(F.sum(F.length(own)).alias("span"), F.sum(F.length(F.regexp_replace(own, "[^ACGT]+", ""))).alias("acgt"))
 
 
 def sampled_starts(chunked: DataFrame, every: int, seed: int = 0, size: int = sequence.CHUNK) -> DataFrame:
@@ -69,7 +76,7 @@ def reference_counts(chunked: DataFrame, starts: DataFrame, lengths: list[int],
     fits = F.filter(F.array(*[F.lit(n) for n in lengths if n > 2 * end_offset]), lambda n: n <= room)
     sized = found.select(*keys, "seq", (F.col("pos") - F.col("_chunk") + 1 + end_offset).cast("int").alias("_at"), F.explode(fits).alias("size"))
     piece = F.substring("seq", F.col("_at"), F.col("size") - 2 * end_offset)
-    told = sized.select(*keys, "size", F.length(F.regexp_replace(piece, "[^GC]", "")).alias("gc"), F.length(F.regexp_replace(piece, "[^ACGT]", "")).alias("acgt"))
+    told = sized.select(*keys, "size", F.length(F.regexp_replace(piece, "[^GC]+", "")).alias("gc"), F.length(F.regexp_replace(piece, "[^ACGT]+", "")).alias("acgt"))
     least = F.greatest(F.ceil(F.lit(float(least_share)) * (F.col("size") - 2 * end_offset)), F.lit(max(1, least_count)))
     counted = told.where(F.col("acgt") >= least).groupBy(*keys, "size", "gc", "acgt").agg(F.count("*").alias("n"))
     return counted.withColumn("gc_pct", gc_percent("gc", "acgt"))

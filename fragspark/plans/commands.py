@@ -138,8 +138,8 @@ def end_motifs(frags: DataFrame, select: Selection, chunked: DataFrame, k_inside
 def ref_kmers(chunked: DataFrame, k: int, keys: list[str] = [], orientation: str = "both", canonical: bool = False, mask: DataFrame | None = None, chunk: int = sequence.CHUNK) -> DataFrame:  # noqa: B006
     """Reference k-mer frequencies per key column of the chunks; chunks must overlap by k - 1 bases."""
     source = chunked if mask is None else sequence.masked(chunked, mask, chunk)
-    found = sequence.kmers(source, k, chunk)
-    return sequence.frequencies(sequence.kmer_counts(found, keys, orientation, canonical, k), keys)
+    found = sequence.tallied(source, k, chunk, keys)
+    return sequence.frequencies(sequence.kmer_counts(found, keys, orientation, canonical, k, F.col("weight")), keys)
 
 
 def scaling_weights(frags: DataFrame, select: Selection, chroms: DataFrame, stride: int = 500_000, width: int = 5_000_000, unit_mass: bool = False) -> DataFrame:

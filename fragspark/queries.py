@@ -344,7 +344,6 @@ add(
 )
 
 # --- sequence
-_seq = lambda v: v("seq").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), "pos", "base")
 _chunks = lambda v, over: v(f"chunks:512:{over}")
 K = 3
 KM = "(select doc_id, pos, base || lead(base, 1) over w || lead(base, 2) over w as kmer from {seq} window w as (partition by doc_id order by pos))"
@@ -355,39 +354,40 @@ def RC(x: str) -> str:  # noqa: N802
     return f"translate(reverse({x}), 'ACGT', 'TGCA')"
 
 
-_kmers = lambda v: sequence.kmers(_chunks(v, K - 1), K, 512)
+_tallied = lambda v, *keys, **o: sequence.tallied(_chunks(v, K - 1).withColumn("contig_group", F.expr("cast(substr(chrom, 2) as bigint) % 5")), K, 512, list(keys), **o)
+_counts = lambda v, keys, *more, **o: sequence.kmer_counts(_tallied(v, *[k for k in keys if k != "window_start"], **o), keys, *more, weight=F.col("weight"))
 _w6 = lambda df, *more: df.select(*more, R6("weight").alias("weight"))
-add("kmer_forward", lambda v: _w6(sequence.kmer_counts(_kmers(v), [], "forward"), "kmer"), f"select kmer, {r6('count(*)')} as weight from {KM} where {KOK} group by 1")
+add("kmer_forward", lambda v: _w6(_counts(v, [], "forward"), "kmer"), f"select kmer, {r6('count(*)')} as weight from {KM} where {KOK} group by 1")
 BOTH = f"(select doc_id, pos, kmer, 0.5 as w from {KM} where {KOK} union all select doc_id, pos, {RC('kmer')}, 0.5 from {KM} where {KOK})"
-add("kmer_both", lambda v: _w6(sequence.kmer_counts(_kmers(v), []), "kmer"), f"select kmer, {r6('sum(w)')} as weight from {BOTH} group by 1")
+add("kmer_both", lambda v: _w6(_counts(v, []), "kmer"), f"select kmer, {r6('sum(w)')} as weight from {BOTH} group by 1")
 CAN = f"case when substr(kmer, 2, 1) in ('G', 'T') then {RC('kmer')} else kmer end"
-add("kmer_canonical", lambda v: _w6(sequence.kmer_counts(_kmers(v), [], "both", True, K), "kmer"), f"select {CAN} as kmer, {r6('sum(w)')} as weight from {BOTH} group by 1")
+add("kmer_canonical", lambda v: _w6(_counts(v, [], "both", True, K), "kmer"), f"select {CAN} as kmer, {r6('sum(w)')} as weight from {BOTH} group by 1")
 add(
     "kmer_grouped",
-    lambda v: sequence.frequencies(sequence.kmer_counts(_kmers(v).withColumn("contig_group", F.expr("cast(substr(chrom, 2) as bigint) % 5")), ["contig_group"]), ["contig_group"]).select("contig_group", "kmer", R6("frequency").alias("frequency"), R6("row_scaling_factor").alias("row_scaling_factor")),
+    lambda v: sequence.frequencies(_counts(v, ["contig_group"]), ["contig_group"]).select("contig_group", "kmer", R6("frequency").alias("frequency"), R6("row_scaling_factor").alias("row_scaling_factor")),
     f"select contig_group, kmer, {r6('w / sum(w) over (partition by contig_group)')} as frequency, {r6('sum(w) over (partition by contig_group)')} as row_scaling_factor from (select doc_id % 5 as contig_group, kmer, sum(w) as w from {BOTH} group by 1, 2)",
 )
 WIN_KMERS = "(select k.doc_id, k.pos, k.kmer, w.window_name, w.start_pos, w.end_pos, least(k.pos + 3, w.end_pos) - greatest(k.pos, w.start_pos) as ov from " + KM + " k join {docwin} w on w.doc_id = k.doc_id and k.pos < w.end_pos and w.start_pos < k.pos + 3 where " + KOK + ")"
 _docwindows = lambda v: v("docwin").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), "start_pos", "end_pos", "window_name")
 add(
     "kmer_bed_overlap",
-    lambda v: _w6(sequence.kmer_counts(sequence.kmers_by_window(_kmers(v), K, _docwindows(v)), ["window_name"], "both", weight=F.col("in_window")), "window_name", "kmer"),
+    lambda v: _w6(_counts(v, ["window_name"], "both", targets=_docwindows(v)), "window_name", "kmer"),
     f"select window_name, kmer, {r6('sum(w)')} as weight from (select window_name, kmer, ov / 6 as w from {WIN_KMERS} union all select window_name, {RC('kmer')}, ov / 6 from {WIN_KMERS}) group by 1, 2",
 )
 add(
     "kmer_bed_all",
-    lambda v: _w6(sequence.kmer_counts(sequence.kmers_by_window(_kmers(v), K, _docwindows(v), how=Assigner.ALL), ["window_name"], "forward", weight=F.col("in_window")), "window_name", "kmer"),
+    lambda v: _w6(_counts(v, ["window_name"], "forward", targets=_docwindows(v), how=Assigner.ALL), "window_name", "kmer"),
     f"select window_name, kmer, {r6('count(*)')} as weight from {WIN_KMERS} where ov = 3 group by 1, 2",
 )
 add(
     "kmer_by_size",
-    lambda v: _w6(sequence.kmer_counts(sequence.kmers_by_window(_kmers(v), K, size=1_000), ["window_start"], "forward", weight=F.col("in_window")), "window_start", "kmer"),
+    lambda v: _w6(_counts(v, ["window_start"], "forward", bins=1_000), "window_start", "kmer"),
     f"select i * 1000 as window_start, kmer, {r6('sum(least(pos + 3, i * 1000 + 1000) - greatest(pos, i * 1000)) / 3')} as weight from (select pos, kmer, unnest(range(pos // 1000, (pos + 2) // 1000 + 1)) as i from {KM} where {KOK}) group by 1, 2",
 )
 MOTIFS = [("ACG", "x"), ("CGT", "x"), ("TTT", "y"), ("GGG", "z")]
 add(
     "kmer_selected",
-    lambda v: (lambda s: _w6(sequence.selected(sequence.kmer_counts(s, [], "forward"), s.sparkSession.createDataFrame(MOTIFS, "motif string, motif_group string")), "motif_group"))(_kmers(v)),
+    lambda v: (lambda c: _w6(sequence.selected(c, c.sparkSession.createDataFrame(MOTIFS, "motif string, motif_group string")), "motif_group"))(_counts(v, [], "forward")),
     f"select g as motif_group, {r6('count(*)')} as weight from {KM} join (values {', '.join(map(str, MOTIFS))}) t(m, g) on kmer = m where {KOK} group by 1",
 )
 _sf = lambda v: v("seqfrag").select(F.concat(F.lit("d"), F.col("doc_id")).alias("chrom"), "doc_id", "start_pos", "end_pos")
@@ -435,8 +435,8 @@ add(
 
 # --- reference correction: counts of 1 + 2 base end motifs by 3-mer frequencies, global reference or by contig group
 _counts12 = lambda v: _ends(v, 2, 1).select((F.col("doc_id") % 5).alias("g"), F.substring("motif", 1, 1).alias("outside"), F.substring("motif", 3, 2).alias("inside")).groupBy("g", "outside", "inside").agg(F.count("*").cast("double").alias("count"))
-_ref = lambda v: sequence.frequencies(sequence.kmer_counts(_kmers(v).withColumn("g", F.expr("cast(substr(chrom, 2) as bigint) % 5")), ["g"]), ["g"]).select("g", "kmer", "frequency")
-_ref_all = lambda v: sequence.frequencies(sequence.kmer_counts(_kmers(v), []), []).select("kmer", "frequency")
+_ref = lambda v: sequence.frequencies(_counts(v, ["contig_group"]).withColumnRenamed("contig_group", "g"), ["g"]).select("g", "kmer", "frequency")
+_ref_all = lambda v: sequence.frequencies(_counts(v, []), []).select("kmer", "frequency")
 CNT = f"cnt as (select doc_id % 5 as g, substr(m, 1, 1) as outside, substr(m, 2) as inside, count(*)::double as n from {_ends_sql(2, 1)} group by 1, 2, 3)"
 REF = f"ref as (select g, kmer, w / sum(w) over (partition by g) as f from (select doc_id % 5 as g, kmer, sum(w) as w from {BOTH} group by 1, 2))"
 REFALL = f"ref as (select kmer, w / sum(w) over () as f from (select kmer, sum(w) as w from {BOTH} group by 1))"
@@ -459,19 +459,19 @@ add("corr_inside", lambda v: sequence.correct(_counts12(v), _ref(v), ["g"], "ins
 _positions = lambda v, **o: sequence.position_table(v("frag").sparkSession, (30, 149), 3, **o)
 add(
     "fkmer_left",
-    lambda v: sequence.fragment_kmers(_sf(v), _chunks(v, 220), _positions(v, frame="left", last=10), 3, 512).groupBy("offset", "kmer").agg(F.count("*").alias("n")),
+    lambda v: sequence.fragments_tallied(_sf(v), _chunks(v, 220), _positions(v, frame="left", last=10), 3, 512).groupBy("offset", "kmer").agg(F.sum("n").alias("n")),
     f'select o as "offset", m as kmer, count(*) as n from {_offsets(10)} f join {_words(3)} s on s.doc_id = f.doc_id and s.pos = f.place where m is not null and not contains(m, \'N\') group by 1, 2',
 )
 add(
     "fkmer_nearest",
-    lambda v: sequence.fragment_kmers(_sf(v), _chunks(v, 220), _positions(v, frame="nearest", last=10), 3, 512).groupBy("kmer").agg(F.count("*").alias("n")),
+    lambda v: sequence.fragments_tallied(_sf(v), _chunks(v, 220), _positions(v, frame="nearest", last=10), 3, 512).groupBy("kmer").agg(F.sum("n").alias("n")),
     f"""select case when rev then {RC('m')} else m end as kmer, count(*) as n from (
   select doc_id, rev, case when rev then end_pos - 3 - o else start_pos + o end as place from {_offsets(10)} f, (values (false), (true)) r(rev)
   where 2*o + 3 <= end_pos - start_pos and not (rev and end_pos - start_pos - 3 - o = o)) f join {_words(3)} s on s.doc_id = f.doc_id and s.pos = f.place where m is not null and not contains(m, 'N') group by 1""",
 )
 add(
     "trans_order2",
-    lambda v: sequence.transitions(sequence.fragment_kmers(_sf(v), _chunks(v, 220), _positions(v, frame="left", last=5), 3, 512).groupBy("offset", "kmer").agg(F.count("*").cast("double").alias("weight")), ["offset"], 2).select("offset", "prefix", "next_base", R6("probability").alias("probability")),
+    lambda v: sequence.transitions(sequence.fragments_tallied(_sf(v), _chunks(v, 220), _positions(v, frame="left", last=5), 3, 512).groupBy("offset", "kmer").agg(F.sum("n").cast("double").alias("weight")), ["offset"], 2).select("offset", "prefix", "next_base", R6("probability").alias("probability")),
     f'select o as "offset", substr(m, 1, 2) as prefix, substr(m, 3) as next_base, {r6("n / sum(n) over (partition by o, substr(m, 1, 2))")} as probability from (select o, m, count(*) as n from {_offsets(5)} f join {_words(3)} s on s.doc_id = f.doc_id and s.pos = f.place where m is not null and not contains(m, \'N\') group by 1, 2)',
 )
 
@@ -621,7 +621,7 @@ add(
 add(
     "gc_window_scaled",
     lambda v: (lambda counted, bp: gcbias.window_scaled(counted, bp, "chrom").withColumn("weight", R6("weight")))(
-        gcbias.observed_counts(_gc(v), ["chrom"]), _seq(v).groupBy("chrom").agg(F.count("*").alias("span"), F.sum(F.when(F.col("base") != "N", 1).otherwise(0)).alias("acgt"))
+        gcbias.observed_counts(_gc(v), ["chrom"]), gcbias.window_bases(_chunks(v, 0), 512)
     ),
     f"""with c as (select doc_id, end_pos - start_pos as size, {PCT} as gc_pct, count(*) as n from {GCF} group by 1, 2, 3), b as (select doc_id, count(*) as span, count(*) filter (base <> 'N') as acgt from {{seq}} group by 1 having acgt >= 0.1 * span),
   m as (select doc_id, avg(n) as mean from c group by 1), used as (select count(*) as k from b join m using (doc_id))
@@ -684,7 +684,7 @@ add(
     f"select window_idx, coalesce(sum(n) filter (length_start = 100), 0) as short, coalesce(sum(n) filter (length_start = 151), 0) as long, case when coalesce(sum(n) filter (length_start = 151), 0) = 0 then cast('NaN' as double) else {r6('coalesce(sum(n) filter (length_start = 100), 0) / sum(n) filter (length_start = 151)')} end as ratio from {_BY_WIN} join {_BLACK} using (window_idx) where blacklisted_fraction <= 0.5 group by 1",
 )
 _KMER_OUT = lambda v: Output(
-    sequence.frequencies(sequence.kmer_counts(_kmers(v).withColumn("contig_group", F.expr("cast(substr(chrom, 2) as bigint) % 5")), ["contig_group"]), ["contig_group"]), "frequency", "contig_group", motif="kmer"
+    sequence.frequencies(_counts(v, ["contig_group"]), ["contig_group"]), "frequency", "contig_group", motif="kmer"
 )
 add(
     "sel_motif_counts",

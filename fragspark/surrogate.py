@@ -8,8 +8,12 @@ from __future__ import annotations
 import functools
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.sequence import characters, pieces
+
 VIEWS = {
     "frag": """select 'chr' || cast(1 + l_suppkey % 5 as string) as chrom,
   l_partkey*40 + (l_orderkey*13 + l_linenumber*7) % 40 as start_pos,
@@ -94,11 +98,24 @@ def chunks(spark: SparkSession, sf_dir: str, size: int, overlap: int) -> DataFra
 
     Cut from whole texts, as a reference file is read, without a row for each base.
     """
-    return spark.sql(
-        f"""select concat('d', doc_id) as chrom, off as chunk_start, array_join(transform(regexp_extract_all(piece, '(?s).', 0), x -> substr('ACGTN', 1 + ascii(x) % 5, 1)), '') as seq
-  from (select doc_id, off, substr(text, cast(off as int) + 1, {size + overlap}) as piece from (
-    select doc_id, text, explode(sequence(0L, cast(length(text) - 1 as bigint), {size}L)) as off from parquet.`{sf_dir}/documents.parquet` where length(text) > 0))"""
-    )
+    named = spark.sql(f"select concat('d', doc_id) as chrom, cast(text as string) as text from parquet.`{sf_dir}/documents.parquet` where length(text) > 0")
+    letters = np.frombuffer(b"ACGTN", np.uint8)
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                codes, at = characters(part.column("text"))
+                n = np.diff(at)
+                bases, cuts = letters[codes % 5], (n + size - 1) // size
+                row = np.repeat(np.arange(len(n)), cuts)
+                off = (np.arange(cuts.sum()) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * size
+                long = np.minimum(n[row] - off, size + overlap)
+                ends = np.concatenate([[0], np.cumsum(long)])
+                seq = bases[np.repeat(at[row] + off - ends[:-1], long) + np.arange(ends[-1])]
+                seq = pa.LargeStringArray.from_buffers(len(row), pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(seq)).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([part.column("chrom").take(pa.array(row)), pa.array(off, pa.int64()), seq], names=["chrom", "chunk_start", "seq"])
+
+    return named.mapInArrow(run, "chrom string, chunk_start long, seq string")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import math
 import os
+import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -427,3 +429,54 @@ def test_fragment_files_with_any_white_space(spark, tmp_path):
     p = tmp_path / "f.tsv"
     p.write_text("chromosome start end min_mapq read1_strand\n# note\nchr1 5   60\t30 +\n\nchr2\t7\t90\t20\t-\n")
     assert sorted((r.chrom, r.start_pos, r.end_pos, r.mapq, r.strand) for r in text.frag(spark, str(p)).collect()) == [("chr1", 5, 60, 30, "+"), ("chr2", 7, 90, 20, "-")]
+
+
+def test_tallied_words(spark):
+    """k-mers counted batch by batch weigh what a row for each of them gives, in all kinds of windows."""
+    rng = random.Random(11)
+    rows = [(f"chr{c}", k, rng.choice("ACGT" * 8 + "Na")) for c in range(3) for k in range(rng.randrange(70, 140))]
+    bases = spark.createDataFrame(rows, "chrom string, pos long, base string")
+    targets = spark.createDataFrame([("chr0", 3, 40, "x"), ("chr0", 31, 34, "y"), ("chr1", 0, 500, "x"), ("chr2", 15, 17, "y")], SPAN + ", name string")
+    for k in (3, 4, 30):
+        chunked = sequence.chunks(bases, 16, 45)
+        rowwise = sequence.kmers(chunked, k, 16)
+        plain = lambda df, *keys: {tuple(r[c] for c in (*keys, "kmer")): round(r.weight, 9) for r in df.collect()}
+        total = lambda found, keys, w=None: plain(sequence.kmer_counts(found, keys, "forward", weight=w), *keys)
+        assert total(sequence.tallied(chunked, k, 16, ["chrom"]), ["chrom"], F.col("weight")) == total(rowwise, ["chrom"])
+        for how in windows.Assigner if k == 4 else ():
+            for keys, more, old in ((["name"], {"targets": targets}, {"targets": targets}), (["window_start"], {"bins": 10}, {"size": 10})):
+                want = total(sequence.kmers_by_window(rowwise, k, how=how, **old), keys, F.col("in_window"))
+                assert total(sequence.tallied(chunked, k, 16, [x for x in keys if x != "window_start"], how=how, **more), keys, F.col("weight")) == want
+
+
+def test_words_are_no_rows(spark, tmp_path):
+    """Counting k-mers makes no row of each of them, and reading the sequence none of each base."""
+    from fragspark.queries import QUERIES
+
+    text = "abé\U0001f600c d€e\n" * 150
+    spark.createDataFrame([(1, text, len(text)), (2, "x", 1), (None, "abcd", 4), (3, "", 0)], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("kmer_forward", "kmer_bed_overlap", "kmer_by_size", "gc_window_scaled", "corr_joint"):
+        plan = QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "explode(sequence(0, least" not in plan and "posexplode" not in plan and "regexp_extract_all" not in plan
+    from fragspark import surrogate
+
+    got = {(r.chrom, r.chunk_start): r.seq for r in surrogate.chunks(spark, str(tmp_path), 512, 2).collect()}
+    bases = "".join("ACGTN"[ord(c) % 5] for c in text)
+    assert got == {("d1", k): bases[k : k + 514] for k in range(0, len(text), 512)} | {("d2", 0): "A", (None, 0): "CDEF".translate(str.maketrans("CDEF", "".join("ACGTN"[ord(c) % 5] for c in "abcd")))}
+
+
+def test_fragment_words_meet_chunks_once(spark):
+    """Selected k-mers on both sides of chunk edges, also of fragments that begin before the chunk's end and end beyond the sequence."""
+    ref = "".join(random.Random(4).choice("ACGT") for _ in range(100))
+    chunked = sequence.chunks(spark.createDataFrame([("chr1", k, b) for k, b in enumerate(ref)], "chrom string, pos long, base string"), 16, 4)
+    f = spans(spark, *[(a, a + n) for a in range(0, 90, 7) for n in (12, 30)])
+    for frame in ("left", "right", "nearest", "per-end", "mid"):
+        table = sequence.position_table(spark, (10, 40), 4, frame)
+        picked = {}
+        for r in table.collect():
+            picked.setdefault(r["size"], []).append((r.offset, r.reverse))
+        want = sorted((r.start_pos, r.end_pos, o, rev, w[::-1].translate(str.maketrans("ACGT", "TGCA")) if rev else w) for r in f.collect() for o, rev in picked[r.end_pos - r.start_pos] if len(w := ref[r.start_pos + o : r.start_pos + o + 4]) == 4)
+        told = sequence.fragment_kmers(f, chunked, table, 4, 16)
+        assert sorted((r.frag_start, r.frag_end, r.offset, r.reverse, r.kmer) for r in told.collect()) == want
+        counted = sequence.fragments_tallied(f, chunked, table, 4, 16).groupBy("offset", "reverse", "kmer").agg(F.sum("n").alias("n"))
+        assert {(r.offset, r.reverse, r.kmer): r.n for r in counted.collect()} == Counter(x[2:] for x in want)
