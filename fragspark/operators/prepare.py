@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,29 +43,53 @@ def thin(windows: DataFrame, limit: int, keep: str = "first", group: str = "grou
     highest, lowest, longest) and the next run is measured from the winner's end. State never runs over a gap of
     ``limit`` or more behind all earlier ends, so each stretch between such gaps is handled by itself in pandas.
     """
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start_pos", "end_pos", score], kind="stable").reset_index(drop=True)
-        starts, ends, scores = pdf.start_pos.tolist(), pdf.end_pos.tolist(), pdf[score].tolist()
-        better = {"first": lambda i, j: False, "highest": lambda i, j: scores[i] > scores[j], "lowest": lambda i, j: scores[i] < scores[j], "longest": lambda i, j: ends[i] - starts[i] > ends[j] - starts[j]}[keep]
-        kept, pending = [], None
-        for i in range(len(starts)):
-            if kept and starts[i] - ends[kept[-1]] < limit:
-                continue  # too close to the last window that stays
-            if pending is None:
-                pending, reach = i, ends[i]
-            elif starts[i] - reach < limit:
-                pending = i if better(i, pending) else pending
-            else:
-                kept.append(pending)
-                pending = None
-                if starts[i] - ends[kept[-1]] >= limit:
-                    pending, reach = i, ends[i]
+    better = {"first": lambda x, y: False, "highest": lambda x, y: x[2] > y[2], "lowest": lambda x, y: x[2] < y[2], "longest": lambda x, y: x[1] - x[0] > y[1] - y[0]}[keep]
+    keys = ["chrom", group, "island"]
+
+    def run(batches):
+        """Rows of a partition come stretch by stretch; what a stretch leaves pending is kept over the batches."""
+        told, last_end, pending, reach, held = None, None, None, None, None
+        for batch in batches:
+            kept, before = [], None
+            columns = (batch.column(c).to_pylist() for c in ("start_pos", "end_pos", score))
+            for i, (key, row) in enumerate(zip(zip(*(batch.column(c).to_pylist() for c in keys)), zip(*columns))):
+                if key != told:
+                    if pending is not None:
+                        before = _stays(kept, before, held)
+                    told, last_end, pending = key, None, None
+                start, end, _ = row
+                if last_end is not None and start - last_end < limit:
+                    continue  # too close to the last window that stays
+                if pending is None:
+                    pending, reach, held = row, end, i
+                elif start - reach < limit:
+                    if better(row, pending):
+                        pending, held = row, i
+                else:
+                    before = _stays(kept, before, held)
+                    last_end, pending = pending[1], None
+                    if start - last_end >= limit:
+                        pending, reach, held = row, end, i
+            if before is not None:
+                yield before
+            rows = batch.drop_columns(["island"])
+            if kept:
+                yield rows.take(pa.array(kept, pa.int64()))
+            if pending is not None and isinstance(held, int):
+                held = rows.take(pa.array([held], pa.int64()))
         if pending is not None:
-            kept.append(pending)
-        return pdf.iloc[kept]
+            yield held
+
+    def _stays(kept, before, held):
+        """Notes a winner by its place in this batch; one of an earlier batch is a row by itself."""
+        if isinstance(held, int):
+            kept.append(held)
+            return before
+        return held
 
     stretches = intervals._islands(windows, ["chrom", group], ["start_pos", "end_pos", score], False, limit)
-    return stretches.groupBy("chrom", group, "island").applyInPandas(lambda pdf: run(pdf.drop(columns="island")), windows.schema)
+    dealt = stretches.repartition(*keys).sortWithinPartitions(*keys, "start_pos", "end_pos", score)
+    return dealt.select(*windows.columns, "island").mapInArrow(run, windows.schema)
 
 
 def cluster_label(windows: DataFrame, depth: int, keys: list[str]) -> DataFrame:

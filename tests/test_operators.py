@@ -480,3 +480,28 @@ def test_fragment_words_meet_chunks_once(spark):
         assert sorted((r.frag_start, r.frag_end, r.offset, r.reverse, r.kmer) for r in told.collect()) == want
         counted = sequence.fragments_tallied(f, chunked, table, 4, 16).groupBy("offset", "reverse", "kmer").agg(F.sum("n").alias("n"))
         assert {(r.offset, r.reverse, r.kmer): r.n for r in counted.collect()} == Counter(x[2:] for x in want)
+
+
+def test_thinning_over_batches(spark):
+    """Stretches that go over batches of Arrow, against a walk in Python; no group is a task's call of its own."""
+    rng = random.Random(8)
+    rows = [(f"chr{rng.randrange(2)}", a := rng.randrange(4_000), a + rng.randrange(1, 40), rng.choice("ab"), k, rng.random()) for k in range(400)]
+    df = spark.createDataFrame(rows, SPAN + ", group_name string, window_idx long, score double")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for most in (1, 3, 1_000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(most))
+            for keep, worth in (("first", lambda r: 0), ("highest", lambda r: r[5]), ("lowest", lambda r: -r[5]), ("longest", lambda r: r[2] - r[1])):
+                want = []
+                for key in {(r[0], r[3]) for r in rows}:
+                    own = sorted((r for r in rows if (r[0], r[3]) == key), key=lambda r: (r[1], r[2], r[5]))
+                    while own:
+                        run = own[:1] + [r for r in own[1:] if r[1] - own[0][2] < 20]
+                        best = max(run, key=worth)
+                        want.append(best[4])
+                        own = [r for r in own[len(run) :] if r[1] - best[2] >= 20]
+                out = prepare.thin(df, 20, keep)
+                assert sorted(r.window_idx for r in out.collect()) == sorted(want) and out.schema == df.schema
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "FlatMapGroups" not in out._jdf.queryExecution().optimizedPlan().toString()
