@@ -51,6 +51,8 @@ WORDS, SAMPLE_ROWS, SAMPLE_MOST = 8, 10_000, 50_000
 BITS_A_ROW, MOST_BITS = 16, 1 << 28
 #: Up to so many links are joined up by one task.
 AT_ONCE = 200_000
+#: Texts that a block of pairs holds at once, as sets.
+BLOCK = 64
 #: Bounds in floating point are looser by so much.
 _SLACK = 1e-6
 _BLOCK = 1 << 15
@@ -279,29 +281,62 @@ def _verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, lea
     """The pairs (u, v) of classes whose Jaccard likeness, exactly, is at least that."""
 
     def alike(batches):
-        told, a, plain = None, None, zstandard.ZstdDecompressor().decompress
+        # a block's held texts come first, those that are only compared with them stream by
+        block, sets, later, plain = None, {}, [], zstandard.ZstdDecompressor().decompress
+
+        def compared(v, own, us):
+            for u in us:
+                a = sets[u]
+                shared = len(np.intersect1d(a, own, assume_unique=True))
+                if shared >= least * (len(a) + len(own) - shared):
+                    yield u, v
+
+        def told(found):
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*found)] if found else [pa.array([], pa.binary())] * 2, names=["u", "v"])
+
         for batch in batches:
-            keep = []
-            for u, x, y in zip(batch.column(0), batch.column(2), batch.column(3)):
-                if told != (u := u.as_py()):
-                    told, a = u, np.unique(shingle_hashes(plain(x.as_py()), k).astype(np.uint64))
-                b = np.unique(shingle_hashes(plain(y.as_py()), k).astype(np.uint64))
-                shared = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(shared >= least * (len(a) + len(b) - shared))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            found = []
+            for at, v, held, us, text in zip(*(batch.column(c) for c in range(5))):
+                if block != (at := at.as_py()):
+                    found += [x for w, ws in later for x in compared(w, sets[w], ws)]
+                    block, sets, later = at, {}, []
+                v, us, own = v.as_py(), us.as_py(), np.unique(shingle_hashes(plain(text.as_py()), k).astype(np.uint64))
+                if held.as_py():
+                    sets[v] = own
+                    later.append((v, us))
+                else:
+                    found += compared(v, own, us)
+            yield told(found)
+        yield told([x for w, ws in later for x in compared(w, sets[w], ws)])
 
     with scratch(docs.sparkSession) as put:
         pairs = put(pairs, few=True)
-        named = pairs.select(F.col("u").alias("class")).union(pairs.select(F.col("v").alias("class"))).distinct()
-        texts = put(_texts(docs, put(classes.join(named, "class", "left_semi").select("i", "k"), few=True), k))
-        side = lambda c: texts.select(F.col("class").alias(c), F.col("text").alias(f"t{c}")).dropDuplicates([c])
-        met = pairs.join(side("v"), "v").join(side("u"), "u").select("u", "v", "tu", "tv")
+        shipped = put(_shipped(pairs), few=True)
+        texts = _texts(docs, put(classes.join(shipped.select("class").distinct(), "class", "left_semi").select("i", "k"), few=True), k).dropDuplicates(["class"])
+        met = shipped.join(texts, "class").select("block", "class", "held", "us", "text")
+        met = met.repartition("block").sortWithinPartitions("block", F.desc("held"))
         found = cut(met.mapInArrow(alike, "u binary, v binary"), few=True)
-    del named, texts, met
+    del shipped, texts, met
     let_go(docs.sparkSession)
     return found
 
 
+def _shipped(pairs: DataFrame) -> DataFrame:
+    """(block, class, held, us): where the text of each class of pairs(u, v) is needed, and the us it is compared with there.
+
+    A pair is verified in a block of its u. Classes that share their least neighbour are put together, some BLOCK of
+    them in a block, so that a text goes to a block once, however many pairs it has there.
+    """
+    both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    label = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("label"))
+    parts = F.ceil(F.count("*").over(Window.partitionBy("label")) / BLOCK).cast("long")
+    block = pairs.select("u").distinct().join(label, "u").select("u", F.xxhash64("label", F.pmod(F.xxhash64("u"), parts)).alias("block"))
+    placed = pairs.join(block, "u")
+    held = placed.select("block", F.col("u").alias("class"), F.lit(True).alias("held"), F.lit(None).cast("binary").alias("other"))
+    rows = held.union(placed.select("block", F.col("v").alias("class"), F.lit(False).alias("held"), F.col("u").alias("other")))
+    return rows.groupBy("block", "class").agg(F.max("held").alias("held"), F.collect_set("other").alias("us"))
+
+
 def _differing():
     """Column: parities in which the sets su and sv differ. Their symmetric difference has at least so many members."""
     return reduce(add, [F.bit_count(F.col("su")[w].bitwiseXOR(F.col("sv")[w])) for w in range(1, WORDS + 1)])
